@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.exact_dedup import exact_groups
+
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.packing import pack_documents
 
@@ -30,6 +36,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "taken", "draws")
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.licenses import license_digest
+
+    return license_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.token_files import token_files
 
@@ -37,7 +55,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_packing, op7_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_packing, op7_token_counts, op8_mixing, op9_licenses, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
