@@ -41,8 +41,9 @@ _LOOKALIKES = {
 _TABLE = str.maketrans(_LOOKALIKES | dict.fromkeys("­​‌‍⁠﻿", None))
 _INSIDE = {"@": re.compile(r"@(?=[^\W_])"), "$": re.compile(r"\$(?=[^\W_])")}
 _BETWEEN = re.compile(r"[\W_]+")
-#: Lengths of word beginnings that may become lexicon entries, and the contexts and share an entry needs.
-STEMS, CONTEXTS, SHARE, STEM_WORDS = (4, 5, 6, 7), 12, 0.02, 6
+#: Lengths of word beginnings that may become lexicon entries, the contexts an entry needs, the most that its
+#: rate in clean documents may be of that in toxic ones, and the different words of a beginning.
+STEMS, CONTEXTS, SHARE, STEM_WORDS = (4, 5, 6, 7), 12, 0.1, 6
 #: Most candidates that come to the driver.
 CANDIDATES = 20_000
 
@@ -117,9 +118,9 @@ def mine(rows: DataFrame) -> dict[str, float]:
     """Lexicon entries from labelled (y, text) rows: words and word beginnings of toxic documents.
 
     A term counts once per document. It becomes an entry if toxic documents have it in at least
-    CONTEXTS different surroundings (copies of one document are one surrounding) and only SHARE of
-    its occurrences are in others; a beginning also needs STEM_WORDS different words. Its weight is
-    the smoothed log odds.
+    CONTEXTS different surroundings (copies of one document are one surrounding) and its rate in
+    clean documents is at most SHARE of that in toxic ones; a beginning also needs STEM_WORDS
+    different words. Its weight is the smoothed log odds.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +132,8 @@ def mine(rows: DataFrame) -> dict[str, float]:
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in counts)], ["term", "clean", "toxic"])
 
     summed = rows.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    enriched = summed.where((F.col("toxic") >= CONTEXTS) & (F.col("clean") <= F.col("toxic") * SHARE))
+    toxic_rows, clean_rows = rows.where("y = 1").count(), rows.where("y = 0").count()
+    enriched = summed.where((F.col("toxic") >= CONTEXTS) & (F.col("clean") * toxic_rows <= F.col("toxic") * clean_rows * SHARE))
     found = {r["term"]: (r["clean"], r["toxic"]) for r in enriched.orderBy(F.desc("toxic"), "term").limit(CANDIDATES).collect()}
     if not found:
         return {}
@@ -151,7 +153,6 @@ def mine(rows: DataFrame) -> dict[str, float]:
 
     around = rows.where("y = 1").mapInArrow(contexts, "term string, context long, word string").groupBy("term").agg(F.approx_count_distinct("context").alias("contexts"), F.approx_count_distinct("word").alias("words"))
     varied = {r["term"]: r["words"] for r in around.where(F.col("contexts") >= CONTEXTS).collect()}
-    toxic_rows, clean_rows = rows.where("y = 1").count(), rows.where("y = 0").count()
     odds = lambda c, t: float(np.log((t + 0.5) / (toxic_rows + 1)) - np.log((c + 0.5) / (clean_rows + 1)))
     out: dict[str, float] = {}
     for term in sorted(varied, key=lambda t: (len(t), t)):
