@@ -36,6 +36,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -68,7 +74,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_exact_dedup, op4_packing, op6_toxicity, op7_token_counts, op8_mixing, op9_licenses, op10_token_files)}
+    return {f.__name__: f for f in (op2_quality, op3_exact_dedup, op4_packing, op5_neardup, op6_toxicity, op7_token_counts, op8_mixing, op9_licenses, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
