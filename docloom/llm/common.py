@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words, as a Java and Python character class.
@@ -91,5 +91,31 @@ def documents(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
 
+def text_key(text: Column) -> Column:
+    """A 64-bit hash of a text, null as empty, that tells apart rows which share an id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def keep_marked(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``marked`` (doc_id, text_hash, stays; a row per row) lets stay, with all columns.
+
+    Ids and texts of rows that go are what is joined with the documents, so that where few go the
+    join is small. Rows that repeat an id and its text stay as often as they are marked to.
+    """
+    counted = marked.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).agg(F.count("*").alias("_n"), F.count_if("stays").alias("_stay")).where("_stay < _n")
+    counted = materialise(counted, "going")
+    if counted.isEmpty():
+        return docs
+    key = text_key(F.col("text"))
+    left = docs.withColumn("_docloom_key", key)
+    same = lambda other: left["doc_id"].cast("long").eqNullSafe(other["_id"]) & (left["_docloom_key"] == other["_h"])
+    out = left.join(counted, same(counted), "left_anti")
+    partly = counted.where("_stay > 0")
+    if not partly.isEmpty():
+        repeated = left.join(partly, same(partly)).withColumn("_place", F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.lit(0))))
+        out = out.unionByName(repeated.where("_place <= _stay").drop("_id", "_h", "_n", "_stay", "_place"))
+    return out.drop("_docloom_key")
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import documents, materialise, release
+from docloom.llm.common import documents, keep_marked, materialise, release, text_key
 
 #: Bytes of a chunk: at least, on average beyond that, at most.
 LEAST, MEAN_BITS, MOST = 256, 10, 8192
@@ -60,8 +60,8 @@ def _signed(data: bytes) -> int:
 
 
 def recipes(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text_sha256 and the chunks' identifiers, checks and lengths, in text order."""
-    types = pa.schema([("doc_id", pa.int64()), ("text_sha256", pa.string()), *((c, pa.list_(pa.int64())) for c in ("ids", "checks", "lengths"))])
+    """row, doc_id, text_hash, text_sha256 and the chunks' identifiers, checks and lengths, in text order."""
+    types = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("text_sha256", pa.string()), *((c, pa.list_(pa.int64())) for c in ("ids", "checks", "lengths"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,9 +77,9 @@ def recipes(docs: DataFrame) -> DataFrame:
                     last = end
                 for column, value in zip(columns, (hashlib.sha256(data).hexdigest(), ids, checks, lengths), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t.type) for c, t in zip(columns, list(types)[1:], strict=True))], schema=types)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t.type) for c, t in zip(columns, list(types)[2:], strict=True))], schema=types)
 
-    found = documents(docs).mapInArrow(run, "doc_id long, text_sha256 string, ids array<long>, checks array<long>, lengths array<long>")
+    found = documents(docs).withColumn("text_hash", text_key(F.col("text"))).mapInArrow(run, "doc_id long, text_hash long, text_sha256 string, ids array<long>, checks array<long>, lengths array<long>")
     return found.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -109,8 +109,8 @@ def _verified(found: DataFrame) -> DataFrame:
 def exact_groups(docs: DataFrame) -> DataFrame:
     """Groups of texts that are equal once each run of white space is one space.
 
-    Returns one row per row of ``docs``: doc_id, keep_id (smallest id of the group), group_size, kept
-    and text_sha256 (of the normalised text). A null text counts as empty, and all empty texts are one
+    Returns one row per row of ``docs``: doc_id, keep_id (smallest id of the group), group_size, kept,
+    text_sha256 (of the normalised text) and text_hash (of the text as it is). A null text counts as empty, and all empty texts are one
     group; a null doc_id stands behind all others; of rows that repeat an id and its text one is kept;
     texts of any length are read whole; an empty table gives an empty one; other columns are not read.
 
@@ -129,25 +129,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("keep_row") == F.col("row"), F.lit(True)).alias("kept"),
         "text_sha256",
+        "text_hash",
     )
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_groups` keeps, with all columns.
-
-    Dropped ids are found first; only they are joined with the documents. Where an id comes with
-    several texts, or a row repeats, the text's digest tells which rows stay.
-    """
-    marked = materialise(exact_groups(docs), "exact-groups")
-    digest = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
-    several = materialise(marked.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if("kept").alias("stay")).where("stay < rows"), "dropped")
-    gone = several.where("stay = 0").select(F.col("doc_id").alias("_id"))
-    mixed = several.where("stay > 0").select(F.col("doc_id").alias("_id"))
-    same = lambda other: docs.doc_id.eqNullSafe(other._id)
-    out = docs.join(gone, same(gone), "left_anti")
-    if mixed.isEmpty():
-        return out
-    stay = marked.where("kept").join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    plain = out.join(mixed, out.doc_id.eqNullSafe(mixed._id), "left_anti")
-    rest = docs.withColumn("_docloom_sha", digest).join(stay, docs.doc_id.eqNullSafe(stay._id) & (F.col("_docloom_sha") == F.col("_sha")), "left_semi")
-    return plain.unionByName(rest.dropDuplicates(["doc_id", "_docloom_sha"]).drop("_docloom_sha"))
+    """The rows of ``docs`` that :func:`exact_groups` keeps, with all columns."""
+    return keep_marked(docs, exact_groups(docs).select("doc_id", "text_hash", F.col("kept").alias("stays")))

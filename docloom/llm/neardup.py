@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import documents, materialise, parallelism, release
+from docloom.llm.common import documents, keep_marked, materialise, parallelism, release, text_key
 from docloom.llm.components import connected_components
 
 REGISTERS, BAND = 128, 4
@@ -97,7 +97,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
-    types = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("regs", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    types = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("regs", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,9 +111,9 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
                     row = (0, 0, 0, None, None)
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t.type) for c, t in zip(columns, list(types)[1:], strict=True))], schema=types)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t.type) for c, t in zip(columns, list(types)[2:], strict=True))], schema=types)
 
-    found = documents(docs).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, regs binary, bands array<long>")
+    found = documents(docs).withColumn("text_hash", text_key(F.col("text"))).mapInArrow(run, "doc_id long, text_hash long, n long, h1 long, h2 long, regs binary, bands array<long>")
     return found.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -173,11 +173,11 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id and kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, text_hash and first.
 
     Two texts are linked if ``100 * common >= percent * union`` of their sets of shingles of ``width``
     words (a shorter text is one shingle). component_id is the smallest doc_id that links reach, kept
-    tells whether it is the row's own.
+    tells whether it is the row's own, and first marks one row of each component.
 
     Null texts and texts without words have no shingles and no links. Texts of any length are read
     whole. Rows that repeat an id are separate texts with that id; equal texts are one class; a row
@@ -189,10 +189,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     candidates and links stay distributed.
     """
     sketched = materialise(_sketches(docs, width), "sketches")
-    grouped = sketched.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count("*").alias("rows"), F.min("doc_id").alias("least_id"))
+    grouped = sketched.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count("*").alias("rows"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("least"))
     grouped = materialise(grouped, "classes")
-    members = grouped.select("node", "rows", "least_id")
-    classes = materialise(sketched.join(members, F.col("row") == F.col("node")).select("node", "rows", "least_id", "doc_id", "h1", "h2", "regs", "bands"), "class-sketches")
+    members = grouped.select("node", "rows", "least")
+    classes = materialise(sketched.join(members, F.col("row") == F.col("node")).select("node", "doc_id", "h1", "h2", "regs", "bands"), "class-sketches")
 
     # 1. Stars.
     index = classes.select(F.explode("bands").alias("key"), "node")
@@ -229,11 +229,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         release(again)
 
     # The smallest id of each component, for classes that have several rows or links.
-    joined = members.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "rows", "least_id", F.col("component").isNotNull().alias("linked"))
+    joined = members.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "rows", "least", F.col("component").isNotNull().alias("linked"))
     touched = materialise(joined.where("linked OR rows > 1"), "touched")
-    least = touched.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    per_class = touched.join(least, "component").select(F.col("node").alias("_node"), "component_id")
-    named = materialise(grouped.join(per_class, F.col("node") == F.col("_node")).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "component_id"), "class-components")
-    rows = sketched.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(named, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n_shingles") > 0), "left")
+    least = touched.groupBy("component").agg(F.min("least").alias("of_all"))
+    per_class = touched.drop("least").join(least, "component").select(F.col("node").alias("_node"), F.col("of_all.id").alias("component_id"), F.col("of_all.row").alias("first_row"))
+    named = materialise(grouped.join(per_class, F.col("node") == F.col("_node")).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "component_id", "first_row"), "class-components")
+    rows = sketched.select("doc_id", "text_hash", "row", F.col("n").alias("n_shingles"), "h1", "h2").join(named, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n_shingles") > 0), "left")
     component = F.coalesce("component_id", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "text_hash", F.coalesce(F.col("first_row") == F.col("row"), F.lit(True)).alias("first"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The first row of each component of :func:`near_duplicates`, with all columns.
+
+    Texts without words are linked with nothing and all stay.
+    """
+    return keep_marked(docs, near_duplicates(docs, width, percent).select("doc_id", "text_hash", F.col("first").alias("stays")))

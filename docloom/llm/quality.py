@@ -150,3 +150,19 @@ def score_quality(docs: DataFrame, model: Discriminant | None, threshold: float
 
 def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score_quality(docs, fit_quality(docs, labels))
+
+
+def keep_quality(docs: DataFrame, model: Discriminant | None, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that are predicted to be of good quality, with all columns."""
+    if model is None:
+        return docs
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                score = model.score(np.array([statistics(t or "") for t in batch.column(at).to_pylist()]))
+                batch = batch.filter(pa.array(score >= threshold))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
