@@ -11,6 +11,34 @@ from docloom.llm.queries import vocabulary
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of good quality, as the classifier learned it from the labels."""
+    from docloom.llm.quality import fit_quality, keep_quality
+
+    return keep_quality(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space, the document with the smallest id."""
+    from docloom.llm.exact_dedup import drop_duplicates
+
+    return drop_duplicates(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that shingles of five words link at a similarity of 0.8, one document."""
+    from docloom.llm.neardup import drop_near_duplicates
+
+    return drop_near_duplicates(docs, width=5, percent=80)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources mixed to their target weights, some documents twice and some not at all."""
+    from docloom.llm.mixing import mixed_documents
+
+    return mixed_documents(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of at most 4096 tokens from all documents that are left."""
     from docloom.llm.packing import pack_documents
@@ -18,7 +46,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", packing)]
+STAGES: list[tuple[str, Stage]] = [("quality", quality), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
 
 #: Tokenisation and trained models are not expressible in SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
