@@ -152,13 +152,15 @@ def document_type(text: Column) -> Column:
         hits = [F.contains(low, F.lit(k)).cast("int") for k in keywords.split("|")] + [text.rlike(p).cast("int") * 2 for p in patterns]
         scores.append((name, reduce(lambda a, b: a + b, hits)))
     table = F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("order"), F.lit(n).alias("name")) for i, (n, s) in enumerate(scores)])
-    best = F.array_max(table)
-    total = F.aggregate(table, F.lit(0), lambda a, x: a + x["score"])
-    return F.struct(
-        F.when(best["score"] > 0, best["name"]).otherwise("general").alias("name"),
-        F.when(best["score"] > 0, best["score"] / total).otherwise(0.5).alias("confidence"),
-        F.map_from_arrays(F.transform(table, lambda x: x["name"]), F.transform(table, lambda x: x["score"])).alias("scores"),
+    best = lambda t: F.array_max(t)
+    total = lambda t: F.aggregate(t, F.lit(0), lambda a, x: a + x["score"])
+    result = lambda t: F.struct(
+        F.when(best(t)["score"] > 0, best(t)["name"]).otherwise("general").alias("name"),
+        F.when(best(t)["score"] > 0, best(t)["score"] / total(t)).otherwise(0.5).alias("confidence"),
+        F.map_from_arrays(F.transform(t, lambda x: x["name"]), F.transform(t, lambda x: x["score"])).alias("scores"),
     )
+    # The table of scores stands in a list of one, so that it is worked out once.
+    return F.get(F.transform(F.array(table), result), F.lit(0))
 
 
 def query_level(question: Column) -> Column:

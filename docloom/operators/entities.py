@@ -16,12 +16,13 @@ from docloom.functions import lexicon as L
 def merge_entities(mentions: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """One entity for each normalised name, over all documents or (scope=("doc_id",)) in each.
 
-    The first mention gives id, name and type; confidence is the mean; regions, blocks and pages are
+    The first mention, by document and order, gives id, name and type; confidence is the mean; regions, blocks and pages are
     sets in order. One aggregation with partial results.
     """
-    first = F.min_by(F.struct("region_id", "start", "text", "label", "entity_type"), "ord")
-    described = F.max_by("context", F.struct(F.length("context"), -F.col("ord")))
-    boxes = F.transform(F.array_sort(F.collect_list(F.struct("ord", "bbox"))), lambda b: b["bbox"])
+    place = F.struct("doc_id", "ord")
+    first = F.min_by(F.struct("region_id", "start", "text", "label", "entity_type"), place)
+    described = F.min_by("context", F.struct(-F.length("context"), "doc_id", "ord"))
+    boxes = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "ord", "bbox"))), lambda b: b["bbox"])
     merged = mentions.groupBy(*scope, "norm").agg(
         first.alias("f"),
         described.alias("description"),
@@ -31,7 +32,7 @@ def merge_entities(mentions: DataFrame, scope: tuple[str, ...] = ()) -> DataFram
         F.avg("confidence").alias("confidence"),
         F.count("*").alias("mention_count"),
         F.array_sort(F.collect_set(F.struct("doc_id", "page_num"))).alias("pages"),
-        F.min("ord").alias("ord"),
+        F.min(place).alias("ord"),
     )
     name = F.concat_ws("_", F.lit("entity"), F.col("f.region_id"), F.col("f.start").cast("string"), F.xxhash64(*scope, "norm").cast("string"))
     return merged.select(*scope, name.alias("entity_id"), F.col("f.text").alias("name"), "norm", F.col("f.entity_type").alias("entity_type"), F.col("f.label").alias("label"), "description", "regions", "grounding_boxes", "block_types", "confidence", "mention_count", "pages", "ord")

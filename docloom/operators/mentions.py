@@ -44,10 +44,18 @@ DATE_KINDS = (
 )
 
 
+def _labelled(label: str, confidence: float):
+    return lambda t: F.struct(t.alias("text"), F.lit(label).alias("label"), F.lit(confidence).alias("confidence"))
+
+
+def _unnamed(done: Column, part: Column) -> Column:
+    """Mentions of ``part`` whose text ``done`` has not."""
+    return F.filter(part, lambda m: ~F.exists(done, lambda d: d["text"] == m["text"]))
+
+
 def dates(text: Column) -> Column:
-    parts = [F.transform(F.array_distinct(_all(text, p)), lambda t, k=k: F.struct(t.alias("text"), F.lit(k).alias("label"), F.lit(0.85).alias("confidence"))) for k, p in DATE_KINDS]
-    # A value that a kind before has named is not named again.
-    return reduce(lambda done, part: F.concat(done, F.filter(part, lambda m, done=done: ~F.exists(done, lambda d: d["text"] == m["text"]))), parts[1:], parts[0])
+    parts = [F.transform(F.array_distinct(_all(text, p)), _labelled(k, 0.85)) for k, p in DATE_KINDS]
+    return reduce(lambda done, part: F.concat(done, _unnamed(done, part)), parts[1:], parts[0])
 
 
 def percentages(text: Column) -> Column:
@@ -90,7 +98,8 @@ def concepts(text: Column, most: int = 10) -> Column:
 def processes(text: Column, most: int = 5) -> Column:
     """Words in -ing, -tion and -ment of more than six letters, the first ``most`` in that order."""
     low = tokens(F.lower(text))
-    ends = [F.filter(low, lambda t, e=e: t.endswith(e) & (F.length(t) > 6)) for e in ("ing", "tion", "ment")]
+    ending = lambda end: F.filter(low, lambda t: t.endswith(end) & (F.length(t) > 6))
+    ends = [ending(e) for e in ("ing", "tion", "ment")]
     return _mentions(F.slice(F.array_distinct(F.concat(*ends)), 1, most), "process", 0.65)
 
 

@@ -16,6 +16,7 @@ from docloom.functions.text import token_estimate, words
 from docloom.functions.typing import query_level
 from docloom.operators.budget import before_overflow, until_reached
 from docloom.operators.graph import k_hops
+from docloom.sources.store import materialise
 from docloom.operators.search import append_missing, build_text_index, fuse_candidates, nearest_vectors, rank_entities, rank_regions, ranked, search_entities, search_text_index
 
 
@@ -33,7 +34,8 @@ class Corpus:
 
     def index(self) -> tuple[DataFrame, DataFrame]:
         if self.postings is None:
-            self.postings, self.vocabulary = build_text_index(self.regions)
+            postings, vocabulary = build_text_index(self.regions)
+            self.postings, self.vocabulary = materialise(postings, "postings"), materialise(vocabulary, "vocabulary")
         return self.postings, self.vocabulary
 
 
@@ -91,10 +93,10 @@ def _entity_boost(found: DataFrame, bridge: DataFrame) -> DataFrame:
 
 def entity_lookup(asked: DataFrame, corpus: Corpus, nodes: int = 5) -> DataFrame:
     """Level 1: a few entities, their relations and regions; the text index where those are missing."""
-    found = rank_entities(asked, corpus.entities, nodes)
-    by_words = rank_regions(asked, corpus.regions, min(3, nodes), _entity_boost(found, corpus.bridge))
+    found = materialise(rank_entities(asked, corpus.entities, nodes), "found")
+    by_words = materialise(rank_regions(asked, corpus.regions, min(3, nodes), _entity_boost(found, corpus.bridge)), "by-words")
     poor = asked.join(found.select("query_id").distinct(), "query_id", "left_anti").unionByName(asked.join(by_words.select("query_id").distinct(), "query_id", "left_anti")).distinct()
-    by_index = search_text_index(poor, *corpus.index())
+    by_index = materialise(search_text_index(poor, *corpus.index()), "by-index")
     regions = append_missing(by_words.select("query_id", "region_id", "rank"), by_index.select("query_id", "region_id", "rank"))
     more = inferred_entities(by_index, corpus, found)
     rel = _relations_of(found, corpus.relations, 10)
@@ -104,10 +106,10 @@ def entity_lookup(asked: DataFrame, corpus: Corpus, nodes: int = 5) -> DataFrame
 
 def hybrid(asked: DataFrame, corpus: Corpus, nodes: int = 20) -> DataFrame:
     """Level 2: entities, what lies within two steps of them, the relations between, and regions."""
-    found = rank_entities(asked, corpus.entities, 5)
+    found = materialise(rank_entities(asked, corpus.entities, 5), "found")
     few = found.groupBy("query_id").agg(F.count("*").alias("n"))
     poor = asked.join(few.where("n >= 3"), "query_id", "left_anti")
-    by_index = search_text_index(poor, *corpus.index())
+    by_index = materialise(search_text_index(poor, *corpus.index()), "by-index")
     more = inferred_entities(by_index, corpus, found)
     starts = found.select("query_id", "entity_id").unionByName(more.select("query_id", "entity_id"))
     hops = k_hops(corpus.relations, starts.select(F.col("entity_id").alias("node")), 2)
@@ -126,7 +128,7 @@ def hybrid(asked: DataFrame, corpus: Corpus, nodes: int = 20) -> DataFrame:
 
 def hierarchical(asked: DataFrame, corpus: Corpus, nodes: int = 10) -> DataFrame:
     """Level 3: entities grouped by type, their direct relatives, and the regions of the first eight."""
-    found = search_entities(asked, corpus.entities, nodes)
+    found = materialise(search_entities(asked, corpus.entities, nodes), "found")
     groups = found.groupBy("query_id", "entity_type").agg(F.min("rank").alias("rank"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda e: e["name"]), ", ").alias("names"))
     around = k_hops(corpus.relations, found.select(F.col("entity_id").alias("node")), 1)
     relatives = found.select("query_id", "entity_id", "rank").join(around, F.col("entity_id") == F.col("start"))
@@ -167,7 +169,7 @@ STRATEGIES = {"entity_lookup": entity_lookup, "hybrid": hybrid, "hierarchical":
 
 def retrieve(queries: DataFrame, corpus: Corpus) -> DataFrame:
     """Context rows of all questions, each by the strategy of its level; an unknown one looks up entities."""
-    asked = analyse(queries)
+    asked = materialise(analyse(queries), "questions")
     parts = []
     for name, strategy in STRATEGIES.items():
         own = asked.where(F.col("strategy") == name) if name != "entity_lookup" else asked.where((F.col("strategy") == name) | ~F.col("strategy").isin(*STRATEGIES))

@@ -27,24 +27,25 @@ def ranked(df: DataFrame, score: str, k: int, *ties: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def entity_score(question: Column, name: Column, description: Column, mentions: Column, confidence: Column) -> Column:
-    """How well an entity fits a question: by name, description, shared words or parts of words."""
-    q, n, d = F.lower(F.trim(question)), F.lower(name), F.lower(F.coalesce(description, F.lit("")))
-    qw = F.array_distinct(words(q))
-    shared = F.size(F.array_intersect(qw, F.array_union(words(n), words(d))))
-    part = F.exists(qw, lambda w: (F.length(w) > 3) & (F.contains(n, w) | F.contains(d, w)))
-    base = (
-        F.when(q == n, 1.0).when(F.contains(n, q), 0.9).when(F.contains(d, q), 0.7).when(shared > 0, shared / F.size(qw) * 0.6).when(part, 0.4).otherwise(0.0)
-    )
-    return base * (1 + F.least(mentions * 0.1, F.lit(0.5))) * confidence
-
-
 def search_entities(queries: DataFrame, entities: DataFrame, k: int = 10, types: tuple[str, ...] | None = None) -> DataFrame:
-    """The k best entities for each question: query_id, entity_id, score, rank; ties in order of arrival."""
+    """The k best entities for each question: query_id, entity_id, score, rank; ties in order of arrival.
+
+    A question fits by name, by description, by shared words or by parts of words, in this order.
+    What depends on one side alone is worked out before questions and entities meet.
+    """
+    q, qw = F.lower(F.trim("question")), F.array_distinct(words(F.lower("question")))
+    asked = queries.select("query_id", q.alias("q"), qw.alias("qw"), F.filter(qw, lambda w: F.length(w) > 3).alias("long_words"))
+    name, about = F.lower("name"), F.lower(F.coalesce("description", F.lit("")))
     pool = entities if types is None else entities.where(F.col("entity_type").isin(*types))
-    fit = entity_score(F.col("question"), F.col("name"), F.col("description"), F.col("mention_count"), F.col("confidence"))
-    pairs = pool.crossJoin(_asked(queries.select("query_id", "question"))).withColumn("score", fit).where("score > 0")
-    return ranked(pairs, "score", k, "ord", "entity_id").select("query_id", "entity_id", "name", "entity_type", "mention_count", "confidence", "score", "rank")
+    weight = (1 + F.least(F.col("mention_count") * 0.1, F.lit(0.5))) * F.col("confidence")
+    pool = pool.select("entity_id", "name", "entity_type", "mention_count", "confidence", "ord", name.alias("n"), about.alias("d"), F.array_distinct(F.concat(words(name), words(about))).alias("w"), weight.alias("weight"))
+    # A scan of few small files would leave the comparisons to one task.
+    pool = pool.repartition(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = pool.crossJoin(_asked(asked)).withColumn("shared", F.size(F.array_intersect("qw", "w")))
+    part = F.exists("long_words", lambda w: F.contains("n", w) | F.contains("d", w))
+    base = F.when(F.col("q") == F.col("n"), 1.0).when(F.contains("n", "q"), 0.9).when(F.contains("d", "q"), 0.7).when(F.col("shared") > 0, F.col("shared") / F.size("qw") * 0.6).when(part, 0.4).otherwise(0.0)
+    scored = pairs.withColumn("score", base * F.col("weight")).where("score > 0")
+    return ranked(scored, "score", k, "ord", "entity_id").select("query_id", "entity_id", "name", "entity_type", "mention_count", "confidence", "score", "rank")
 
 
 def rank_entities(queries: DataFrame, entities: DataFrame, k: int = 5) -> DataFrame:

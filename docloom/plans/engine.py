@@ -15,6 +15,7 @@ from docloom.operators.mentions import extract_mentions
 from docloom.operators.statistics import indexing_statistics
 from docloom.sources import files
 from docloom.sources.regions import regions_from_lines
+from docloom.sources.store import materialise
 
 
 @dataclass(frozen=True)
@@ -52,13 +53,15 @@ class Engine:
         return self.index_regions(regions_from_lines(docs), greedy)
 
     def index_regions(self, regions: DataFrame, greedy: bool = False) -> Engine:
+        regions = materialise(regions, "regions")
         kept = R.exact_unique(R.admitted(regions, self.config.least_text))
         if greedy:
             kept = R.near_unique(kept, self.config.near_duplicates)
-        nodes = R.nodes(kept)
-        mentions = extract_mentions(regions)
-        merged = E.merge_entities(mentions, self.config.scope)
-        bridge = E.linked_regions(E.entity_regions(merged), nodes)
+        # What several tables are made from is written once; the rest are plans over it.
+        nodes = materialise(R.nodes(kept), "nodes")
+        mentions = materialise(extract_mentions(regions), "mentions")
+        merged = materialise(E.merge_entities(mentions, self.config.scope), "entities")
+        bridge = materialise(E.linked_regions(E.entity_regions(merged), nodes), "entity-region")
         self.tables = {
             "regions": regions,
             "nodes": nodes,
@@ -66,7 +69,7 @@ class Engine:
             "mentions": mentions,
             "entities": merged,
             "entity_region": bridge,
-            "relationships": E.all_relations(merged, bridge, regions),
+            "relationships": materialise(E.all_relations(merged, bridge, regions), "relationships"),
             "figure_caption": spatial.figure_captions(nodes),
         }
         return self

@@ -111,13 +111,19 @@ _ELEMENTS = {"h1": "header", "h2": "subheader", "p": "paragraph", "li": "list",
 
 
 def regions_from_html(pages: DataFrame) -> DataFrame:
-    """Regions of web pages (page_id, html): one for each element of a known kind that has text."""
-    tag = "|".join(_ELEMENTS)
-    found = F.regexp_extract_all("html", F.lit(rf"(?s)<({tag})\b[^>]*>(.*?)</\1>"), F.lit(1))
-    inner = F.regexp_extract_all("html", F.lit(rf"(?s)<({tag})\b[^>]*>(.*?)</\1>"), F.lit(2))
-    each = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(F.arrays_zip(found.alias("tag"), inner.alias("inner"))).alias("ord", "e"))
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.col("e.inner"), "<[^>]+>", " "), r"\s+", " "))
-    kind = F.element_at(F.create_map(*[F.lit(v) for item in _ELEMENTS.items() for v in item]), F.col("e.tag"))
+    """Regions of web pages (page_id, html): one for each element of a known kind that has text.
+
+    An element's text ends where the next element of a known kind opens or closes.
+    """
+    tags = "|".join(_ELEMENTS)
+    # Control characters mark where elements open, where their content begins, and where any closes.
+    opened = F.regexp_replace(F.coalesce("html", F.lit("")), rf"<({tags})\b[^>]*>", "\u0001$1\u0002")
+    marked = F.regexp_replace(opened, rf"</({tags})>", "\u0003")
+    pieces = F.split(marked, "\u0001")
+    each = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))).alias("ord", "piece"))
+    each = each.withColumn("tag", F.substring_index("piece", "\u0002", 1)).withColumn("inner", F.substring_index(F.substring_index("piece", "\u0002", -1), "\u0003", 1))
+    text = F.trim(F.regexp_replace(F.regexp_replace("inner", "<[^>]+>", " "), r"\s+", " "))
+    kind = F.element_at(F.create_map(*[F.lit(v) for item in _ELEMENTS.items() for v in item]), F.col("tag"))
     out = each.select("doc_id", F.lit(0).alias("page_num"), F.col("ord").cast("long").alias("ord"), kind.alias("block_type"), text.alias("text")).where("text != ''")
     size = F.count("*").over(Window.partitionBy("doc_id"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
