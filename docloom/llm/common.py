@@ -2,84 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.sources.store import materialise, new_path, release, shared_dir, sweep
+
+__all__ = ["materialise", "new_path", "release", "shared_dir", "sweep"]
+
 #: White space that separates words, as a Java and Python character class.
 SPACE = r"[\x20\x09-\x0D]+"
 #: A word: a longest run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (a local session, as in
-    tests) a temporary folder is made and kept for the session.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
-        current = context.getCheckpointDir()
-    return current.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nobody else uses."""
-    path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there.
-
-    A lost executor costs nothing that was written, and what is read back is split evenly.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._docloom_path = path
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Delete the files of materialised tables that no plan needs any more."""
-    for df in frames:
-        path = getattr(df, "_docloom_path", None)
-        if path:
-            _delete(df.sparkSession, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    for entry in list(_written):
-        if entry[1] == path:
-            _written.remove(entry)
-
-
-@atexit.register
-def _clean_up() -> None:
-    for spark, path in list(_written):
-        try:
-            _delete(spark, path)
-        except Exception:  # the session has ended: its folder is the cluster's to clear
-            return
-
-
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """True where crc32 of the id's text leaves no remainder. A null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))

@@ -57,6 +57,11 @@ def _uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
 
 
+def _chance(seed: int, level: int):
+    """The random number of the source at place i, for the nodes of a level."""
+    return lambda i: _uniform(F.lit(seed), F.lit(level), F.col("shard"), i)
+
+
 def _log_factorial(n: str) -> str:
     """SQL: ln(n!), exact to 20 and by Stirling's series beyond, where its error is below 1e-12."""
     x = f"cast({n} as double)"
@@ -88,7 +93,7 @@ def shard_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     step = f"""aggregate(sequence(0, size(q) - 1), named_struct('rest', {whole}, 'draws', {whole} div 2, 'got', cast(array() as array<bigint>)),
         (a, i) -> named_struct('rest', a.rest - q[i], 'draws', a.draws - {pick}, 'got', array_append(a.got, {pick})), a -> a.got)"""
     for level in range(levels):
-        chance = F.transform(F.sequence(F.lit(0), F.size("q") - 1), lambda i, level=level: _uniform(F.lit(seed), F.lit(level), F.col("shard"), i))
+        chance = F.transform(F.sequence(F.lit(0), F.size("q") - 1), _chance(seed, level))
         left = tree.withColumn("u", chance).withColumn("left", F.expr(step))
         halves = F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("q")), F.struct(F.lit(1).alias("side"), F.expr("zip_with(q, left, (x, y) -> x - y)").alias("q")))
         split = left.select("sources", "shard", F.explode(halves).alias("h"))

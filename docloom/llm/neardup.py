@@ -1,12 +1,13 @@
 """MinHash near-duplicates: HyperMinHash registers, bands, and links confirmed on full shingle sets.
 
-Equal sets are one class, so that copies meet once. Each class has 128 registers: the least hash in a
-bucket, stored as its count of leading zeros and ten bits of mantissa. Four registers make a band, and
+Equal sets are one class, so that copies meet once. Each class has 256 registers: the least hash in a
+bucket, stored as its count of leading zeros and ten bits of mantissa. Six registers make a band, and
 classes with equal bands are candidates. In a bucket of the band index
 
 1. every class is compared with the bucket's first one (a star, not all pairs);
 2. where a bucket still holds several components afterwards, classes of different components are
-   compared, except those that the triangle inequality of the Jaccard distance keeps apart.
+   compared, except those that their sizes, one bit of each register, or the triangle inequality of
+   the Jaccard distance keep apart.
 
 A comparison first estimates the similarity from the registers, corrected for their collisions, and
 drops a pair only if it is six standard errors below the threshold; then the full sets decide.
@@ -15,6 +16,7 @@ drops a pair only if it is six standard errors below the threshold; then the ful
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import documents, keep_marked, materialise, parallelism, release, text_key
+from docloom.llm.common import documents, keep_marked, materialise, parallelism, release, sweep, text_key
 from docloom.llm.components import connected_components
 
-REGISTERS, BAND = 128, 4
+REGISTERS, BAND, BANDS = 256, 6, 42
 MANTISSA = 10
 #: Probability that two registers of different least hashes agree, with ten bits of mantissa.
 COLLISION = 0.169919487159739 / 2**MANTISSA
@@ -33,11 +35,13 @@ COLLISION = 0.169919487159739 / 2**MANTISSA
 ERRORS = 6.0
 #: Comparisons with one class that one task makes at most; beyond, they are dealt over several.
 FAN = 512
+#: Ids of texts to compare that are broadcast at most (8 bytes each); more are joined by a shuffle.
+WANTED = 2_000_000
 
 _BITS = 64 - (REGISTERS.bit_length() - 1)
 _STARTS = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(_BITS)
 _FACTORS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND_SALT = np.random.Generator(np.random.PCG64(6)).integers(1, 2**63, REGISTERS // BAND, dtype=np.uint64)
+_BAND_SALT = np.random.Generator(np.random.PCG64(6)).integers(1, 2**63, BANDS, dtype=np.uint64)
 _word_hashes: dict[bytes, int] = {}
 WORD_HASHES = 400_000
 
@@ -83,9 +87,23 @@ def registers(hashes: np.ndarray) -> np.ndarray:
 
 def bands(regs: np.ndarray) -> list[int]:
     """Keys of the bands that are not empty; the key tells the band, too."""
-    joined = regs.view(np.uint64)
-    keys = _mix(joined ^ _BAND_SALT) ^ _BAND_SALT
-    return keys[joined != 0].view(np.int64).tolist()
+    rows = regs[: BANDS * BAND].reshape(BANDS, BAND).astype(np.uint64)
+    h = _BAND_SALT.copy()
+    for k in range(BAND):
+        h = _mix((h ^ rows[:, k]) * _FACTORS[k])
+    return h[rows.any(axis=1)].view(np.int64).tolist()
+
+
+def bits(regs: np.ndarray) -> list[int]:
+    """One bit of each register, as 64-bit integers: sets at a similarity of s differ in half of 1 - s."""
+    mixed = (regs ^ (regs >> 5) ^ (regs >> 9)) & 1
+    return np.packbits(mixed.astype(np.uint8)).view(np.int64).tolist()
+
+
+def most_bits(threshold: float) -> int:
+    """Differing bits that sets at the threshold do not exceed, six standard errors allowed."""
+    share = (1 - threshold) / 2
+    return int(np.ceil(REGISTERS * share + ERRORS * np.sqrt(REGISTERS * share * (1 - share))))
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,23 +115,23 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
-    types = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("regs", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    types = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("regs", pa.binary()), ("bits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in range(5)]
+            columns: list[list] = [[] for _ in range(6)]
             for text in batch.column(1).to_pylist():
                 hashes = shingles(text, width)
                 if len(hashes):
                     digest, regs = xxhash.xxh3_128_digest(hashes.tobytes()), registers(hashes)
-                    row = (len(hashes), *np.frombuffer(digest, "<i8").tolist(), regs.tobytes(), bands(regs))
+                    row = (len(hashes), *np.frombuffer(digest, "<i8").tolist(), regs.tobytes(), bits(regs), bands(regs))
                 else:
-                    row = (0, 0, 0, None, None)
+                    row = (0, 0, 0, None, None, None)
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t.type) for c, t in zip(columns, list(types)[2:], strict=True))], schema=types)
 
-    found = documents(docs).withColumn("text_hash", text_key(F.col("text"))).mapInArrow(run, "doc_id long, text_hash long, n long, h1 long, h2 long, regs binary, bands array<long>")
+    found = documents(docs).withColumn("text_hash", text_key(F.col("text"))).mapInArrow(run, "doc_id long, text_hash long, n long, h1 long, h2 long, regs binary, bits array<long>, bands array<long>")
     return found.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -139,14 +157,17 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
     is sent to as many tasks.
     """
     parts = parallelism(docs.sparkSession)
-    dealt = pairs.withColumn("salt", F.lit(0))
     fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan"))
     large = fans.where("fan > 1")
     dealt = pairs.join(large, "a", "left").withColumn("salt", F.when(F.col("fan").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("fan")).cast("int"))).drop("fan")
     first = fans.select("a", F.col("a").alias("node"), F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"))
     wanted = dealt.select("a", F.col("b").alias("node"), F.lit(1).alias("side"), "salt").unionByName(first)
     named = wanted.join(classes.select("node", "doc_id", "h1", "h2"), "node").select(F.col("doc_id").alias("_id"), "a", "node", "side", "salt", "h1", "h2")
-    texts = documents(docs).join(named, F.col("doc_id").eqNullSafe(F.col("_id"))).select("a", "salt", "side", "node", "h1", "h2", "text")
+    named = materialise(named, "comparisons")
+    read, ids = documents(docs), named.select(F.col("_id").alias("_w")).distinct()
+    if ids.count() <= WANTED:  # few enough to send to every task, so that other texts stay where they are
+        read = read.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_w")), "left_semi")
+    texts = read.join(named, F.col("doc_id").eqNullSafe(F.col("_id"))).select("a", "salt", "side", "node", "h1", "h2", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, base = None, None
@@ -185,14 +206,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     gives an empty one; other columns are not read.
 
     Registers and bands make candidates, never decisions: links are confirmed on full sets. The chance
-    that a pair at a similarity of 0.8 shares none of 32 bands is 5e-8. All tables of rows, classes,
+    that a pair at a similarity of 0.8 shares none of 42 bands is 3e-6, at 0.85 2e-9. All tables of rows, classes,
     candidates and links stay distributed.
     """
     sketched = materialise(_sketches(docs, width), "sketches")
     grouped = sketched.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count("*").alias("rows"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("least"))
     grouped = materialise(grouped, "classes")
     members = grouped.select("node", "rows", "least")
-    classes = materialise(sketched.join(members, F.col("row") == F.col("node")).select("node", "doc_id", "h1", "h2", "regs", "bands"), "class-sketches")
+    classes = materialise(sketched.join(members, F.col("row") == F.col("node")).select("node", "doc_id", "n", "h1", "h2", "regs", "bits", "bands"), "class-sketches")
+    sweep(docs.sparkSession)
 
     # 1. Stars.
     index = classes.select(F.explode("bands").alias("key"), "node")
@@ -204,6 +226,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     judged = materialise(_estimated(stars, classes), "estimates")
     links = materialise(_confirmed(judged.where(F.col("similar") >= threshold - margin).select("a", "b"), classes, docs, width, percent), "star-links")
     label = connected_components(links)
+    sweep(docs.sparkSession)
 
     # 2. Classes of different components in one bucket.
     labelled = crowded.join(label, "node", "left").select("key", "head", "node", F.coalesce("component", "node").alias("component"))
@@ -214,13 +237,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     far = judged.where(F.col("similar") < reach - margin).select(F.col("a").alias("head"), F.col("b").alias("node"), F.lit(True).alias("far"))
     near = links.select(F.col("u").alias("head"), F.col("v").alias("node"), F.lit(True).alias("ball"))
     open_ = labelled.join(mixed, "key", "left_semi").join(far, ["head", "node"], "left").join(near, ["head", "node"], "left")
-    open_ = materialise(
-        open_.select("key", "node", "component", F.coalesce("far", F.lit(False)).alias("far"), (F.coalesce("ball", F.lit(False)) | (F.col("node") == F.col("head"))).alias("ball")), "mixed-bands"
-    )
+    shape = classes.select("node", "n", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(REGISTERS // 64)])
+    open_ = open_.select("key", "node", "component", F.coalesce("far", F.lit(False)).alias("far"), (F.coalesce("ball", F.lit(False)) | (F.col("node") == F.col("head"))).alias("ball"))
+    open_ = materialise(open_.join(shape, "node"), "mixed-bands")
     one, two = open_.alias("x"), open_.alias("y")
     apart = (F.col("x.ball") & F.col("y.far")) | (F.col("y.ball") & F.col("x.far"))
+    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(REGISTERS // 64)])
     # What is left of a class pair that met in several bands, or in a star, is one comparison.
-    rest = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & ~apart)
+    rest = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & sizes & (differ <= most_bits(threshold)) & ~apart)
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = materialise(_estimated(rest, classes).where(F.col("similar") >= threshold - margin).select("a", "b"), "cross-candidates")
     if not more.isEmpty():
