@@ -4,13 +4,14 @@ Equal sets are one class, so that copies meet once. Each class has 256 registers
 bucket, stored as its count of leading zeros and ten bits of mantissa. Six registers make a band, and
 classes with equal bands are candidates. In a bucket of the band index
 
-1. every class is compared with the bucket's first one (a star, not all pairs);
-2. where a bucket still holds several components afterwards, classes of different components are
-   compared, except those that their sizes, one bit of each register, or the triangle inequality of
-   the Jaccard distance keep apart.
-
-A comparison first estimates the similarity from the registers, corrected for their collisions, and
-drops a pair only if it is six standard errors below the threshold; then the full sets decide.
+1. every class is compared with one class of the bucket (a star, not all pairs), another one in each
+   of a few rounds, if they are in different components and likely to be linked;
+2. where a bucket then still holds several components, all classes of different components are
+   compared, except those that their sizes or one bit of each register keep apart.
+
+The rounds make few comparisons join most of what belongs together; the last step leaves nothing out.
+Its estimates, corrected for the registers' collisions, drop a pair only if it is six standard errors
+below the threshold; then, as in the rounds, the full sets decide.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ MANTISSA = 10
 COLLISION = 0.169919487159739 / 2**MANTISSA
 #: Standard errors that an estimate may be off.
 ERRORS = 6.0
+#: Rounds of stars.
+ROUNDS = 4
 #: Comparisons with one class that one task makes at most; beyond, they are dealt over several.
 FAN = 512
 #: Ids of texts to compare that are broadcast at most (8 bytes each); more are joined by a shuffle.
@@ -100,10 +103,10 @@ def bits(regs: np.ndarray) -> list[int]:
     return np.packbits(mixed.astype(np.uint8)).view(np.int64).tolist()
 
 
-def most_bits(threshold: float) -> int:
-    """Differing bits that sets at the threshold do not exceed, six standard errors allowed."""
+def most_bits(threshold: float, errors: float = ERRORS) -> int:
+    """Differing bits of sets at the threshold, with so many standard errors allowed."""
     share = (1 - threshold) / 2
-    return int(np.ceil(REGISTERS * share + ERRORS * np.sqrt(REGISTERS * share * (1 - share))))
+    return int(np.ceil(REGISTERS * share + errors * np.sqrt(REGISTERS * share * (1 - share))))
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,42 +219,44 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = materialise(sketched.join(members, F.col("row") == F.col("node")).select("node", "doc_id", "n", "h1", "h2", "regs", "bits", "bands"), "class-sketches")
     sweep(docs.sparkSession)
 
-    # 1. Stars.
-    index = classes.select(F.explode("bands").alias("key"), "node")
-    heads = materialise(index.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head"), "band-heads")
-    crowded = materialise(index.join(heads, "key"), "crowded-bands")
-    stars = materialise(crowded.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    # 1. Stars, around another class of each bucket in each round.
+    shape = ["n", *[f"b{i}" for i in range(REGISTERS // 64)]]
+    shaped = classes.select("node", F.explode("bands").alias("key"), "n", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(REGISTERS // 64)])
+    shared = classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    crowded = materialise(shaped.join(shared, "key"), "crowded-bands")
     threshold = percent / 100
-    margin = ERRORS * F.sqrt(threshold * (1 - threshold) / F.greatest("used", F.lit(1)))
-    judged = materialise(_estimated(stars, classes), "estimates")
-    links = materialise(_confirmed(judged.where(F.col("similar") >= threshold - margin).select("a", "b"), classes, docs, width, percent), "star-links")
-    label = connected_components(links)
-    sweep(docs.sparkSession)
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(REGISTERS // 64)])
+    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    pair = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    links = label = None
+    now = crowded.withColumn("component", F.col("node"))
+    for turn in range(ROUNDS):
+        head = F.min_by(F.struct("node", "component", *shape), F.xxhash64(F.lit(turn), "node"))
+        heads = materialise(now.groupBy("key").agg(head.alias("h"), (F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key", "h.*"), "band-heads")
+        met = now.alias("x").join(heads.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & sizes & (differ <= most_bits(threshold, 1.0)))
+        pairs = materialise(met.select(*pair).distinct(), "stars")
+        if pairs.isEmpty():
+            break
+        found = _confirmed(pairs, classes, docs, width, percent)
+        links = materialise(found if links is None else links.unionByName(found), "links")
+        label = connected_components(links)
+        now = materialise(crowded.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled-bands")
+        sweep(docs.sparkSession)
 
     # 2. Classes of different components in one bucket.
-    labelled = crowded.join(label, "node", "left").select("key", "head", "node", F.coalesce("component", "node").alias("component"))
-    labelled = materialise(labelled, "labelled-bands")
-    mixed = labelled.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
-    # Far from the head: further than any class linked to the head can be from what it is linked with.
-    reach = 1 - 2 * (1 - threshold)
-    far = judged.where(F.col("similar") < reach - margin).select(F.col("a").alias("head"), F.col("b").alias("node"), F.lit(True).alias("far"))
-    near = links.select(F.col("u").alias("head"), F.col("v").alias("node"), F.lit(True).alias("ball"))
-    open_ = labelled.join(mixed, "key", "left_semi").join(far, ["head", "node"], "left").join(near, ["head", "node"], "left")
-    shape = classes.select("node", "n", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(REGISTERS // 64)])
-    open_ = open_.select("key", "node", "component", F.coalesce("far", F.lit(False)).alias("far"), (F.coalesce("ball", F.lit(False)) | (F.col("node") == F.col("head"))).alias("ball"))
-    open_ = materialise(open_.join(shape, "node"), "mixed-bands")
+    mixed = now.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
+    open_ = materialise(now.join(mixed, "key", "left_semi"), "mixed-bands")
     one, two = open_.alias("x"), open_.alias("y")
-    apart = (F.col("x.ball") & F.col("y.far")) | (F.col("y.ball") & F.col("x.far"))
-    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(REGISTERS // 64)])
-    # What is left of a class pair that met in several bands, or in a star, is one comparison.
-    rest = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & sizes & (differ <= most_bits(threshold)) & ~apart)
-    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialise(_estimated(rest, classes).where(F.col("similar") >= threshold - margin).select("a", "b"), "cross-candidates")
+    rest = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & sizes & (differ <= most_bits(threshold)))
+    margin = ERRORS * F.sqrt(threshold * (1 - threshold) / F.greatest("used", F.lit(1)))
+    more = materialise(_estimated(rest.select(*pair).distinct(), classes).where(F.col("similar") >= threshold - margin).select("a", "b"), "cross-candidates")
     if not more.isEmpty():
-        again = materialise(links.unionByName(_confirmed(more, classes, docs, width, percent)), "links")
-        label = connected_components(again)
-        release(again)
+        found = _confirmed(more, classes, docs, width, percent)
+        links = materialise(found if links is None else links.unionByName(found), "links")
+        label = connected_components(links)
+        sweep(docs.sparkSession)
+    if label is None:
+        label = docs.sparkSession.createDataFrame([], "node long, component long")
 
     # The smallest id of each component, for classes that have several rows or links.
     joined = members.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "rows", "least", F.col("component").isNotNull().alias("linked"))
