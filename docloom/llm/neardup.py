@@ -10,7 +10,7 @@ classes with equal bands are candidates. In a bucket of the band index
    compared, except those that their sizes or one bit of each register keep apart.
 
 The rounds make few comparisons join most of what belongs together; the last step leaves nothing out.
-Its estimates, corrected for the registers' collisions, drop a pair only if it is six standard errors
+Its estimates, corrected for the registers' collisions, drop a pair only if it is five standard errors
 below the threshold; then, as in the rounds, the full sets decide.
 """
 
@@ -22,7 +22,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import documents, keep_marked, materialise, parallelism, release, sweep, text_key
@@ -33,7 +33,7 @@ MANTISSA = 10
 #: Probability that two registers of different least hashes agree, with ten bits of mantissa.
 COLLISION = 0.169919487159739 / 2**MANTISSA
 #: Standard errors that an estimate may be off.
-ERRORS = 6.0
+ERRORS = 5.0
 #: Rounds of stars.
 ROUNDS = 4
 #: Comparisons with one class that one task makes at most; beyond, they are dealt over several.
@@ -103,10 +103,10 @@ def bits(regs: np.ndarray) -> list[int]:
     return np.packbits(mixed.astype(np.uint8)).view(np.int64).tolist()
 
 
-def most_bits(threshold: float, errors: float = ERRORS) -> int:
-    """Differing bits of sets at the threshold, with so many standard errors allowed."""
+def most_bits(threshold: float, used: Column, errors: float = ERRORS) -> Column:
+    """Differing bits of sets at the threshold that use so many registers, with so many standard errors."""
     share = (1 - threshold) / 2
-    return int(np.ceil(REGISTERS * share + errors * np.sqrt(REGISTERS * share * (1 - share))))
+    return used * share + errors * F.sqrt(used * share * (1 - share))
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,39 +117,50 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.clip((share - COLLISION) / (1 - COLLISION), 0.0, 1.0), used
 
 
+def least_estimate(threshold: float, used: Column, smaller: Column) -> Column:
+    """The estimate that a pair at the threshold does not fall below, ERRORS standard errors allowed.
+
+    The registers used are a sample without replacement of a union that has at most
+    ``smaller / threshold`` members, so short texts, whose sets the registers nearly hold, are
+    estimated with less error.
+    """
+    left_out = F.greatest(F.lit(0.05), 1 - used * threshold / F.greatest(smaller, F.lit(1)))
+    return threshold - ERRORS * F.sqrt(threshold * (1 - threshold) * left_out / F.greatest(used, F.lit(1)))
+
+
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
-    types = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("regs", pa.binary()), ("bits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+    types = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("u", pa.int64()), ("regs", pa.binary()), ("bits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
+            columns: list[list] = [[] for _ in range(7)]
             for text in batch.column(1).to_pylist():
                 hashes = shingles(text, width)
                 if len(hashes):
                     digest, regs = xxhash.xxh3_128_digest(hashes.tobytes()), registers(hashes)
-                    row = (len(hashes), *np.frombuffer(digest, "<i8").tolist(), regs.tobytes(), bits(regs), bands(regs))
+                    row = (len(hashes), *np.frombuffer(digest, "<i8").tolist(), int(np.count_nonzero(regs)), regs.tobytes(), bits(regs), bands(regs))
                 else:
-                    row = (0, 0, 0, None, None, None)
+                    row = (0, 0, 0, 0, None, None, None)
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t.type) for c, t in zip(columns, list(types)[2:], strict=True))], schema=types)
 
-    found = documents(docs).withColumn("text_hash", text_key(F.col("text"))).mapInArrow(run, "doc_id long, text_hash long, n long, h1 long, h2 long, regs binary, bits array<long>, bands array<long>")
+    found = documents(docs).withColumn("text_hash", text_key(F.col("text"))).mapInArrow(run, "doc_id long, text_hash long, n long, h1 long, h2 long, u long, regs binary, bits array<long>, bands array<long>")
     return found.withColumn("row", F.monotonically_increasing_id())
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) with estimate and the registers it rests on."""
-    regs = lambda name: classes.select(F.col("node").alias(name), F.col("regs").alias(f"regs_{name}"))
+    """Pairs (a, b) with the size of the smaller set, the estimate and the registers it rests on."""
+    regs = lambda name: classes.select(F.col("node").alias(name), F.col("regs").alias(f"regs_{name}"), F.col("n").alias(f"n_{name}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in (2, 3))
             similar, used = estimate(a, b)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similar), pa.array(used.astype(np.int32))], ["a", "b", "similar", "used"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(similar), pa.array(used.astype(np.int32))], ["a", "b", "smaller", "similar", "used"])
 
-    joined = pairs.join(regs("a"), "a").join(regs("b"), "b").select("a", "b", "regs_a", "regs_b")
-    return joined.mapInArrow(run, "a long, b long, similar double, used int")
+    joined = pairs.join(regs("a"), "a").join(regs("b"), "b").select("a", "b", "regs_a", "regs_b", F.least("n_a", "n_b").alias("smaller"))
+    return joined.mapInArrow(run, "a long, b long, smaller long, similar double, used int")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -212,20 +223,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     that a pair at a similarity of 0.8 shares none of 42 bands is 3e-6, at 0.85 2e-9. All tables of rows, classes,
     candidates and links stay distributed.
     """
-    sketched = materialise(_sketches(docs, width), "sketches")
+    wide = materialise(_sketches(docs, width), "sketches")
+    sketched = materialise(wide.select("doc_id", "text_hash", "row", "n", "h1", "h2"), "rows")
     grouped = sketched.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count("*").alias("rows"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("least"))
     grouped = materialise(grouped, "classes")
     members = grouped.select("node", "rows", "least")
-    classes = materialise(sketched.join(members, F.col("row") == F.col("node")).select("node", "doc_id", "n", "h1", "h2", "regs", "bits", "bands"), "class-sketches")
+    classes = materialise(wide.join(members, F.col("row") == F.col("node")).select("node", "doc_id", "n", "h1", "h2", "u", "regs", "bits", "bands"), "class-sketches")
+    release(wide)
     sweep(docs.sparkSession)
 
     # 1. Stars, around another class of each bucket in each round.
-    shape = ["n", *[f"b{i}" for i in range(REGISTERS // 64)]]
-    shaped = classes.select("node", F.explode("bands").alias("key"), "n", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(REGISTERS // 64)])
+    shape = ["n", "u", *[f"b{i}" for i in range(REGISTERS // 64)]]
+    shaped = classes.select("node", F.explode("bands").alias("key"), "n", "u", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(REGISTERS // 64)])
     shared = classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     crowded = materialise(shaped.join(shared, "key"), "crowded-bands")
     threshold = percent / 100
     differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(REGISTERS // 64)])
+    # Registers that a pair at the threshold uses together, at most.
+    used = F.least(F.lit(float(REGISTERS)), F.least("x.u", "y.u") * (2 - threshold) / threshold)
     sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
     pair = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     links = label = None
@@ -233,7 +248,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     for turn in range(ROUNDS):
         head = F.min_by(F.struct("node", "component", *shape), F.xxhash64(F.lit(turn), "node"))
         heads = materialise(now.groupBy("key").agg(head.alias("h"), (F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key", "h.*"), "band-heads")
-        met = now.alias("x").join(heads.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & sizes & (differ <= most_bits(threshold, 1.0)))
+        met = now.alias("x").join(heads.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & sizes & (differ <= most_bits(threshold, used, 1.0)))
         pairs = materialise(met.select(*pair).distinct(), "stars")
         if pairs.isEmpty():
             break
@@ -247,9 +262,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     mixed = now.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
     open_ = materialise(now.join(mixed, "key", "left_semi"), "mixed-bands")
     one, two = open_.alias("x"), open_.alias("y")
-    rest = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & sizes & (differ <= most_bits(threshold)))
-    margin = ERRORS * F.sqrt(threshold * (1 - threshold) / F.greatest("used", F.lit(1)))
-    more = materialise(_estimated(rest.select(*pair).distinct(), classes).where(F.col("similar") >= threshold - margin).select("a", "b"), "cross-candidates")
+    rest = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & sizes & (differ <= most_bits(threshold, used)))
+    more = materialise(_estimated(rest.select(*pair).distinct(), classes).where(F.col("similar") >= least_estimate(threshold, F.col("used"), F.col("smaller"))).select("a", "b"), "cross-candidates")
     if not more.isEmpty():
         found = _confirmed(more, classes, docs, width, percent)
         links = materialise(found if links is None else links.unionByName(found), "links")
