@@ -33,21 +33,21 @@ def text_key(text: Column) -> Column:
 def keep_marked(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``marked`` (doc_id, text_hash, stays; a row per row) lets stay, with all columns.
 
-    Ids and texts of rows that go are what is joined with the documents, so that where few go the
+    Columns of ``docs`` may have any names but those that begin with ``_docloom``. Ids and texts of rows that go are what is joined with the documents, so that where few go the
     join is small. Rows that repeat an id and its text stay as often as they are marked to.
     """
-    counted = marked.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).agg(F.count("*").alias("_n"), F.count_if("stays").alias("_stay")).where("_stay < _n")
+    counted = marked.groupBy(F.col("doc_id").alias("_docloom_id"), F.col("text_hash").alias("_docloom_h")).agg(F.count("*").alias("_docloom_n"), F.count_if("stays").alias("_docloom_stay")).where("_docloom_stay < _docloom_n")
     counted = materialise(counted, "going")
     if counted.isEmpty():
         return docs
     key = text_key(F.col("text"))
     left = docs.withColumn("_docloom_key", key)
-    same = lambda other: left["doc_id"].cast("long").eqNullSafe(other["_id"]) & (left["_docloom_key"] == other["_h"])
+    same = lambda other: left["doc_id"].cast("long").eqNullSafe(other["_docloom_id"]) & (left["_docloom_key"] == other["_docloom_h"])
     out = left.join(counted, same(counted), "left_anti")
-    partly = counted.where("_stay > 0")
+    partly = counted.where("_docloom_stay > 0")
     if not partly.isEmpty():
-        repeated = left.join(partly, same(partly)).withColumn("_place", F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.lit(0))))
-        out = out.unionByName(repeated.where("_place <= _stay").drop("_id", "_h", "_n", "_stay", "_place"))
+        repeated = left.join(partly, same(partly)).withColumn("_docloom_place", F.row_number().over(Window.partitionBy("_docloom_id", "_docloom_h").orderBy(F.lit(0))))
+        out = out.unionByName(repeated.where("_docloom_place <= _docloom_stay").drop("_docloom_id", "_docloom_h", "_docloom_n", "_docloom_stay", "_docloom_place"))
     return out.drop("_docloom_key")
 
 
