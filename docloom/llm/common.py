@@ -33,8 +33,9 @@ def text_key(text: Column) -> Column:
 def keep_marked(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``marked`` (doc_id, text_hash, stays; a row per row) lets stay, with all columns.
 
-    Columns of ``docs`` may have any names but those that begin with ``_docloom``. Ids and texts of rows that go are what is joined with the documents, so that where few go the
-    join is small. Rows that repeat an id and its text stay as often as they are marked to.
+    Columns of ``docs`` may have any names but those that begin with ``_docloom``. Ids and texts of rows
+    that go are what is joined with the documents, so that where few go the join is small. Rows that
+    repeat an id and its text stay as often as they are marked to.
     """
     counted = marked.groupBy(F.col("doc_id").alias("_docloom_id"), F.col("text_hash").alias("_docloom_h")).agg(F.count("*").alias("_docloom_n"), F.count_if("stays").alias("_docloom_stay")).where("_docloom_stay < _docloom_n")
     counted = materialise(counted, "going")

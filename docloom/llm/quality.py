@@ -121,7 +121,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
             x = pa.array([statistics(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), x], ["y", "x"])
 
-    found = rows.mapInArrow(run, "y int, x array<double>").orderBy("y", "x").collect()
+    found = rows.mapInArrow(run, "y int, x array<double>").collect()
+    found.sort(key=lambda r: (r["y"], r["x"]))
     if not found:
         return None
     return fit_discriminant(np.array([r["x"] for r in found]), np.array([r["y"] for r in found]), counts)

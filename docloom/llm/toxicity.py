@@ -180,7 +180,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sampl
             x = pa.array([_features(t, a) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), x], ["y", "x"])
 
-    found = rows.mapInArrow(run, "y int, x array<double>").orderBy("y", "x").collect()
+    found = rows.mapInArrow(run, "y int, x array<double>").collect()
+    found.sort(key=lambda r: (r["y"], r["x"]))
     y = np.array([r["y"] for r in found])
     if min((y == 0).sum(), (y == 1).sum()) < 1:
         return plain
