@@ -34,17 +34,24 @@ def search_entities(queries: DataFrame, entities: DataFrame, k: int = 10, types:
     What depends on one side alone is worked out before questions and entities meet.
     """
     q, qw = F.lower(F.trim("question")), F.array_distinct(words(F.lower("question")))
-    asked = queries.select("query_id", q.alias("q"), qw.alias("qw"), F.filter(qw, lambda w: F.length(w) > 3).alias("long_words"))
+    asked = queries.select("query_id", q.alias("q"), qw.alias("qw"))
     name, about = F.lower("name"), F.lower(F.coalesce("description", F.lit("")))
     pool = entities if types is None else entities.where(F.col("entity_type").isin(*types))
-    weight = (1 + F.least(F.col("mention_count") * 0.1, F.lit(0.5))) * F.col("confidence")
-    pool = pool.select("entity_id", "name", "entity_type", "mention_count", "confidence", "ord", name.alias("n"), about.alias("d"), F.array_distinct(F.concat(words(name), words(about))).alias("w"), weight.alias("weight"))
+    pool = pool.select("entity_id", name.alias("n"), about.alias("d"), F.array_distinct(F.concat(words(name), words(about))).alias("w"))
     # A scan of few small files would leave the comparisons to one task.
     pool = pool.repartition(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pairs = pool.crossJoin(_asked(asked)).withColumn("shared", F.size(F.array_intersect("qw", "w")))
-    part = F.exists("long_words", lambda w: F.contains("n", w) | F.contains("d", w))
-    base = F.when(F.col("q") == F.col("n"), 1.0).when(F.contains("n", "q"), 0.9).when(F.contains("d", "q"), 0.7).when(F.col("shared") > 0, F.col("shared") / F.size("qw") * 0.6).when(part, 0.4).otherwise(0.0)
-    scored = pairs.withColumn("score", base * F.col("weight")).where("score > 0")
+    inside = lambda x: F.contains("n", F.col(x)) | F.contains("d", F.col(x))
+    whole = pool.crossJoin(_asked(asked.select("query_id", "q"))).where(inside("q"))
+    whole = whole.select("query_id", "entity_id", F.lit(3).alias("way"), F.when(F.col("q") == F.col("n"), 1.0).when(F.contains("n", "q"), 0.9).otherwise(0.7).alias("base"))
+    # Shared words are an equi-join on the word; only parts of words need every entity, once for each word.
+    own = asked.select("query_id", F.size("qw").alias("all"), F.explode("qw").alias("word"))
+    shared = pool.select("entity_id", F.explode("w").alias("word")).join(own, "word").groupBy("query_id", "entity_id").agg(F.lit(2).alias("way"), (F.count("*") / F.max("all") * 0.6).alias("base"))
+    long_words = own.where(F.length("word") > 3)
+    held = pool.crossJoin(_asked(long_words.select("word").distinct())).where(inside("word")).select("entity_id", "word")
+    parts = held.join(long_words, "word").select("query_id", "entity_id", F.lit(1).alias("way"), F.lit(0.4).alias("base")).distinct()
+    best = whole.unionByName(shared).unionByName(parts).groupBy("query_id", "entity_id").agg(F.max(F.struct("way", "base"))["base"].alias("base"))
+    weight = (1 + F.least(F.col("mention_count") * 0.1, F.lit(0.5))) * F.col("confidence")
+    scored = best.join(entities.select("entity_id", "name", "entity_type", "mention_count", "confidence", "ord"), "entity_id").withColumn("score", F.col("base") * weight).where("score > 0")
     return ranked(scored, "score", k, "ord", "entity_id").select("query_id", "entity_id", "name", "entity_type", "mention_count", "confidence", "score", "rank")
 
 

@@ -17,6 +17,7 @@ from docloom.functions import typing as Y
 from docloom.functions import vectors as V
 from docloom.operators import budget, entities, graph, mentions, regions, search, spatial, statistics
 from docloom.sources import regions as S
+from docloom.sources.store import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -653,12 +654,6 @@ def _engine(spark, sf_dir):
     return Engine(spark).index_regions(html(spark, sf_dir))
 
 
-@query()
-def retrieve_contexts(spark, sf_dir):
-    """All questions of the conversations over all pages, each by its level's strategy."""
-    return _engine(spark, sf_dir).retrieve(_questions(spark, sf_dir))
-
-
 @query()
 def all_relations(spark, sf_dir):
     return _engine(spark, sf_dir).tables["relationships"].select("source", "target", "rel_type", "weight")
@@ -666,7 +661,8 @@ def all_relations(spark, sf_dir):
 
 @query()
 def entity_search(spark, sf_dir):
-    return search.search_entities(_questions(spark, sf_dir), _engine(spark, sf_dir).tables["entities"], 10)
+    merged = materialise(entities.merge_entities(mentions.extract_mentions(html(spark, sf_dir))), "entities")
+    return search.search_entities(_questions(spark, sf_dir), merged, 10)
 
 
 @query()
