@@ -45,4 +45,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         mark = (row["n"], row["s"])
     roots = now.select(F.col("v").alias("node")).distinct()
-    return materialise(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component"))), "components")
+    out = materialise(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component"))), "components")
+    release(now)
+    return out

@@ -252,15 +252,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         pairs = materialise(met.select(*pair).distinct(), "stars")
         if pairs.isEmpty():
             break
+        before = [heads, pairs, now] + [df for df in (links, label) if df is not None]
         found = _confirmed(pairs, classes, docs, width, percent)
         links = materialise(found if links is None else links.unionByName(found), "links")
         label = connected_components(links)
         now = materialise(crowded.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled-bands")
+        release(*before)
         sweep(docs.sparkSession)
 
     # 2. Classes of different components in one bucket.
     mixed = now.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
     open_ = materialise(now.join(mixed, "key", "left_semi"), "mixed-bands")
+    release(crowded, now)
     one, two = open_.alias("x"), open_.alias("y")
     rest = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & sizes & (differ <= most_bits(threshold, used)))
     more = materialise(_estimated(rest.select(*pair).distinct(), classes).where(F.col("similar") >= least_estimate(threshold, F.col("used"), F.col("smaller"))).select("a", "b"), "cross-candidates")
