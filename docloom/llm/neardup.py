@@ -4,10 +4,14 @@ Equal sets are one class, so that copies meet once. Each class has 256 registers
 bucket, stored as its count of leading zeros and ten bits of mantissa. Six registers make a band, and
 classes with equal bands are candidates. In a bucket of the band index
 
-1. every class is compared with one class of the bucket (a star, not all pairs), another one in each
-   of a few rounds, if they are in different components and likely to be linked;
-2. where a bucket then still holds several components, all classes of different components are
-   compared, except those that their sizes or one bit of each register keep apart.
+1. in a large bucket, a class's shingles that no other class of large buckets has are counted: what
+   is left bounds its similarity to the others, and a class that can't reach the threshold goes;
+2. every class is compared with one class of the bucket (a star, not all pairs), in the first round
+   the one with the fewest shingles of its own, then another one, if they are in different
+   components and likely to be linked;
+3. where a bucket then still holds several components, all classes of different components are
+   compared, in one of the large buckets that they share, except those that their sizes, the bound or
+   one bit of each register keep apart.
 
 The rounds make few comparisons join most of what belongs together; the last step leaves nothing out.
 Its estimates, corrected for the registers' collisions, drop a pair only if it is five standard errors
@@ -35,7 +39,9 @@ COLLISION = 0.169919487159739 / 2**MANTISSA
 #: Standard errors that an estimate may be off.
 ERRORS = 5.0
 #: Rounds of stars.
-ROUNDS = 4
+ROUNDS = 2
+#: Buckets of more classes are large: there, shingles that no other class has bound the similarity first.
+LARGE = 32
 #: Comparisons with one class that one task makes at most; beyond, they are dealt over several.
 FAN = 512
 #: Ids of texts to compare that are broadcast at most (8 bytes each); more are joined by a shuffle.
@@ -163,6 +169,37 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, smaller long, similar double, used int")
 
 
+def _texts(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """``named`` (_id and others, a written table) with the text of every document that has the id."""
+    read, ids = documents(docs), named.select(F.col("_id").alias("_w")).distinct()
+    if ids.count() <= WANTED:  # few enough to send to every task, so that other texts stay where they are
+        read = read.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_w")), "left_semi")
+    return read.join(named, F.col("doc_id").eqNullSafe(F.col("_id")))
+
+
+def _alone(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, alone): how many of a class's shingles no other class of ``nodes`` has; rows only where some are alone.
+
+    What two classes have in common can't exceed what either shares with any class, so this bounds
+    their similarity from above, and never wrongly: shingles whose hashes collide count as shared.
+    """
+    named = materialise(nodes.join(classes.select("node", "doc_id", "h1", "h2"), "node").select(F.col("doc_id").alias("_id"), "node", "h1", "h2"), "open-classes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # of ids that occur several times in this task
+        for batch in batches:
+            for node, h1, h2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hashes = shingles(text, width)
+                if node in done or np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), "<i8").tolist() != [h1, h2]:
+                    continue
+                done.add(node)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), node, np.int64)), pa.array(hashes.view(np.int64))], ["node", "shingle"])
+
+    each = _texts(docs, named).select("node", "h1", "h2", "text").mapInArrow(run, "node long, shingle long")
+    single = each.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
+    return materialise(single.groupBy("node").agg(F.count("*").alias("alone")), "alone")
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold, as edges (u, v).
 
@@ -178,10 +215,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
     wanted = dealt.select("a", F.col("b").alias("node"), F.lit(1).alias("side"), "salt").unionByName(first)
     named = wanted.join(classes.select("node", "doc_id", "h1", "h2"), "node").select(F.col("doc_id").alias("_id"), "a", "node", "side", "salt", "h1", "h2")
     named = materialise(named, "comparisons")
-    read, ids = documents(docs), named.select(F.col("_id").alias("_w")).distinct()
-    if ids.count() <= WANTED:  # few enough to send to every task, so that other texts stay where they are
-        read = read.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_w")), "left_semi")
-    texts = read.join(named, F.col("doc_id").eqNullSafe(F.col("_id"))).select("a", "salt", "side", "node", "h1", "h2", "text")
+    texts = _texts(docs, named).select("a", "salt", "side", "node", "h1", "h2", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, base = None, None
@@ -207,6 +241,12 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
     return texts.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "side").mapInArrow(run, "u long, v long").distinct()
 
 
+def _mixed(bands: DataFrame) -> DataFrame:
+    """The rows of ``bands`` (key, component, ...) in buckets of several components. Others never become mixed again."""
+    several = bands.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
+    return materialise(bands.join(several, "key", "left_semi"), "mixed-bands")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, text_hash and first.
 
@@ -232,40 +272,56 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     release(wide)
     sweep(docs.sparkSession)
 
-    # 1. Stars, around another class of each bucket in each round.
-    shape = ["n", "u", *[f"b{i}" for i in range(REGISTERS // 64)]]
-    shaped = classes.select("node", F.explode("bands").alias("key"), "n", "u", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(REGISTERS // 64)])
-    shared = classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    crowded = materialise(shaped.join(shared, "key"), "crowded-bands")
+    # 1. Buckets, and bounds in the large ones; 2. stars.
+    shape = ["n", "most", "u", *[f"b{i}" for i in range(REGISTERS // 64)]]
+    words_of = [f"b{i}" for i in range(REGISTERS // 64)]
+    keys = classes.select("node", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key", (F.col("size") > LARGE).alias("large"))
+    crowded = materialise(keys.join(shared, "key"), "crowded-bands")
+    in_large = crowded.where("large")
+    alone = _alone(in_large.select("node").distinct(), classes, docs, width)
+    # A class's large buckets (at most BANDS) tell whether a pair meets in a bucket with a lesser key.
+    large_keys = in_large.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    least_alone = F.coalesce(F.when(F.col("large"), F.col("alone")), F.lit(0))
+    shaped = classes.select("node", "n", "u", *[F.get("bits", F.lit(i)).alias(name) for i, name in enumerate(words_of)]).join(alone, "node", "left").join(large_keys, "node", "left")
+    lesser = F.when(F.col("large"), F.filter("keys", lambda key: key < F.col("key"))).alias("lesser")
+    able = crowded.join(shaped, "node").select("key", "node", "n", "u", *words_of, (F.col("n") - least_alone).alias("most"), lesser, F.col("node").alias("component"))
+    now = materialise(able.where(100 * F.col("most") >= percent * F.col("n")), "able-bands")  # later, buckets of several components only
+    release(crowded, alone)
+    sweep(docs.sparkSession)
     threshold = percent / 100
     differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(REGISTERS // 64)])
     # Registers that a pair at the threshold uses together, at most.
     used = F.least(F.lit(float(REGISTERS)), F.least("x.u", "y.u") * (2 - threshold) / threshold)
     sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
     pair = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    common = (100 + percent) * F.least("x.most", "y.most") >= percent * (F.col("x.n") + F.col("y.n"))
     links = label = None
-    now = crowded.withColumn("component", F.col("node"))
     for turn in range(ROUNDS):
-        head = F.min_by(F.struct("node", "component", *shape), F.xxhash64(F.lit(turn), "node"))
-        heads = materialise(now.groupBy("key").agg(head.alias("h"), (F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key", "h.*"), "band-heads")
-        met = now.alias("x").join(heads.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & sizes & (differ <= most_bits(threshold, used, 1.0)))
+        chance = F.xxhash64(F.lit(turn), "node")
+        order = F.struct((1 - F.col("most") / F.col("n")).alias("share"), chance.alias("chance")) if turn == 0 else chance
+        head = F.min_by(F.struct("node", "component", *shape), order)
+        heads = materialise(now.groupBy("key").agg(head.alias("h")).select("key", "h.*"), "band-heads")
+        met = now.alias("x").join(heads.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & sizes & common & (differ <= most_bits(threshold, used, 1.0)))
         pairs = materialise(met.select(*pair).distinct(), "stars")
         if pairs.isEmpty():
+            release(heads, pairs)
             break
-        before = [heads, pairs, now] + [df for df in (links, label) if df is not None]
+        before = [heads, pairs] + [df for df in (links, label) if df is not None]
         found = _confirmed(pairs, classes, docs, width, percent)
         links = materialise(found if links is None else links.unionByName(found), "links")
         label = connected_components(links)
-        now = materialise(crowded.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled-bands")
         release(*before)
+        labelled = materialise(now.drop("component").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled-bands")
+        release(now)
+        now = _mixed(labelled)
+        release(labelled)
         sweep(docs.sparkSession)
 
-    # 2. Classes of different components in one bucket.
-    mixed = now.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
-    open_ = materialise(now.join(mixed, "key", "left_semi"), "mixed-bands")
-    release(crowded, now)
-    one, two = open_.alias("x"), open_.alias("y")
-    rest = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & sizes & (differ <= most_bits(threshold, used)))
+    # 3. Classes of different components in one bucket.
+    one, two = now.alias("x"), now.alias("y")
+    unmet = ~F.coalesce(F.arrays_overlap("x.lesser", "y.lesser"), F.lit(False))
+    rest = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & sizes & common & (differ <= most_bits(threshold, used)) & unmet)
     more = materialise(_estimated(rest.select(*pair).distinct(), classes).where(F.col("similar") >= least_estimate(threshold, F.col("used"), F.col("smaller"))).select("a", "b"), "cross-candidates")
     if not more.isEmpty():
         found = _confirmed(more, classes, docs, width, percent)
