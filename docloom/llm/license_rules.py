@@ -10,13 +10,14 @@ from __future__ import annotations
 from typing import NamedTuple
 
 #: Literals of which every text that any rule matches holds one.
-GATES = ("licen", "creativecommons", "cc by", "cc0", "copyright", "public domain", "rights reserved", "copyleft", "wtfpl")
+GATES = ("licen", "creativecommons", "cc by", "cc0", "copyright", "public domain", "rights reserved", "copyleft", "wtfpl", "bsd", "no attribution", "creative commons")
 
 #: Phrases that are searched in any case, with their labels (fixed values).
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
 _L = "licen[cs]e"
-#: Label, name as a pattern over words, literal of the name, identifiers as words.
+#: Label, name as a pattern over words, literal of the name, identifiers as words. Where no one literal is
+#: in all forms of a name, the forms are a tuple and have a literal each.
 NAMES = (
     ("mit", rf"mit (?:x11 |expat )?{_L}", "mit", ("mit", "x11")),
     ("mit-0", rf"mit no attribution(?: {_L})?", "mit no attribution", ("mit 0",)),
@@ -24,7 +25,7 @@ NAMES = (
     ("apache-1.1", rf"apache (?:software )?{_L}(?: version)? 1 1", "apache", ("apache 1 1",)),
     ("apache-1", rf"apache (?:software )?{_L}(?: version)? 1 0", "apache", ("apache 1 0",)),
     ("apache", rf"apache (?:software )?{_L}", "apache", ()),
-    ("bsd-2", rf"(?:2|two) clause bsd {_L}|(?:simplified|freebsd) (?:bsd )?{_L}|bsd 2 clause(?: {_L})?", "bsd", ("bsd 2 clause",)),
+    ("bsd-2", (rf"(?:2|two) clause bsd {_L}|bsd 2 clause(?: {_L})?", rf"(?:simplified|freebsd) (?:bsd )?{_L}"), ("bsd", "licen"), ("bsd 2 clause",)),
     ("bsd-3", rf"(?:3|three) clause bsd {_L}|(?:modified|new|revised) bsd {_L}|bsd 3 clause(?: {_L})?", "bsd", ("bsd 3 clause",)),
     ("bsd-4", rf"(?:4|four) clause bsd {_L}|original bsd {_L}|bsd 4 clause(?: {_L})?", "bsd", ("bsd 4 clause",)),
     ("bsd-0", rf"zero clause bsd(?: {_L})?|0bsd {_L}", "bsd", ("0bsd",)),
@@ -59,7 +60,7 @@ NAMES = (
     ("sspl-1", rf"server side public {_L}", "server side", ("sspl 1 0",)),
     ("elastic-2", rf"elastic {_L}(?: 2 0)?", "elastic", ("elastic 2 0",)),
     ("unlicense", r"(?:the )?unlicense", "unlicense", ("unlicense",)),
-    ("wtfpl", rf"wtfpl(?: {_L})?|do what the fuck you want to public {_L}", "", ("wtfpl",)),
+    ("wtfpl", (rf"wtfpl(?: {_L})?", rf"do what the fuck you want to public {_L}"), ("wtfpl", "do what the fuck"), ("wtfpl",)),
     ("psf", rf"python software foundation {_L}(?: version 2)?|psf {_L}", "licen", ("psf 2 0", "python 2 0")),
     ("postgresql", rf"postgresql {_L}", "postgresql", ("postgresql",)),
     ("php-3", rf"php {_L}(?: version 3 0 1?)?", "php", ("php 3 0", "php 3 01")),
@@ -84,10 +85,10 @@ NAMES = (
     ("odbl-1", rf"open (?:data commons open )?database {_L}", "database", ("odbl 1 0",)),
     ("odc-by-1", rf"open data commons attribution {_L}", "open data commons", ("odc by 1 0",)),
     ("pddl-1", rf"public domain dedication and {_L}", "public domain", ("pddl 1 0",)),
-    ("cc0-1", rf"cc0(?: 1 0)?(?: universal)?(?: {_L})?|creative commons zero {_L}", "", ("cc0 1 0",)),
+    ("cc0-1", (rf"cc0(?: 1 0)?(?: universal)?(?: {_L})?", rf"creative commons zero {_L}"), ("cc0", "creative commons zero"), ("cc0 1 0",)),
     ("llama", rf"llama (?:2 |3 )?community {_L}(?: agreement)?", "llama", ("llama2", "llama3")),
     ("openrail-m", rf"(?:creativeml |bigscience |bigcode )?open ?rail(?: m)? {_L}", "rail", ("openrail m", "bigscience openrail m")),
-    ("proprietary", rf"proprietary (?:software )?{_L}|proprietary and confidential copyright", "", ("proprietary",)),
+    ("proprietary", rf"proprietary (?:software )?{_L}|proprietary and confidential copyright", "propriet", ("proprietary",)),
 )
 
 #: Creative Commons: elements as words, label, name as words.
@@ -134,13 +135,13 @@ def rules() -> list[Rule]:
     """All rules in order. Identifiers come before phrases, phrases before names, exact before generic."""
     out: list[Rule] = []
     for order, (label, name, literal, ids) in enumerate(NAMES):
-        gate = literal or ("wtfpl" if label == "wtfpl" else "cc0" if label == "cc0-1" else "propriet")
         for i in ids:
             out.append(_rule(label, f"identifier {i}", f"spdx license identifier {i}", 100 + order, 1.0))
             out.append(_rule(label, f"licenses {i}", f"(?:opensource|spdx|choosealicense) (?:org|com) licenses {i}", 200 + order, 0.95))
-        out.append(_rule(label, gate, f"{_VERB}(?:{name})", 300 + order, 0.9))
-        out.append(_rule(label, gate, f"{_L} (?:is )?(?:the )?(?:{name})", 400 + order, 0.85))
-        out.append(_rule(label, gate, name, 500 + order, 0.75))
+        for form, gate in [(name, literal)] if isinstance(name, str) else zip(name, literal, strict=True):
+            out.append(_rule(label, gate, f"{_VERB}(?:{form})", 300 + order, 0.9))
+            out.append(_rule(label, gate, f"{_L} (?:is )?(?:the )?(?:{form})", 400 + order, 0.85))
+            out.append(_rule(label, gate, form, 500 + order, 0.75))
     for order, (words, label, name) in enumerate(_CC):
         end = "" if words in ("by nc sa", "by nc nd") else "(?! (?:sa|nd))" if words == "by nc" else "(?! (?:sa|nd|nc))"
         out.append(_rule(label, "identifier cc", f"spdx license identifier cc {words}{end}(?: [1-4] [05])?", 100 + order, 1.0))

@@ -290,6 +290,45 @@ def test_rules_have_gates():
         assert any(g in r.regex.replace("[cs]", "").replace("licene", "licen") or "licen[cs]e" in r.regex for g in GATES), r
 
 
+def forms(pattern):
+    """Texts of a rule's alternatives, each without its optional parts."""
+    from re import _parser
+
+    def made(op, a):
+        if op is _parser.LITERAL:
+            return [chr(a)]
+        if op is _parser.IN:
+            return [chr(a[0][1][0] if a[0][0] is _parser.RANGE else a[0][1])]
+        if op is _parser.BRANCH:
+            return [t for p in a[1] for t in joined(p)]
+        if op is _parser.SUBPATTERN:
+            return joined(a[3])
+        if op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT):
+            return ["".join(p) for p in itertools.product(joined(a[2]), repeat=a[0])]
+        assert op in (_parser.ANY, _parser.ASSERT, _parser.ASSERT_NOT), op
+        return [""]
+
+    def joined(parsed):
+        return ["".join(p) for p in itertools.product(*[made(op, a) for op, a in parsed])]
+
+    return joined(_parser.parse(pattern))
+
+
+def test_gates_lose_no_form(spark):
+    texts = sorted({t for r in rules() for t in forms(r.regex)})
+    assert {"bsd 3 clause", "zero clause bsd", "mit no attribution", "simplified licence", "shared under creative commons attribution"} <= set(texts)
+    compiled = [(re.compile(r.regex), r) for r in rules()]
+    rows = {r["doc_id"]: r["detections"] for r in licenses.scan_licenses(table(spark, texts)).select("doc_id", "detections").collect()}
+    for i, text in enumerate(texts):
+        kept = []
+        for start, back, priority, label in sorted((m.start(), -m.end(), r.priority, r.label) for c, r in compiled for m in c.finditer(f" {text} ")):
+            if not kept or start >= -kept[-1][1]:
+                kept.append((start, back, priority, label))
+            elif back < kept[-1][1] and priority < kept[-1][2]:
+                kept[-1] = (start, back, priority, label)
+        assert kept and [(d["start"], d["end"], d["label"]) for d in rows[i]] == [(s, -b, label) for s, b, _, label in kept], text
+
+
 def test_mixing(spark):
     texts = [words(30 + k % 50, k) for k in range(400)] + [None, ""]
     docs = table(spark, texts, sources=[["a", "a", "b", "c", None][k % 5] for k in range(402)])
