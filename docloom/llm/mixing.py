@@ -105,18 +105,37 @@ def _block(seed: int, blocks: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(blocks)).cast("int")
 
 
+def _key(seed: int) -> Column:
+    """The order of documents within a block; rows share it only if they repeat an id and its text."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text"))
+
+
+def _resolve_splits(drawn: DataFrame, sized: DataFrame) -> DataFrame:
+    """The drawn blocks with ``upto``: the last key that is drawn of a split block, null of whole ones.
+
+    A block is split where a source's target is met within it, once a source at most. Its documents are
+    drawn whole in the order of keys, up to the one at which their sum is nearest to the words that are
+    needed; where no document at all is as near, the block is not drawn.
+    """
+    split = drawn.where("split").select(F.col("source").alias("_s"), F.col("block").alias("_b"), "need")
+    inside = sized.join(split, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).groupBy("_s", "_b", "need", "key").agg(F.sum("size").alias("size"))
+    off = F.abs(F.sum("size").over(Window.partitionBy("_s", "_b").orderBy("key")) - F.col("need"))
+    nearest = inside.withColumn("off", off).where("off < need").groupBy("_s").agg(F.min(F.struct("off", "key"))["key"].alias("upto"))
+    return drawn.join(nearest, F.col("split") & F.col("source").eqNullSafe(F.col("_s")), "left").where("NOT split OR upto IS NOT NULL").select("source", "block", "pass", "draw", "upto")
+
+
 def draw_plan(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, blocks: int, levels: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sizes of all rows, targets of sources, and the plan: (source, block) -> passes, shards and parts.
+    """Sizes of all rows, targets of sources, and the plan: (source, block) -> passes, shards and last keys.
 
     Texts are read once; the table of ids and sizes that remains is aggregated to blocks with partial
     sums, so that a source with most of the rows is spread over its blocks.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size")).withColumn("block", _block(seed, blocks))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), _key(seed).alias("key")).withColumn("block", _block(seed, blocks))
     sized = materialise(sized, "sizes")
     per_block = materialise(sized.groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")
     targets = materialise(source_targets(per_block.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most), "targets")
 
-    # Passes over a source: whole ones, then a part whose last block is taken in part.
+    # Passes over a source: whole ones, then a part whose last block is split.
     place = F.xxhash64(F.lit(seed), "source", "pass", "block")
     order = Window.partitionBy("source", "pass").orderBy(place, "block")
     known = per_block.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -126,33 +145,39 @@ def draw_plan(docs: DataFrame, weights: tuple[float, ...], share: float, most: f
         .where("quota > 0")
         .withColumn("before", F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .where("words > 0 AND before < quota")
-        .withColumn("part", F.least(F.lit(1.0), (F.col("quota") - F.col("before")) / F.col("words")))
+        .withColumn("need", F.col("quota") - F.col("before"))
+        .withColumn("split", F.col("need") < F.col("words"))
         .withColumn("draw", F.row_number().over(Window.partitionBy("source").orderBy("pass", place, "block")))
     )
-    drawn = materialise(drawn.select("source", "block", "pass", "part", "draw"), "drawn-blocks")
+    drawn = materialise(drawn.select("source", "block", "pass", "draw", "need", "split"), "drawn-blocks")
+    # A split block has its source's last draw, so that the draws that stay are numbered without a gap.
+    drawn = materialise(_resolve_splits(drawn, sized), "resolved-blocks")
     shards = shard_quotas(drawn.groupBy("source").agg(F.count("*").alias("quota")), levels, seed)
     until = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     ranges = shards.withColumn("last", F.sum("draws").over(until)).select(F.col("source").alias("_s"), "shard", (F.col("last") - F.col("draws")).alias("first"), "last")
     placed = drawn.join(ranges, F.col("source").eqNullSafe(F.col("_s")) & (F.col("draw") > F.col("first")) & (F.col("draw") <= F.col("last"))).drop("_s", "first", "last")
-    plan = placed.groupBy(F.col("source").alias("_s"), F.col("block").alias("_b")).agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "part"))).alias("plan"))
+    plan = placed.groupBy(F.col("source").alias("_s"), F.col("block").alias("_b")).agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "upto"))).alias("plan"))
     return sized, targets, materialise(plan, "draw-plan")
 
 
 def _draws(seed: int) -> Column:
-    """The draws of a row with doc_id, size and plan that take words."""
-    draw = lambda p: F.struct(p["pass"].alias("pass"), p["shard"].alias("shard"), F.xxhash64(F.lit(seed), p["pass"], F.col("doc_id")).alias("place"), F.floor(F.col("size") * p["part"] + 1e-9).cast("long").alias("words"))
-    return F.filter(F.transform(F.coalesce("plan", F.array().cast("array<struct<pass:int,shard:int,part:double>>")), draw), lambda d: d["words"] > 0)
+    """The draws of a row with doc_id, size, key and plan that take words: all of the text's."""
+    drawn = F.filter(F.coalesce("plan", F.array().cast("array<struct<pass:int,shard:int,upto:bigint>>")), lambda p: (F.col("size") > 0) & (p["upto"].isNull() | (F.col("key") <= p["upto"])))
+    return F.transform(drawn, lambda p: F.struct(p["pass"].alias("pass"), p["shard"].alias("shard"), F.xxhash64(F.lit(seed), p["pass"], F.col("doc_id")).alias("place"), F.col("size").alias("words")))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, blocks: int = BLOCKS, levels: int = LEVELS, seed: int = 8) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source, source_size, target, taken and draws.
 
     ``draws`` lists the document's places in the mix: the pass, the shard, the order within the shard
-    and the words taken (all of the text, or of the block at which a source's target is met its first
-    words). ``taken`` is their sum, at most ``ceil(most)`` times the size. Reruns agree.
+    and the words taken, always all of the text. Of the block in which a source's target is met as many
+    documents are drawn as come nearest to it, so that a source misses its target by at most half the
+    longest document of that block. ``taken`` is the sum of the words, at most ``ceil(most)`` times the
+    size. Reruns agree.
 
     A null or empty text has size 0 and no words to take; a null source is a source of its own, the
-    last; null and repeated ids are dealt by their hash like others; a table without words gets targets
+    last; null and repeated ids are dealt by their hash like others, and rows that repeat an id and its
+    text are drawn together, as one document; a table without words gets targets
     of 0; an empty table gives an empty one; texts are measured whole; other columns are not read.
     """
     sized, targets, plan = draw_plan(docs, weights, share, most, blocks, levels, seed)
@@ -165,21 +190,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, blocks: int = BLOCKS, seed: int = 8) -> DataFrame:
     """The mix itself: a row of ``docs`` for each draw, with all columns, shard by shard in shuffled order.
 
-    A document drawn in part has its first words, joined by single spaces, and its n_chars if there is
-    such a column. There are as many shards as partitions, rounded up to a power of two, each with its
-    exact quota of every source's blocks, so that they are of nearly one size.
+    Documents are drawn whole, their rows unchanged. There are as many shards as partitions, rounded up
+    to a power of two, each with its exact quota of every source's blocks, so that they are of nearly
+    one size.
     """
     levels = max(0, (parallelism(docs.sparkSession) - 1).bit_length())
     _, _, plan = draw_plan(docs, weights, share, most, blocks, levels, seed)
     names = docs.columns
-    rows = docs.select(*docs.columns, F.col("source").cast("string").alias("_source"), _block(seed, blocks).alias("_block"), words(F.col("text")).alias("_size"))
+    rows = docs.select(*docs.columns, F.col("source").cast("string").alias("_source"), _block(seed, blocks).alias("_block"), words(F.col("text")).alias("_size"), _key(seed).alias("_key"))
     # Names of the plan that a document's column may clash with.
     held = F.struct(*[F.col(c) for c in names]).alias("_row")
-    rows = rows.select(held, F.col("doc_id").cast("long").alias("doc_id"), "_source", "_block", F.col("_size").alias("size"))
-    drawn = rows.join(plan, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b"))).select("_row", "size", F.explode(_draws(seed)).alias("_draw"))
+    rows = rows.select(held, F.col("doc_id").cast("long").alias("doc_id"), "_source", "_block", F.col("_size").alias("size"), F.col("_key").alias("key"))
+    drawn = rows.join(plan, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b"))).select("_row", F.explode(_draws(seed)).alias("_draw"))
     dealt = drawn.repartitionById(1 << levels, F.col("_draw.shard")).sortWithinPartitions("_draw.place", "_draw.pass")
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("_draw.words").cast("int")), " ")
-    part = F.col("_draw.words") < F.col("size")
-    text = F.when(part, cut).otherwise(F.col("_row.text"))
-    columns = [text.alias(c) if c == "text" else F.when(part, F.length(cut).cast(t)).otherwise(F.col(f"_row.{c}")).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c, t in docs.dtypes]
-    return dealt.select(*columns)
+    return dealt.select(*[F.col(f"_row.`{c}`").alias(c) for c in names])

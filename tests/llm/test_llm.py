@@ -348,6 +348,23 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_draws_whole_documents(spark):
+    texts = [words(1 + k * 7 % 90, k) + "  \n" for k in range(600)] + [None, ""]
+    ids = [None if k % 50 == 0 else k % 500 for k in range(602)]
+    docs = table(spark, texts, ids=ids, sources=[["a", "a", "b", "c", None][k % 5] for k in range(602)])
+    rows = mixing.mix(docs, blocks=4).collect()
+    by = {}
+    for r in rows:
+        assert all(d["words"] == r["size"] for d in r["draws"])
+        by.setdefault(r["source"], [0, r["target"]])[0] += r["taken"]
+    assert len(by) == 4 and all(abs(taken - target) <= 45 for taken, target in by.values())
+    made = mixing.mixed_documents(docs, blocks=4).collect()
+    assert set(made) <= set(docs.collect())
+    assert Counter(r["doc_id"] for r in made) == Counter(r["doc_id"] for r in rows for _ in r["draws"])
+    huge = table(spark, [words(100, 1), words(3, 2)], ids=[1, 2], sources=["a", "a"])
+    assert {r["text"] for r in mixing.mixed_documents(huge, share=0.1, blocks=1).collect()} <= {r["text"] for r in huge.collect()}
+
+
 def test_shard_quotas_are_exact(spark):
     quotas = spark.createDataFrame([("a", 700), ("b", 41), (None, 3)], "source string, quota long")
     rows = mixing.shard_quotas(quotas, 3, 1).collect()
