@@ -21,8 +21,13 @@ def _asked(queries: DataFrame) -> DataFrame:
     return F.broadcast(queries) if few else queries
 
 
-def ranked(df: DataFrame, score: str, k: int, *ties: str) -> DataFrame:
-    """The k best rows of each query_id with their rank; each partition keeps its own k before the shuffle."""
+def ranked(df: DataFrame, score: str, k: int | None, *ties: str) -> DataFrame:
+    """The k best rows of each query_id with their rank; each partition keeps its own k before the shuffle.
+
+    Without k all rows as they are, with no rank.
+    """
+    if k is None:
+        return df
     order = Window.partitionBy("query_id").orderBy(F.desc(score), *ties)
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -105,8 +110,8 @@ def build_text_index(regions: DataFrame, terms: int = 5000, least: int = 10) ->
     return raw.withColumn("weight", F.col("w") / length).select("doc_id", "region_id", "term", "weight"), vocabulary
 
 
-def search_text_index(queries: DataFrame, postings: DataFrame, vocabulary: DataFrame, k: int = 5, least: float = 0.05) -> DataFrame:
-    """Regions by the cosine of weights with the question's, over ``least``; only shared terms are joined."""
+def search_text_index(queries: DataFrame, postings: DataFrame, vocabulary: DataFrame, k: int | None = 5, least: float = 0.05) -> DataFrame:
+    """Regions by the cosine of weights with the question's, over ``least``; only shared terms are joined. Without k all of them, with no rank."""
     counted = queries.select("query_id", F.explode(text_terms(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
     raw = counted.join(F.broadcast(vocabulary.select("term", "idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id")))
@@ -115,8 +120,8 @@ def search_text_index(queries: DataFrame, postings: DataFrame, vocabulary: DataF
     return ranked(scores, "score", k, F.desc("doc_id"), F.desc("region_id"))
 
 
-def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int = 10, least: float | None = None) -> DataFrame:
-    """Rows (id, vector) by cosine with each question's vector, own id left out.
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int | None = 10, least: float | None = None) -> DataFrame:
+    """Rows (id, vector) by cosine with each question's vector, own id left out. Without k all of them, with no rank.
 
     Norms are computed once a row, before rows and questions meet.
     """

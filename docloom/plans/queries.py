@@ -438,7 +438,7 @@ SELECT query_id, item_id AS doc_id, score FROM s WHERE score > 0.05"""
 def tfidf_search(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit("r").alias("region_id"), "text")
     postings, vocabulary = search.build_text_index(b)
-    return search.search_text_index(_questions(spark, sf_dir), postings, vocabulary, 1_000_000, 0.0).select("query_id", "doc_id", r6("score")).where("score > 0.05")
+    return search.search_text_index(_questions(spark, sf_dir), postings, vocabulary, None, 0.0).select("query_id", "doc_id", r6("score")).where("score > 0.05")
 
 
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -454,7 +454,7 @@ def knn_cosine(spark, sf_dir):
 @query(f"SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id WHERE {_COS} >= 0.3")
 def knn_threshold(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return search.nearest_vectors(e.where("id % 50 = 0").withColumnRenamed("id", "query_id"), e, 1_000_000, 0.3).select("query_id", "id", r6("score"))
+    return search.nearest_vectors(e.where("id % 50 = 0").withColumnRenamed("id", "query_id"), e, None, 0.3).select("query_id", "id", r6("score"))
 
 
 @query(

@@ -148,3 +148,22 @@ def test_entry_points(spark):
 def test_fuzzy_mentions(spark):
     m = spark.createDataFrame([(1, "nasa", "x", 0.9, 1), (1, "nasa report", "x", 0.8, 2), (1, "ibm", "x", 0.7, 3)], "doc_id long, norm string, label string, confidence double, ord long")
     assert {r["norm"] for r in mentions.fuzzy_unique(m).collect()} == {"nasa", "ibm"}
+
+
+def test_searches_without_a_cap(spark, tmp_path):
+    from docloom.plans import queries
+
+    vectors = spark.createDataFrame([(i, [1.0, i % 7 - 3.0]) for i in range(101)], "id long, vector array<float>")
+    asked = vectors.where("id = 50").withColumnRenamed("id", "query_id")
+    found = search.nearest_vectors(asked, vectors, None, 0.3)
+    assert found.columns == ["query_id", "id", "score"]
+    assert {r["id"] for r in found.collect()} == {r["id"] for r in search.nearest_vectors(asked, vectors, 100).where("score >= 0.3").collect()} != set()
+    texts = spark.createDataFrame([(i, "r", f"solar panel number {i} on a roof") for i in range(30)], "doc_id long, region_id string, text string")
+    hits = search.search_text_index(spark.createDataFrame([(1, "solar panel")], "query_id long, question string"), *search.build_text_index(texts), None, 0.0)
+    assert hits.columns == ["query_id", "doc_id", "region_id", "score"] and hits.count() == 30
+    vectors.selectExpr("id AS vec_id", "vector AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    texts.selectExpr("doc_id AS item_id", "text").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 0, "user", "solar panel")], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    for q in (queries.knn_threshold, queries.tfidf_search):
+        df = q(spark, str(tmp_path))
+        assert df.count() > 0 and "row_number" not in df._jdf.queryExecution().toString()
