@@ -51,18 +51,14 @@ def difference(lengths: list[int], windows: int) -> list[list[int]]:
 def fill(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
     """Windows of (index, start, length) that hold all of ``lengths`` and nowhere exceed ``capacity``.
 
-    The windows come from :func:`difference`. Their number starts at the least that can hold the total
-    and rises while the capacity is exceeded by more than other windows have free. Since documents may
-    be cut anywhere, what still stands over a window's capacity is cut off and moves into free space.
+    The windows come from :func:`difference`. Their number is fixed at the least that can hold the total
+    and doesn't rise where a window exceeds the capacity: the others then have at least as much free,
+    and since documents may be cut anywhere, what stands over is cut off and moves there.
     """
     total = sum(lengths)
     windows = max(1, -(-total // capacity))
-    while True:
-        found = difference(lengths, windows)
-        sums = [sum(lengths[i] for i in w) for w in found]
-        if sum(max(0, s - capacity) for s in sums) <= sum(max(0, capacity - s) for s in sums):
-            break
-        windows += 1
+    found = difference(lengths, windows)
+    sums = [sum(lengths[i] for i in w) for w in found]
     out = [[(i, 0, lengths[i]) for i in w] for w in found]
     over: list[tuple[int, int, int]] = []
     for w, s in zip(out, sums, strict=True):

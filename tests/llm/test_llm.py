@@ -110,6 +110,13 @@ def test_differencing():
     assert all(sum(n for _, _, n in w) <= 4096 for w in full) and sum(n for w in full for _, _, n in w) == sum(lengths)
 
 
+def test_window_count_is_fixed():
+    for lengths in ([3, 3, 3], [5, 5, 5, 1], [4] * 7, [7, 6, 6, 2, 1]):
+        full = packing.fill(lengths, 8)
+        assert len(full) == -(-sum(lengths) // 8) and all(sum(n for _, _, n in w) <= 8 for w in full)
+        assert sorted((i, k) for w in full for i, start, n in w for k in range(start, start + n)) == [(i, k) for i, m in enumerate(lengths) for k in range(m)]
+
+
 @pytest.mark.parametrize("bits", [1, 7, 15, 16, 17, 32])
 def test_bit_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1001, dtype=np.uint64).astype("<u4")
