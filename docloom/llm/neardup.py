@@ -9,18 +9,19 @@ classes with equal bands are candidates. In a bucket of the band index
 2. every class is compared with one class of the bucket (a star, not all pairs), in the first round
    the one with the fewest shingles of its own, then another one, if they are in different
    components and likely to be linked;
-3. where a bucket then still holds several components, all classes of different components are
-   compared, in one of the large buckets that they share, except those that their sizes, the bound or
-   one bit of each register keep apart.
-
-The rounds make few comparisons join most of what belongs together; the last step leaves nothing out.
-Its estimates, corrected for the registers' collisions, drop a pair only if it is five standard errors
-below the threshold; then, as in the rounds, the full sets decide.
+3. where a bucket then still holds several components, classes of different components are compared.
+   A small bucket gives pairs, which are estimated and confirmed as in the rounds. A large one is joined
+   with itself, a pair in one of the large buckets that it shares: the rows carry the registers and, up
+   to WHOLE shingles, the sets, so that of these only pairs that reach the threshold come out at all.
+
+The rounds make few comparisons join most of what belongs together; the last step leaves nothing out,
+and pairs of short sets that don't reach the threshold are never written anywhere. Estimates, corrected
+for the registers' collisions, drop a pair only if it is five standard errors below the threshold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import documents, keep_marked, materialise, parallelism, release, sweep, text_key
+from docloom.llm.common import documents, keep_marked, materialise, parallelism, release, slices, sweep, text_key
 from docloom.llm.components import connected_components
 
 REGISTERS, BAND, BANDS = 256, 6, 42
@@ -44,6 +45,10 @@ ROUNDS = 2
 LARGE = 32
 #: Comparisons with one class that one task makes at most; beyond, they are dealt over several.
 FAN = 512
+#: Sets up to this size are compared in the join itself (8 bytes a shingle in each row of it).
+WHOLE = 1024
+#: Rows of a bucket that one part of the last join holds on its first side.
+BLOCK = 1024
 #: Ids of texts to compare that are broadcast at most (8 bytes each); more are joined by a shuffle.
 WANTED = 2_000_000
 
@@ -52,7 +57,7 @@ _STARTS = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(_BITS)
 _FACTORS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND_SALT = np.random.Generator(np.random.PCG64(6)).integers(1, 2**63, BANDS, dtype=np.uint64)
 _word_hashes: dict[bytes, int] = {}
-WORD_HASHES = 400_000
+WORD_HASHES = 100_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -115,12 +120,9 @@ def most_bits(threshold: float, used: Column, errors: float = ERRORS) -> Column:
     return used * share + errors * F.sqrt(used * share * (1 - share))
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Collision-corrected similarity of register rows, and the number of registers it rests on."""
-    used = ((a != 0) | (b != 0)).sum(axis=1)
-    same = ((a == b) & (a != 0)).sum(axis=1)
-    share = same / np.maximum(used, 1)
-    return np.clip((share - COLLISION) / (1 - COLLISION), 0.0, 1.0), used
+def corrected(share):
+    """The similarity that a share of equal registers stands for (a column or numbers): some unlike ones collide."""
+    return (share - COLLISION) / (1 - COLLISION)
 
 
 def least_estimate(threshold: float, used: Column, smaller: Column) -> Column:
@@ -138,10 +140,10 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
     types = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("u", pa.int64()), ("regs", pa.binary()), ("bits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns: list[list] = [[] for _ in range(7)]
-            for text in batch.column(1).to_pylist():
-                hashes = shingles(text, width)
+            for text in batch.column(1):
+                hashes = shingles(text.as_py(), width)
                 if len(hashes):
                     digest, regs = xxhash.xxh3_128_digest(hashes.tobytes()), registers(hashes)
                     row = (len(hashes), *np.frombuffer(digest, "<i8").tolist(), int(np.count_nonzero(regs)), regs.tobytes(), bits(regs), bands(regs))
@@ -155,18 +157,20 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
     return found.withColumn("row", F.monotonically_increasing_id())
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the size of the smaller set, the estimate and the registers it rests on."""
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the registers' estimate lets through."""
     regs = lambda name: classes.select(F.col("node").alias(name), F.col("regs").alias(f"regs_{name}"), F.col("n").alias(f"n_{name}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4096):
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in (2, 3))
-            similar, used = estimate(a, b)
+            used = ((a != 0) | (b != 0)).sum(axis=1)
+            similar = corrected(((a == b) & (a != 0)).sum(axis=1) / np.maximum(used, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(similar), pa.array(used.astype(np.int32))], ["a", "b", "smaller", "similar", "used"])
 
     joined = pairs.join(regs("a"), "a").join(regs("b"), "b").select("a", "b", "regs_a", "regs_b", F.least("n_a", "n_b").alias("smaller"))
-    return joined.mapInArrow(run, "a long, b long, smaller long, similar double, used int")
+    found = joined.mapInArrow(run, "a long, b long, smaller long, similar double, used int")
+    return found.where(F.col("similar") >= least_estimate(percent / 100, F.col("used"), F.col("smaller"))).select("a", "b")
 
 
 def _texts(docs: DataFrame, named: DataFrame) -> DataFrame:
@@ -177,29 +181,74 @@ def _texts(docs: DataFrame, named: DataFrame) -> DataFrame:
     return read.join(named, F.col("doc_id").eqNullSafe(F.col("_id")))
 
 
-def _alone(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(node, alone): how many of a class's shingles no other class of ``nodes`` has; rows only where some are alone.
-
-    What two classes have in common can't exceed what either shares with any class, so this bounds
-    their similarity from above, and never wrongly: shingles whose hashes collide count as shared.
-    """
+def _read(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int, row: Callable[[int, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """``row(node, shingles)`` of every class of ``nodes``, read from the text of one of its documents."""
     named = materialise(nodes.join(classes.select("node", "doc_id", "h1", "h2"), "node").select(F.col("doc_id").alias("_id"), "node", "h1", "h2"), "open-classes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # of ids that occur several times in this task
-        for batch in batches:
+        for batch in slices(batches):
             for node, h1, h2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 hashes = shingles(text, width)
                 if node in done or np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), "<i8").tolist() != [h1, h2]:
                     continue
                 done.add(node)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), node, np.int64)), pa.array(hashes.view(np.int64))], ["node", "shingle"])
+                yield row(node, hashes)
+
+    return _texts(docs, named).select("node", "h1", "h2", "text").mapInArrow(run, schema)
+
+
+def _alone(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, alone): how many of a class's shingles no other class of ``nodes`` has; rows only where some are alone.
+
+    What two classes have in common can't exceed what either shares with any class, so this bounds
+    their similarity from above, and never wrongly: shingles whose hashes collide count as shared.
+    """
+
+    def row(node: int, hashes: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), node, np.int64)), pa.array(hashes.view(np.int64))], ["node", "shingle"])
 
-    each = _texts(docs, named).select("node", "h1", "h2", "text").mapInArrow(run, "node long, shingle long")
+    each = _read(nodes, classes, docs, width, row, "node long, shingle long")
     single = each.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
     return materialise(single.groupBy("node").agg(F.count("*").alias("alone")), "alone")
 
 
+def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, places, shingles): the registers that are not empty, each with its place, and the whole set
+    up to WHOLE shingles, else null."""
+
+    def row(node: int, hashes: np.ndarray) -> pa.RecordBatch:
+        regs = registers(hashes)
+        places = (np.flatnonzero(regs) << 16 | regs[regs != 0]).tolist()
+        whole = hashes.view(np.int64).tolist() if len(hashes) <= WHOLE else None
+        return pa.RecordBatch.from_arrays([pa.array([node]), pa.array([places], pa.list_(pa.int32())), pa.array([whole], pa.list_(pa.int64()))], ["node", "places", "shingles"])
+
+    return materialise(_read(nodes, classes, docs, width, row, "node long, places array<int>, shingles array<long>"), "open-sets")
+
+
+def _cross(bands: DataFrame, sets: DataFrame, percent: int, reach: Column) -> DataFrame:
+    """(a, b, sure) for classes of different components in one bucket of ``bands``; ``reach`` is a cheap condition.
+
+    The registers' estimate decides which sets are compared. sure: the whole sets were compared and reach
+    the threshold. Other rows are pairs of large sets that the estimate lets through. A bucket of many rows is dealt over several keys: a row is on the first
+    side of one and on the second side of all of them.
+    """
+    parts = bands.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    rows = materialise(bands.join(parts, "key").join(sets, "node"), "open-bands")
+    one = rows.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).alias("x")
+    two = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    threshold = percent / 100
+    exact = F.col("x.shingles").isNotNull() & F.col("y.shingles").isNotNull()
+    common = F.size(F.array_intersect("x.shingles", "y.shingles"))
+    used = F.greatest("x.u", "y.u")  # at least so many: the share of equal registers is not estimated too low
+    share = F.size(F.array_intersect("x.places", "y.places")) / used
+    likely = corrected(share) >= least_estimate(threshold, used, F.least("x.n", "y.n"))
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.component") < F.col("y.component"))
+    held = ~exact | ((100 + percent) * common >= percent * (F.col("x.n") + F.col("y.n")))
+    joined = one.join(two, met & reach & likely & held)
+    return joined.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), exact.alias("sure")).distinct()
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold, as edges (u, v).
 
@@ -219,7 +268,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, base = None, None
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list[int]] = [[], []]
             for a, salt, side, node, h1, h2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (a, salt) != group:
@@ -285,7 +334,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     least_alone = F.coalesce(F.when(F.col("large"), F.col("alone")), F.lit(0))
     shaped = classes.select("node", "n", "u", *[F.get("bits", F.lit(i)).alias(name) for i, name in enumerate(words_of)]).join(alone, "node", "left").join(large_keys, "node", "left")
     lesser = F.when(F.col("large"), F.filter("keys", lambda key: key < F.col("key"))).alias("lesser")
-    able = crowded.join(shaped, "node").select("key", "node", "n", "u", *words_of, (F.col("n") - least_alone).alias("most"), lesser, F.col("node").alias("component"))
+    able = crowded.join(shaped, "node").select("key", "node", "n", "u", *words_of, (F.col("n") - least_alone).alias("most"), "large", lesser, F.col("node").alias("component"))
     now = materialise(able.where(100 * F.col("most") >= percent * F.col("n")), "able-bands")  # later, buckets of several components only
     release(crowded, alone)
     sweep(docs.sparkSession)
@@ -318,14 +367,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         release(labelled)
         sweep(docs.sparkSession)
 
-    # 3. Classes of different components in one bucket.
-    one, two = now.alias("x"), now.alias("y")
-    unmet = ~F.coalesce(F.arrays_overlap("x.lesser", "y.lesser"), F.lit(False))
-    rest = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & sizes & common & (differ <= most_bits(threshold, used)) & unmet)
-    more = materialise(_estimated(rest.select(*pair).distinct(), classes).where(F.col("similar") >= least_estimate(threshold, F.col("used"), F.col("smaller"))).select("a", "b"), "cross-candidates")
-    if not more.isEmpty():
-        found = _confirmed(more, classes, docs, width, percent)
-        links = materialise(found if links is None else links.unionByName(found), "links")
+    # 3. Classes of different components in one bucket: of a small one by pairs, a large one by sets.
+    reach = sizes & common & (differ <= most_bits(threshold, used))
+    one, two = (now.where("NOT large").alias(name) for name in "xy")
+    few = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & reach).select(*pair).distinct()
+    candidates = [materialise(_likely(few, classes, percent), "candidates")]
+    more = []
+    crowd = now.where("large")
+    if not crowd.isEmpty():
+        sets = _sets(crowd.select("node").distinct(), classes, docs, width)
+        unmet = ~F.coalesce(F.arrays_overlap("x.lesser", "y.lesser"), F.lit(False))
+        found = materialise(_cross(crowd, sets, percent, reach & unmet), "compared-sets")
+        more.append(found.where("sure").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        candidates.append(found.where("NOT sure").select("a", "b"))
+    unsure = reduce(DataFrame.unionByName, candidates).distinct()
+    if not unsure.isEmpty():
+        more.append(_confirmed(unsure, classes, docs, width, percent))
+    if more:
+        links = materialise(reduce(DataFrame.unionByName, more if links is None else [links, *more]), "links")
         label = connected_components(links)
         sweep(docs.sparkSession)
     if label is None:

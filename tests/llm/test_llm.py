@@ -1,10 +1,11 @@
 """The training-data operators against brute force, on small tables with awkward rows."""
 
 import itertools
+import os
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -218,9 +219,69 @@ def test_near_duplicates_empty(spark):
 def test_estimates():
     r = random.Random(3)
     common = [r.randrange(2**64) for _ in range(4000)]
-    a, b = (np.unique(np.array(common + [r.randrange(2**64) for _ in range(500)], np.uint64)) for _ in range(2))
-    similar, used = neardup.estimate(neardup.registers(a)[None], neardup.registers(b)[None])
-    assert abs(similar[0] - 0.8) < 0.13 and used[0] > 250
+    a, b = (neardup.registers(np.unique(np.array(common + [r.randrange(2**64) for _ in range(500)], np.uint64))) for _ in range(2))
+    used = ((a != 0) | (b != 0)).sum()
+    assert abs(neardup.corrected(((a == b) & (a != 0)).sum() / used) - 0.8) < 0.13 and used > 250
+
+
+def chained(copies=60, length=90, seed=5):
+    """Near copies of one text, many of them nearly at the threshold to each other, and chains between them."""
+    r, base = random.Random(seed), words(length, 7).split()
+    out = []
+    for k in range(copies):
+        text = list(r.choice(out).split() if out and k % 3 == 0 else base)
+        for _ in range(r.randrange(6)):
+            text[r.randrange(len(text))] = f"n{r.randrange(40)}"
+        out.append(" ".join(text[: len(text) - r.randrange(8)]))
+    return out
+
+
+@pytest.mark.parametrize("whole", [1024, 70, 1])
+def test_near_duplicates_in_large_buckets(spark, monkeypatch, whole):
+    """Whole sets, some of them and none in the last join, buckets that are dealt over several parts, no stars."""
+    texts = chained()
+    for name, value in (("LARGE", 4), ("BLOCK", 16), ("WHOLE", whole), ("ROUNDS", 1), ("FAN", 8)):
+        monkeypatch.setattr(neardup, name, value)
+    _, expected = components(texts, 4, 80)
+    assert 1 < len(set(expected)) < len(set(texts))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(table(spark, texts), 4, 80).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+
+
+def test_near_duplicates_repeated_and_null_ids(spark):
+    base = words(60, 9)
+    texts = [base, base, base + " more", words(60, 10), None, base]
+    rows = neardup.near_duplicates(table(spark, texts, ids=[5, 5, 7, 5, 8, None]), 4, 80).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"], r["kept"]) for r in rows) == [(False, 5, 5, True), (False, 5, 5, True), (False, 5, 5, True), (False, 7, 5, False), (False, 8, 8, True), (True, 0, 5, False)]
+
+
+def test_near_duplicates_of_the_documents(spark):
+    """All links of a whole table, by an index of all shingles."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no table")
+    docs = spark.read.parquet(path)
+    rows = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    sets, held = {}, defaultdict(list)
+    for i, text in rows.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} or ({tuple(w)} if w else set())
+        for s in sets[i]:
+            held[s].append(i)
+    common = Counter(p for ids in held.values() for p in itertools.combinations(ids, 2))
+    root = {i: i for i in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (i, j), n in common.items():
+        if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in neardup.near_duplicates(docs, 4, 80).collect()}
+    assert got == {i: (find(i), len(sets[i])) for i in rows}
 
 
 # --- search, models, licences, mixing -------------------------------------------------------------
