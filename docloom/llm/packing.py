@@ -6,15 +6,18 @@ import heapq
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from docloom.llm.common import documents
+from docloom.llm.common import documents, slices
 from docloom.llm.tokens import encoder
 
 #: Windows that are balanced together, and the items from which a group is closed early.
 GROUP_WINDOWS, GROUP_ITEMS = 64, 4096
+#: One part in so many of a group, a window at least, is set aside to fill what the balanced windows leave free.
+ASIDE = 16
 #: A last window that lacks at most this share of its capacity is padded rather than cut further.
 LAST_SHARE = 1 / 16
 
@@ -48,45 +51,29 @@ def difference(lengths: list[int], windows: int) -> list[list[int]]:
     return out + [[] for _ in range(windows - len(out))]
 
 
-def fill(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Windows of (index, start, length) that hold all of ``lengths`` and nowhere exceed ``capacity``.
+def balance(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Near-equal windows of indices, none over ``capacity`` (no length may be); no window is empty.
 
-    The windows come from :func:`difference`. Their number is fixed at the least that can hold the total
-    and doesn't rise where a window exceeds the capacity: the others then have at least as much free,
-    and since documents may be cut anywhere, what stands over is cut off and moves there.
+    The window count begins at the least that could hold the total. Whenever a window exceeds the
+    capacity the count rises, by as many windows as the excess would fill and one at least, and the
+    lengths are differenced again.
     """
-    total = sum(lengths)
-    windows = max(1, -(-total // capacity))
-    found = difference(lengths, windows)
-    sums = [sum(lengths[i] for i in w) for w in found]
-    out = [[(i, 0, lengths[i]) for i in w] for w in found]
-    over: list[tuple[int, int, int]] = []
-    for w, s in zip(out, sums, strict=True):
-        while s > capacity:
-            i, start, n = w.pop()
-            cut = min(n, s - capacity)
-            if cut < n:
-                w.append((i, start, n - cut))
-            over.append((i, start + n - cut, cut))
-            s -= cut
-    for w, s in zip(out, sums, strict=True):
-        free = capacity - s
-        while free > 0 and over:
-            i, start, n = over.pop()
-            put = min(n, free)
-            w.append((i, start, put))
-            if put < n:
-                over.append((i, start + put, n - put))
-            free -= put
-    return [w for w in out if w]
+    windows = max(1, -(-sum(lengths) // capacity))
+    while True:
+        found = difference(lengths, windows)
+        over = sum(max(0, sum(lengths[i] for i in w) - capacity) for w in found)
+        if not over:
+            return [w for w in found if w]
+        windows += max(1, over // capacity)
 
 
 class Packer:
     """Packs a stream of documents with bounded memory; each call returns the windows that are full.
 
     A piece is (document, start, length). Documents of a window's length or more fill windows of their
-    own, all rests are balanced in groups. What a group has over whole windows is carried on to the
-    next. Only the end of the stream can leave a window that is not full: it is cut into windows whose
+    own, all rests are balanced in groups. A few documents of a group stand aside; they are cut to fill
+    exactly what the balanced windows have free, and what is left of them goes on to the next group.
+    Only the end of the stream can leave a window that is not full: it is cut into windows whose
     lengths are powers of two, or padded if little is missing.
     """
 
@@ -106,22 +93,38 @@ class Packer:
         return out
 
     def _close(self) -> list[list[tuple[object, int, int]]]:
-        """Windows from all items but what the last ones have over whole windows."""
-        surplus, carried = self.total % self.capacity, []
-        self.total = surplus
-        while surplus:
-            document, start, n = self.items.pop()
-            cut = min(n, surplus)
-            if cut < n:
-                self.items.append((document, start, n - cut))
-            carried.append((document, start + n - cut, cut))
-            surplus -= cut
-        items, self.items = self.items, carried[::-1]
-        found = fill([n for _, _, n in items], self.capacity) if items else []
-        return [[(items[i][0], items[i][1] + start, n) for i, start, n in w] for w in found]
+        """Full windows, one at least: balanced documents and what they leave free, from those set aside."""
+        whole, aside, spare = self.items, [], 0
+        move = max(self.capacity, self.total // ASIDE)
+        while True:
+            while move > 0 and whole:
+                aside.append(whole.pop())
+                spare += aside[-1][2]
+                move -= aside[-1][2]
+            windows = balance([n for _, _, n in whole], self.capacity) if whole else [[]]
+            free = len(windows) * self.capacity - (self.total - spare)
+            if free <= spare:
+                break
+            move = (free - spare + 1) // 2
+        out = []
+        for w in windows:
+            pieces = [whole[i] for i in w]
+            left = self.capacity - sum(n for _, _, n in pieces)
+            while left:
+                document, start, n = aside.pop()
+                put = min(n, left)
+                pieces.append((document, start, put))
+                if put < n:
+                    aside.append((document, start + put, n - put))
+                left -= put
+            out.append(pieces)
+        self.items, self.total = aside[::-1], spare - free
+        return out
 
     def end(self) -> list[list[tuple[object, int, int]]]:
-        out = self._close() if self.total >= self.capacity else []
+        out: list[list[tuple[object, int, int]]] = []
+        while self.total >= self.capacity:
+            out += self._close()
         while self.total:
             size = self.total if self.capacity - self.total <= self.capacity * LAST_SHARE else 1 << (self.total.bit_length() - 1)
             window, left = [], size
@@ -137,52 +140,59 @@ class Packer:
         return out
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, item long"
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """Pieces of documents in windows of at most ``capacity`` ids; ``end_id`` ends each document.
 
-    Returns per piece doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset, and with
-    ``with_ids`` the ids themselves. Null and empty texts are their end id alone; a text of any length
-    is cut into whole windows; repeated rows are packed as often as they come; an empty table gives
-    no piece; a null doc_id stays null; other columns are not read.
+    Returns per piece doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and item, and
+    with ``with_ids`` the ids themselves. ``item`` tells rows of ``docs`` apart that repeat an id. Null
+    and empty texts are their end id alone; a text of any length is cut into whole windows; repeated
+    rows are packed as often as they come; an empty table gives no piece; a null doc_id stays null;
+    other columns are not read.
 
     Each partition packs its own stream and holds one group of windows at a time, so nothing is
-    shuffled or collected. Window ids are numbered within the partition, from its number.
+    shuffled or collected. Windows and items are numbered within the partition, from its number.
     """
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
-    types = pa.schema([(n, pa.int64()) for n in [c.split()[0] for c in SCHEMA.split(", ")]] + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path).encode, end_id.to_bytes(4, "little")
-        packer, number = Packer(capacity), TaskContext.get().partitionId() << 36
-        rows: list[list] = [[] for _ in types]
+        number = item = TaskContext.get().partitionId() << 36
+        packer = Packer(capacity)
+        rows: list[list[int]] = [[] for _ in names]
+        parts: list[bytes] = []
 
         def put(windows: list) -> None:
             nonlocal number
             for window in windows:
                 offset = 0
-                for (doc_id, ids), start, n in window:
+                for (doc_id, ids, place), start, n in window:
                     part = ids[4 * start : 4 * (start + n)]
-                    for column, value in zip(rows, (doc_id, start, n, zlib.crc32(part), len(ids) // 4, number, offset), strict=False):
+                    for column, value in zip(rows, (doc_id, start, n, zlib.crc32(part), len(ids) // 4, number, offset, place), strict=True):
                         column.append(value)
                     if with_ids:
-                        rows[-1].append(memoryview(part).cast("i").tolist())
+                        parts.append(part)
                     offset += n
                 number += 1
 
         def take() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(rows, types, strict=True)], schema=types)
-            for c in rows:
+            columns = [pa.array(c, pa.int64()) for c in rows]
+            if with_ids:
+                ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32))))
+            for c in (*rows, parts):
                 c.clear()
-            return out
+            return pa.RecordBatch.from_arrays(columns, [*names, "ids"][: len(columns)])
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode(text) + end
-                put(packer.add((doc_id, ids), len(ids) // 4))
-                if len(rows[0]) >= 4096:
+                put(packer.add((doc_id, ids, item), len(ids) // 4))
+                item += 1
+                if len(rows[0]) >= 2048:
                     yield take()
         put(packer.end())
         yield take()

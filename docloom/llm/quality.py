@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import documents, held_out
+from docloom.llm.common import documents, held_out, slices
 from docloom.llm.labelled import SAMPLE, labelled_sample
 
 #: Shares of a class's covariance that come from the pooled covariance and from its diagonal's mean.
@@ -137,7 +137,7 @@ def score_quality(docs: DataFrame, model: Discriminant | None, threshold: float
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             if model is None or not texts:
                 score = np.full(len(texts), 0.5)
@@ -150,17 +150,22 @@ def score_quality(docs: DataFrame, model: Discriminant | None, threshold: float
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """:func:`score_quality` with what :func:`fit_quality` learns; repeated rows get equal scores."""
     return score_quality(docs, fit_quality(docs, labels))
 
 
 def keep_quality(docs: DataFrame, model: Discriminant | None, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that are predicted to be of good quality, with all columns."""
+    """The rows of ``docs`` that are predicted to be of good quality, with all columns.
+
+    A null text is scored as an empty one; without a model all rows stay; repeated rows share their
+    fate; an empty table gives an empty one; columns keep their names, whatever these are.
+    """
     if model is None:
         return docs
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 score = model.score(np.array([statistics(t or "") for t in batch.column(at).to_pylist()]))
                 batch = batch.filter(pa.array(score >= threshold))

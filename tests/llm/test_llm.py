@@ -97,6 +97,7 @@ def test_packing(spark):
     rows = packing.pack_documents(table(spark, texts), WORD).collect()
     padding = check_packing(rows, {i: len(b) // 4 for i, b in ids.items()})
     assert padding <= 0.1 * sum(len(b) // 4 for b in ids.values())
+    assert len({r["item"] for r in rows}) == len(texts)
     assert all(r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][4 * r["start"] : 4 * (r["start"] + r["length"])]) for r in rows)
     assert packing.pack_documents(table(spark, [None]).limit(0), WORD).count() == 0
 
@@ -107,15 +108,47 @@ def test_differencing():
     found = packing.difference(lengths, 16)
     sums = [sum(lengths[i] for i in w) for w in found]
     assert sorted(i for w in found for i in w) == list(range(200)) and max(sums) - min(sums) < 50
-    full = packing.fill(lengths, 4096)
-    assert all(sum(n for _, _, n in w) <= 4096 for w in full) and sum(n for w in full for _, _, n in w) == sum(lengths)
 
 
-def test_window_count_is_fixed():
-    for lengths in ([3, 3, 3], [5, 5, 5, 1], [4] * 7, [7, 6, 6, 2, 1]):
-        full = packing.fill(lengths, 8)
-        assert len(full) == -(-sum(lengths) // 8) and all(sum(n for _, _, n in w) <= 8 for w in full)
-        assert sorted((i, k) for w in full for i, start, n in w for k in range(start, start + n)) == [(i, k) for i, m in enumerate(lengths) for k in range(m)]
+@pytest.mark.parametrize(("lengths", "least", "count"), [([3, 3, 3], 2, 2), ([5, 5, 5, 1], 2, 3), ([4] * 7, 4, 4), ([7, 6, 6, 2, 1], 3, 3), ([6] * 10, 8, 10), ([8] * 5, 5, 5), ([1], 1, 1)])
+def test_window_count_rises(lengths, least, count):
+    """Windows hold every length whole, so that 5, 5, 5 and 1 need three windows of 8 though two could hold their sum."""
+    assert -(-sum(lengths) // 8) == least
+    found = packing.balance(lengths, 8)
+    assert len(found) == count and all(0 < sum(lengths[i] for i in w) <= 8 for w in found)
+    assert sorted(i for w in found for i in w) == list(range(len(lengths)))
+
+
+@pytest.mark.parametrize("lengths", [[600] * 500, [1] * 9000, [1000, 30, 999] * 200, [int(10 ** random.Random(k).uniform(0, 4)) for k in range(3000)], [1024], [], [1023, 1]])
+def test_packer_keeps_every_token(lengths):
+    packer, windows = packing.Packer(1024), []
+    for i, n in enumerate(lengths):
+        windows += packer.add(i, n)
+    full = len(windows)
+    windows += packer.end()
+    sums = [sum(n for _, _, n in w) for w in windows]
+    assert set(sums[:full]) <= {1024} and max(sums, default=0) <= 1024 and sum(n != 1024 and n & (n - 1) > 0 for n in sums) <= 1
+    held = defaultdict(list)
+    for w in windows:
+        for i, start, n in w:
+            held[i].append((start, n))
+    for i, n in enumerate(lengths):
+        at = 0
+        for start, size in sorted(held[i]):
+            assert start == at and size > 0
+            at += size
+        assert at == n
+
+
+def test_packing_repeated_and_null_ids(spark):
+    rows = packing.pack_documents(table(spark, ["a b c", "a b c", "d", None], ids=[1, 1, None, 2]), WORD, with_ids=True).collect()
+    by_item = defaultdict(list)
+    for r in rows:
+        by_item[r["item"]].append(r)
+    e = Encoder(WORD)
+    whole = sorted((v[0]["doc_id"] is None, v[0]["doc_id"] or 0, [x for r in sorted(v, key=lambda r: r["start"]) for x in r["ids"]]) for v in by_item.values())
+    code = lambda t: [*np.frombuffer(e.encode(t), np.int32).tolist(), 2]
+    assert whole == [(False, 1, code("a b c")), (False, 1, code("a b c")), (False, 2, [2]), (True, 0, code("d"))]
 
 
 @pytest.mark.parametrize("bits", [1, 7, 15, 16, 17, 32])
@@ -321,17 +354,74 @@ def test_quality(spark):
     assert {r["score"] for r in none.collect()} == {0.5}
 
 
-def test_toxicity(spark):
+def test_quality_equals_plain_densities():
+    """The cached factors give the log densities that the inverse and the determinant of the covariances give."""
+    r = np.random.default_rng(4)
+    x = np.vstack([r.normal(0, 1, (60, 5)), r.normal(1, 2, (40, 5))])
+    y = np.array([0] * 60 + [1] * 40)
+    model = quality.fit_discriminant(x, y, {0: 60, 1: 40})
+    pooled = sum((x[y == c] - x[y == c].mean(0)).T @ (x[y == c] - x[y == c].mean(0)) for c in (0, 1)) / 98
+    density = []
+    for c in (0, 1):
+        z = x[y == c]
+        cov = (1 - quality.POOLED) * np.cov(z.T) + quality.POOLED * pooled
+        cov = (1 - quality.RIDGE) * cov + quality.RIDGE * (np.trace(cov) / 5 + 1e-6) * np.eye(5)
+        d = x - z.mean(0)
+        density.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) - 0.5 * np.linalg.slogdet(cov)[1])
+    assert np.allclose(model.difference(x), density[1] - density[0])
+
+
+def test_classifiers_on_odd_tables(spark):
     docs, labels = labelled(spark)
-    lexicon = toxicity.fit_toxicity(docs, labels)
-    held = [r for r in toxicity.score_toxicity(docs, lexicon).collect() if r["held_out"]]
-    assert np.mean([r["predicted"] == (600 <= r["doc_id"] < 900) for r in held]) > 0.98
+    twice = docs.where("doc_id % 7 = 1").unionByName(docs.where("doc_id % 7 = 1"))
+    model = quality.fit_quality(docs.unionByName(twice), labels.unionByName(labels))
+    once = quality.fit_quality(docs, labels)
+    assert np.allclose(model.means, once.means)
+    lexicon = toxicity.fit_toxicity(docs.unionByName(twice), labels.unionByName(labels))
+    assert lexicon.weights == toxicity.fit_toxicity(docs, labels).weights
+    assert quality.score_quality(docs.limit(0), model).count() == 0 == toxicity.score_toxicity(docs.limit(0), lexicon).count()
+    plain = toxicity.fit_toxicity(docs, labels.limit(0))
+    assert set(plain.weights.values()) == {toxicity.SEED_WEIGHT} and toxicity.score_toxicity(docs, plain).count() == 902
+    assert {r["n"] for r in toxicity.score_toxicity(twice, lexicon).groupBy("doc_id", "score").agg(F.count("*").alias("n")).collect()} == {2}
+
+
+def test_lexicon_hits_equal_a_plain_scan():
+    r = random.Random(8)
+    lexicon = toxicity.Lexicon({" idiot ": 3.0, " idi": 1.5, " trash ": 2.0, " moron ": 1.0, " jerk ": 2.5})
     a = lexicon.automaton()
-    assert toxicity.measure("take out the trash", a)[0] == 0 < toxicity.measure("you trash", a)[0]
-    assert toxicity.measure("1d10t", a)[0] > 0 and toxicity.measure("mоrоn", a)[0] > 0
-
-
-def test_licenses(spark):
+    pool = ["idiot", "idiotic", "idi", "Trash", "can", "moron", "m0ron", "jerk", "chicken", "knee", "the", "take", "out", "x", "idi0t!"]
+    for _ in range(300):
+        text = " ".join(r.choice(pool) for _ in range(r.randrange(12)))
+        folded = toxicity.fold(text)
+        inside = [False] * len(folded)
+        for phrase in lexicon.exceptions:
+            for m in re.finditer(f"(?={re.escape(phrase)})", folded):
+                inside[m.start() : m.start() + len(phrase) - 1] = [True] * (len(phrase) - 1)
+        total = 0.0
+        for start in range(len(folded)):
+            found = [w for t, w in lexicon.weights.items() if folded.startswith(t, start)]
+            total += max(found, default=0.0) * (not inside[start])
+        assert toxicity.measure(text, a)[0] == pytest.approx(total), text
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_toxicity_of_the_documents(spark, sf):
+    """Held-out recall and false alarms on whole tables, with few labels and with more."""
+    path = f"/root/testdata/{sf}"
+    if not os.path.exists(path):
+        pytest.skip("no table")
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    y = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    rows = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).where("held_out").collect()
+    hits = Counter((y[r["doc_id"]], r["predicted"]) for r in rows if r["doc_id"] in y)
+    assert hits[0, 1] <= 0.02 * (hits[0, 0] + hits[0, 1])
+    # About a fiftieth of the labels are wrong: toxic documents without a single word of the lexicon.
+    text, seeds = {r["doc_id"]: r["text"] for r in docs.collect()}, {toxicity.fold(w).strip() for w in toxicity.SEEDS}
+    assert all(r["predicted"] == 1 for r in rows if y.get(r["doc_id"]) == 1 and seeds & set(toxicity.fold(text[r["doc_id"]] or "").split()))
+    assert hits[1, 1] >= (0.85 if sf == "sf0.1" else 0.6) * (hits[1, 1] + hits[1, 0])
+
+
+def test_test_licenses(spark):
     texts = [*ODD, "Licensed under the Apache License, Version 2.0.", "cc by nc cc by nc CC BY-NC 4.0", "Released under the MIT License; GNU General Public License, version 3", "SPDX-License-Identifier: BSD-3-Clause", "under the mit licenses", "All rights reserved. " * 50]
     rows = {r["doc_id"]: r for r in licenses.license_digest(table(spark, texts)).collect()}
     cut = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -374,7 +464,7 @@ def forms(pattern):
         if op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT):
             return ["".join(p) for p in itertools.product(joined(a[2]), repeat=a[0])]
         assert op in (_parser.ANY, _parser.ASSERT, _parser.ASSERT_NOT), op
-        return [""]
+        return ["q" if op is _parser.ANY else ""]
 
     def joined(parsed):
         return ["".join(p) for p in itertools.product(*[made(op, a) for op, a in parsed])]
@@ -383,7 +473,7 @@ def forms(pattern):
 
 
 def test_gates_lose_no_form(spark):
-    texts = sorted({t for r in rules() for t in forms(r.regex)})
+    texts = sorted({re.sub(" +", " ", t).strip() for r in rules() for t in forms(r.regex)})
     assert {"bsd 3 clause", "zero clause bsd", "mit no attribution", "simplified licence", "shared under creative commons attribution"} <= set(texts)
     compiled = [(re.compile(r.regex), r) for r in rules()]
     rows = {r["doc_id"]: r["detections"] for r in licenses.scan_licenses(table(spark, texts)).select("doc_id", "detections").collect()}
@@ -394,7 +484,8 @@ def test_gates_lose_no_form(spark):
                 kept.append((start, back, priority, label))
             elif back < kept[-1][1] and priority < kept[-1][2]:
                 kept[-1] = (start, back, priority, label)
-        assert kept and [(d["start"], d["end"], d["label"]) for d in rows[i]] == [(s, -b, label) for s, b, _, label in kept], text
+        assert kept, text
+        assert [(d["start"], d["end"], d["label"]) for d in rows[i]] == [(s, -b, label) for s, b, _, label in kept], text
 
 
 def test_mixing(spark):
@@ -416,6 +507,39 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def plain_targets(sizes, weights, share, most):
+    """Targets by sharing the budget, stopping what is full and sharing the excess again."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    budget, target, open_ = share * sum(sizes.values()), dict.fromkeys(order, 0.0), set(order)
+    while open_:
+        rest = budget - sum(target[s] for s in order if s not in open_)
+        part = {s: rest * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = {s for s in open_ if part[s] > most * sizes[s]}
+        for s in full or open_:
+            target[s] = most * sizes[s] if full else part[s]
+        open_ -= full or set(open_)
+    return target
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_equal_plain_sharing(spark, seed):
+    r = random.Random(seed)
+    names = [None, "a", "B", "é", "\U0001f600", "z", "\ufffd", "ab"][: 2 + 2 * seed]
+    sizes = {s: int(10 ** r.uniform(0, 4)) for s in names}
+    rows = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), (3.0, 1.0, 2.0), 1.5, 2.0).collect()
+    expected = plain_targets(sizes, (3.0, 1.0, 2.0), 1.5, 2.0)
+    assert {x["source"]: pytest.approx(x["target"]) for x in rows} == expected
+
+
+def test_mixing_repeated_and_null_ids(spark):
+    docs = table(spark, ["a b", "a b", "c d e", "f", None], ids=[1, 1, None, None, 3], sources=["s"] * 5)
+    rows = mixing.mix(docs).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"]) for r in rows) == [(False, 1, 2), (False, 1, 2), (False, 3, 0), (True, 0, 1), (True, 0, 3)]
+    assert all(r["taken"] <= 2 * r["size"] and r["target"] == 12.0 for r in rows)
+    assert mixing.mixed_documents(docs).select(F.sum(mixing.words(F.col("text")))).first()[0] == sum(r["taken"] for r in rows)
+
+
 def test_mixing_draws_whole_documents(spark):
     texts = [words(1 + k * 7 % 90, k) + "  \n" for k in range(600)] + [None, ""]
     ids = [None if k % 50 == 0 else k % 500 for k in range(602)]
