@@ -22,8 +22,20 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+#: Rows and bytes of the batches in which texts go to Python, where the session doesn't set its own.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Texts are long: batches of ten thousand would take most of what executors have outside the heap."""
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def documents(df: DataFrame, *keep: str) -> DataFrame:
     """doc_id and text (null: empty), and the named columns where they exist, under their own names."""
+    bound_batches(df.sparkSession)
     extra = [F.col(c) for c in keep if c in df.columns]
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import documents, held_out, slices
+from docloom.llm.common import bound_batches, documents, held_out, slices
 from docloom.llm.labelled import SAMPLE, labelled_sample
 
 #: Shares of a class's covariance that come from the pooled covariance and from its diagonal's mean.
@@ -163,6 +163,7 @@ def keep_quality(docs: DataFrame, model: Discriminant | None, threshold: float =
     if model is None:
         return docs
     at = docs.columns.index("text")
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -142,11 +142,11 @@ class Encoder:
         return b"".join(found)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of this Python worker for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, entries: int = MEMO_ENTRIES) -> Encoder:
+    """The encoder of this Python worker for a vocabulary file and a size of memo."""
+    if (path, entries) not in _encoders:
+        _encoders[path, entries] = Encoder(path, entries)
+    return _encoders[path, entries]
