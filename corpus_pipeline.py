@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.queries import vocabulary
 
+#: Words that a Python worker remembers with their ids. The same workers serve all stages, so it is small.
+MEMO = 100_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -60,7 +63,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     from docloom.llm.packing import pack_documents
 
-    return pack_documents(docs, vocabulary("word_bpe_49k.json"), with_ids=True)
+    return pack_documents(docs, vocabulary("word_bpe_49k.json"), with_ids=True, memo=MEMO)
 
 
 STAGES: list[tuple[str, Stage]] = [("quality", quality), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
