@@ -46,15 +46,15 @@ def normalise(b: Column, page_width: Column, page_height: Column) -> Column:
     return box(b["x1"] / page_width, b["y1"] / page_height, b["x2"] / page_width, b["y2"] / page_height)
 
 
-def overlap_x(a: Column, b: Column) -> Column:
-    """Overlap in x over the narrower width, at least 0."""
-    shared = F.greatest(F.lit(0.0), F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]))
-    return shared / F.greatest(F.least(width(a), width(b)), F.lit(1e-9))
+def overlap_x(a: Column, b: Column, relative: bool = False) -> Column:
+    """Overlap in x, negative for boxes apart; ``relative``: over the narrower width, at least 0."""
+    shared = F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"])
+    return F.greatest(F.lit(0.0), shared) / F.greatest(F.least(width(a), width(b)), F.lit(1e-9)) if relative else shared
 
 
-def overlap_y(a: Column, b: Column) -> Column:
-    shared = F.greatest(F.lit(0.0), F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]))
-    return shared / F.greatest(F.least(height(a), height(b)), F.lit(1e-9))
+def overlap_y(a: Column, b: Column, relative: bool = False) -> Column:
+    shared = F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"])
+    return F.greatest(F.lit(0.0), shared) / F.greatest(F.least(height(a), height(b)), F.lit(1e-9)) if relative else shared
 
 
 def center_distance(a: Column, b: Column) -> Column:

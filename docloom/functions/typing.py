@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import lexicon as L
 from docloom.functions.text import is_title, is_upper, words
 
+# FIXED VALUES: looks of dates, amounts and percentages.
 _DATE_LOOK = r"(?i)^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}$|(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+[0-9]{1,2},?\s+[0-9]{4}"
 _MONEY_LOOK = r"(?i)^\$[0-9,]+\.?[0-9]*|^[0-9,]+\.?[0-9]*\s*(USD|EUR|GBP|dollars?|euros?)$"
 _PERCENT_LOOK = r"(?i)^[0-9]+\.?[0-9]*%|^[0-9]+\.?[0-9]*\s*percent$"
@@ -28,7 +29,7 @@ def map_entity_type(label: Column, text: Column, context: Column) -> Column:
     """Entity type of a labelled text: by label, by shape, by name, by parts of the label, by looks."""
     name, plain = F.lower(F.trim(label)), F.lower(F.trim(text))
     shape = reduce(lambda c, rule: c.when(text.rlike(rule[0]), rule[1]), L.SHAPE_TYPES[1:], F.when(text.rlike(L.SHAPE_TYPES[0][0]), L.SHAPE_TYPES[0][1]))
-    any_part = lambda parts: reduce(lambda a, b: a | b, [F.contains(name, F.lit(p)) for p in parts.split()])
+    any_part = lambda parts: reduce(lambda a, b: a | b, [F.contains(name, F.lit(p)) for p in parts])
     part = reduce(lambda c, rule: c.when(any_part(rule[0]), rule[1]), L.LABEL_PARTS[1:], F.when(any_part(L.LABEL_PARTS[0][0]), L.LABEL_PARTS[0][1]))
     known = F.coalesce(context, F.lit("")) != ""
     look = (
@@ -145,11 +146,14 @@ def ocr_error(text: Column) -> Column:
 
 
 def document_type(text: Column) -> Column:
-    """struct(name, confidence, scores): keyword hits and twice the pattern hits; ties go to the first."""
+    """struct(name, confidence, scores): keyword hits and twice the pattern hits; ties go to the first.
+
+    Words and their borders in patterns are those of all scripts.
+    """
     low = F.lower(text)
     scores = []
     for name, (keywords, patterns) in L.DOCUMENT_TYPES.items():
-        hits = [F.contains(low, F.lit(k)).cast("int") for k in keywords.split("|")] + [text.rlike(p).cast("int") * 2 for p in patterns]
+        hits = [F.contains(low, F.lit(k.lower())).cast("int") for k in keywords] + [text.rlike(f"(?U){p}").cast("int") * 2 for p in patterns]
         scores.append((name, reduce(lambda a, b: a + b, hits)))
     table = F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("order"), F.lit(n).alias("name")) for i, (n, s) in enumerate(scores)])
     best = lambda t: F.array_max(t)

@@ -16,31 +16,37 @@ from docloom.functions import lexicon as L
 def merge_entities(mentions: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """One entity for each normalised name, over all documents or (scope=("doc_id",)) in each.
 
-    The first mention, by document and order, gives id, name and type; confidence is the mean; regions, blocks and pages are
-    sets in order. One aggregation with partial results.
+    The first mention, by document and order, gives id, name and type; confidence is the mean. A row has
+    a bounded size however common the name: where an entity stands is in the bridges
+    (:func:`entity_regions`, :func:`entity_pages`). One aggregation with partial results.
     """
     place = F.struct("doc_id", "ord")
     first = F.min_by(F.struct("region_id", "start", "text", "label", "entity_type"), place)
     described = F.min_by("context", F.struct(-F.length("context"), "doc_id", "ord"))
-    boxes = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "ord", "bbox"))), lambda b: b["bbox"])
     merged = mentions.groupBy(*scope, "norm").agg(
-        first.alias("f"),
-        described.alias("description"),
-        F.array_sort(F.collect_set("region_id")).alias("regions"),
-        boxes.alias("grounding_boxes"),
-        F.array_sort(F.collect_set("block_type")).alias("block_types"),
-        F.avg("confidence").alias("confidence"),
-        F.count("*").alias("mention_count"),
-        F.array_sort(F.collect_set(F.struct("doc_id", "page_num"))).alias("pages"),
-        F.min(place).alias("ord"),
+        first.alias("f"), described.alias("description"), F.array_sort(F.collect_set("block_type")).alias("block_types"), F.avg("confidence").alias("confidence"), F.count("*").alias("mention_count"), F.min(place).alias("ord")
     )
     name = F.concat_ws("_", F.lit("entity"), F.col("f.region_id"), F.col("f.start").cast("string"), F.xxhash64(*scope, "norm").cast("string"))
-    return merged.select(*scope, name.alias("entity_id"), F.col("f.text").alias("name"), "norm", F.col("f.entity_type").alias("entity_type"), F.col("f.label").alias("label"), "description", "regions", "grounding_boxes", "block_types", "confidence", "mention_count", "pages", "ord")
+    return merged.select(*scope, name.alias("entity_id"), F.col("f.text").alias("name"), "norm", F.col("f.entity_type").alias("entity_type"), F.col("f.label").alias("label"), "description", "block_types", "confidence", "mention_count", "ord")
+
+
+def entity_details(mentions: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Per name the lists of its regions, pages and boxes: for entities of one document or a few, not for a corpus."""
+    boxes = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "ord", "bbox"))), lambda b: b["bbox"])
+    return mentions.groupBy(*scope, "norm").agg(F.array_sort(F.collect_set("region_id")).alias("regions"), F.array_sort(F.collect_set(F.struct("doc_id", "page_num"))).alias("pages"), boxes.alias("grounding_boxes"))
+
+
+def entity_regions(entities: DataFrame, mentions: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """The bridge (entity_id, region_id), made once from the mentions and used by all that joins entities to regions."""
+    keys = [*scope, "norm"]
+    return mentions.select(*keys, "region_id").distinct().join(entities.select(*keys, "entity_id", "ord", "entity_type"), keys).select("entity_id", "ord", "entity_type", "region_id")
 
 
-def entity_regions(entities: DataFrame) -> DataFrame:
-    """The bridge (entity_id, region_id), made once and used by all that joins entities to regions."""
-    return entities.select("entity_id", "ord", "entity_type", F.explode("regions").alias("region_id"))
+def entity_pages(entities: DataFrame, mentions: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """The bridge (entity_id, doc_id, page_num) with what pairs of a page need."""
+    keys = [*scope, "norm"]
+    named = entities.select(*keys, "entity_id", F.col("ord").alias("e_ord"), "block_types")
+    return mentions.select(*dict.fromkeys([*keys, "doc_id", "page_num"])).distinct().join(named, keys).select("entity_id", F.col("e_ord").alias("ord"), "block_types", "doc_id", "page_num")
 
 
 def linked_regions(bridge: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -66,19 +72,19 @@ def cooccurrences(bridge: DataFrame) -> DataFrame:
     return _pairs(bridge).groupBy("source", "target").agg(F.least(F.count("*") * 0.2, F.lit(1.0)).alias("weight"), F.array_sort(F.collect_set("region_id")).alias("regions")).withColumn("rel_type", F.lit("co_occurs_with"))
 
 
-def same_page(entities: DataFrame, cooccurring: DataFrame) -> DataFrame:
-    """Entities that share a page but no region: weight 0.3."""
-    pages = entities.select("entity_id", "ord", F.explode("pages").alias("page"))
-    a = pages.select("page", F.col("entity_id").alias("source"), F.col("ord").alias("ord_a"))
-    b = pages.select("page", F.col("entity_id").alias("target"), F.col("ord").alias("ord_b"))
-    pairs = a.join(b, "page").where((F.col("ord_a") < F.col("ord_b")) | (F.col("ord_a") == F.col("ord_b")) & (F.col("source") < F.col("target"))).select("source", "target").distinct()
+def same_page(pages: DataFrame, cooccurring: DataFrame) -> DataFrame:
+    """Entities that share a page (rows of :func:`entity_pages`) but no region: weight 0.3."""
+    keys = ["doc_id", "page_num"]
+    a = pages.select(*keys, F.col("entity_id").alias("source"), F.col("ord").alias("ord_a"))
+    b = pages.select(*keys, F.col("entity_id").alias("target"), F.col("ord").alias("ord_b"))
+    pairs = a.join(b, keys).where((F.col("ord_a") < F.col("ord_b")) | (F.col("ord_a") == F.col("ord_b")) & (F.col("source") < F.col("target"))).select("source", "target").distinct()
     return pairs.join(cooccurring.select("source", "target"), ["source", "target"], "left_anti").select("source", "target", F.lit("same_page").alias("rel_type"), F.lit(0.3).alias("weight"))
 
 
 def semantic_relations(bridge: DataFrame, regions: DataFrame) -> DataFrame:
     """Pairs of a region whose text states a relation: the first region and pattern count once each."""
     low = F.lower("text")
-    kinds = F.filter(F.array(*[F.when(low.rlike(p), k) for k, p in L.RELATION_PATTERNS]), lambda k: k.isNotNull())
+    kinds = F.filter(F.array(*[F.when(low.rlike("|".join(patterns)), kind) for kind, patterns in L.RELATION_PATTERNS.items()]), lambda k: k.isNotNull())
     stated = regions.select("region_id", kinds.alias("kinds"), F.substring("text", 1, 200).alias("evidence"), F.col("ord").alias("region_ord")).where("size(kinds) > 0")
     pairs = _pairs(bridge).join(stated, "region_id").select("source", "target", F.explode("kinds").alias("rel_type"), "region_id", "evidence", "region_ord")
     return pairs.groupBy("source", "target", "rel_type").agg(F.lit(0.8).alias("weight"), F.min_by("region_id", F.struct("region_ord", "region_id")).alias("region_id"), F.min_by("evidence", F.struct("region_ord", "region_id")).alias("evidence"))
@@ -90,15 +96,15 @@ def table_relations(entities: DataFrame, bridge: DataFrame) -> DataFrame:
     return _pairs(bridge.join(inside, "entity_id", "left_semi")).select("source", "target").distinct().select("source", "target", F.lit("table_related").alias("rel_type"), F.lit(0.9).alias("weight"))
 
 
-def header_relations(entities: DataFrame) -> DataFrame:
+def header_relations(pages: DataFrame) -> DataFrame:
     """Entities of headers to entities of paragraphs of a shared page: weight 0.6.
 
     An entity that stands in both describes itself.
     """
-    pages = entities.select("entity_id", "block_types", F.explode("pages").alias("page"))
-    heads = pages.where(F.array_contains("block_types", "header")).select("page", F.col("entity_id").alias("source"))
-    body = pages.where(F.array_contains("block_types", "paragraph")).select("page", F.col("entity_id").alias("target"))
-    return heads.join(body, "page").select("source", "target").distinct().select("source", "target", F.lit("header_describes").alias("rel_type"), F.lit(0.6).alias("weight"))
+    keys = ["doc_id", "page_num"]
+    heads = pages.where(F.array_contains("block_types", "header")).select(*keys, F.col("entity_id").alias("source"))
+    body = pages.where(F.array_contains("block_types", "paragraph")).select(*keys, F.col("entity_id").alias("target"))
+    return heads.join(body, keys).select("source", "target").distinct().select("source", "target", F.lit("header_describes").alias("rel_type"), F.lit(0.6).alias("weight"))
 
 
 def typed_relations(bridge: DataFrame) -> DataFrame:
@@ -130,10 +136,10 @@ def unique_relations(relations: DataFrame) -> DataFrame:
     return relations.groupBy("source", "target", "rel_type").agg(F.max("weight").alias("weight"), *first, F.min("ord").alias("ord"))
 
 
-def all_relations(entities: DataFrame, bridge: DataFrame, regions: DataFrame) -> DataFrame:
+def all_relations(entities: DataFrame, bridge: DataFrame, pages: DataFrame, regions: DataFrame) -> DataFrame:
     """Relations of all strategies in their order, each (source, target, rel_type) once."""
     together = cooccurrences(bridge)
-    parts = (semantic_relations(bridge, regions), together, same_page(entities, together), table_relations(entities, bridge), header_relations(entities), typed_relations(bridge))
+    parts = (semantic_relations(bridge, regions), together, same_page(pages, together), table_relations(entities, bridge), header_relations(pages), typed_relations(bridge))
     listed = [p.select("source", "target", "rel_type", F.col("weight").cast("double").alias("weight"), F.lit(i).alias("ord")) for i, p in enumerate(parts)]
     return unique_relations(reduce(DataFrame.unionByName, listed))
 

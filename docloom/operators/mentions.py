@@ -75,7 +75,7 @@ def organisations(text: Column) -> Column:
     """Names with a legal suffix (its full stop left out) and well-known technology names."""
     suffix = r"\b[A-Z][A-Za-z&\-]+(?:\s+[A-Z][A-Za-z&\-]+)*\s+(?:Inc|Corp|Ltd|LLC|Co|Company|Corporation|Group|Foundation)\b"
     names = F.filter(F.array(*[F.lit(n) for n in L.TECHNOLOGY_NAMES]), lambda n: F.contains(text, n))
-    return F.concat(_mentions(F.array_distinct(_all(text, suffix)), "organization", 0.85), _mentions(names, "technology", 0.8))
+    return F.concat(_mentions(F.array_distinct(_all(text, suffix)), "organization", 0.90), _mentions(names, "technology", 0.85))
 
 
 def acronyms(text: Column) -> Column:
@@ -251,7 +251,7 @@ def region_labels(block: Column) -> Column:
     """All labels asked of a model in a block: those of the types in focus, or of all types."""
     from docloom.functions.typing import focus_types
 
-    labels = F.create_map(*[v for t, words in L.SCHEMA_LABELS.items() for v in (F.lit(t), F.split(F.lit(words), " "))])
-    every = F.split(F.lit(" ".join(L.SCHEMA_LABELS.values())), " ")
+    labels = F.create_map(*[v for t, words in L.SCHEMA_LABELS.items() for v in (F.lit(t), F.array(*[F.lit(w) for w in words]))])
+    every = F.array(*[F.lit(w) for words in L.SCHEMA_LABELS.values() for w in words])
     focused = F.flatten(F.transform(focus_types(block), lambda t: F.coalesce(F.element_at(labels, t), F.array(F.lower(t)))))
     return F.array_sort(F.array_distinct(F.coalesce(focused, every)))

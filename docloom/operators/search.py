@@ -71,13 +71,29 @@ def question_keywords(question: Column) -> Column:
     return F.filter(F.array_distinct(words(F.lower(question))), lambda w: F.length(w) > 3)
 
 
+def keyword_hits(keywords: DataFrame, regions: DataFrame) -> DataFrame:
+    """(word, region_id) for each distinct ``word`` (of three characters or more) that a region's lower-case text holds.
+
+    A region holds a word if one of its own words does. That is decided on distinct words: both sides
+    meet on the first three characters of the asked word, which the other must have somewhere. So no
+    question is compared with every region.
+    """
+    asked = keywords.select("word").distinct()
+    own = regions.select("region_id", F.explode(F.array_distinct(words(F.lower("text")))).alias("own"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("own") - 2), lambda i: F.substring("own", i, F.lit(3)))
+    distinct = own.select("own").distinct().where(F.length("own") >= 3)
+    dealt = distinct.select("own", F.explode(F.array_distinct(grams)).alias("gram"))
+    held = dealt.join(asked.select("word", F.substring("word", 1, 3).alias("gram")), "gram").where(F.contains("own", F.col("word"))).select("own", "word")
+    return own.join(held, "own").select("word", "region_id").distinct()
+
+
 def rank_regions(queries: DataFrame, regions: DataFrame, k: int = 5, entity_counts: DataFrame | None = None) -> DataFrame:
     """Regions by the share of keywords they hold, with a boost for matching entities (query_id, region_id, n)."""
     asked = queries.select("query_id", question_keywords(F.col("question")).alias("keywords"))
-    low = F.lower("text")
-    held = F.size(F.filter("keywords", lambda w: F.contains(low, w)))
-    pairs = regions.select("doc_id", "region_id", "ord", "text").crossJoin(_asked(asked)).withColumn("matches", held).where("matches > 0")
-    keyword = F.least(F.lit(1.0), F.col("matches") / F.size("keywords"))
+    each = asked.select("query_id", F.size("keywords").alias("all"), F.explode("keywords").alias("word"))
+    hits = keyword_hits(each, regions).join(each, "word").groupBy("query_id", "region_id").agg(F.count("*").cast("int").alias("matches"), F.max("all").alias("all"))
+    pairs = hits.join(regions.select("region_id", "doc_id", "ord"), "region_id")
+    keyword = F.least(F.lit(1.0), F.col("matches") / F.col("all"))
     if entity_counts is not None:
         pairs = pairs.join(entity_counts, ["query_id", "region_id"], "left")
         boost = F.least(F.lit(0.5), F.coalesce("n", F.lit(0)) * 0.1)
@@ -87,21 +103,22 @@ def rank_regions(queries: DataFrame, regions: DataFrame, k: int = 5, entity_coun
     return ranked(scored, "score", k, "doc_id", "ord").select("query_id", "doc_id", "region_id", "matches", "score", "rank")
 
 
-def text_terms(text: Column) -> Column:
+def text_terms(text: Column, stop_words: tuple[str, ...] = tuple(L.STOP_WORDS)) -> Column:
     """Index terms: words of two or more characters that are no stop words, and pairs of neighbours."""
-    w = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda t: ~t.isin(*L.STOP_WORDS))
+    w = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda t: ~t.isin(*stop_words))
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.when(i < F.size(w), F.concat(F.get(w, i - 1), F.lit(" "), F.get(w, i))))
     return F.concat(w, F.filter(pairs, lambda p: p.isNotNull()))
 
 
-def build_text_index(regions: DataFrame, terms: int = 5000, least: int = 10) -> tuple[DataFrame, DataFrame]:
+def build_text_index(regions: DataFrame, terms: int = 5000, least: int = 10, stop_words: tuple[str, ...] = tuple(L.STOP_WORDS)) -> tuple[DataFrame, DataFrame]:
     """(postings, vocabulary): doc_id, region_id, term, weight, and term, df, idf, n.
 
     The ``terms`` most frequent terms stay; weights are tf * (ln((1 + n) / (1 + df)) + 1), of unit
-    length in a region. The vocabulary has a bounded number of rows and is what is broadcast.
+    length in a region. The vocabulary has a bounded number of rows and is what is broadcast. Questions
+    are split with the same ``stop_words``; pass a library's own list to agree with an index of its.
     """
     texts = regions.where(F.length(F.trim("text")) > least)
-    counted = texts.select("doc_id", "region_id", F.explode(text_terms(F.col("text"))).alias("term")).groupBy("doc_id", "region_id", "term").agg(F.count("*").alias("tf"))
+    counted = texts.select("doc_id", "region_id", F.explode(text_terms(F.col("text"), stop_words)).alias("term")).groupBy("doc_id", "region_id", "term").agg(F.count("*").alias("tf"))
     kept = counted.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(terms)
     n = texts.agg(F.count("*").alias("n"))
     vocabulary = kept.crossJoin(F.broadcast(n)).withColumn("idf", F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)
@@ -110,9 +127,9 @@ def build_text_index(regions: DataFrame, terms: int = 5000, least: int = 10) ->
     return raw.withColumn("weight", F.col("w") / length).select("doc_id", "region_id", "term", "weight"), vocabulary
 
 
-def search_text_index(queries: DataFrame, postings: DataFrame, vocabulary: DataFrame, k: int | None = 5, least: float = 0.05) -> DataFrame:
+def search_text_index(queries: DataFrame, postings: DataFrame, vocabulary: DataFrame, k: int | None = 5, least: float = 0.05, stop_words: tuple[str, ...] = tuple(L.STOP_WORDS)) -> DataFrame:
     """Regions by the cosine of weights with the question's, over ``least``; only shared terms are joined. Without k all of them, with no rank."""
-    counted = queries.select("query_id", F.explode(text_terms(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
+    counted = queries.select("query_id", F.explode(text_terms(F.col("question"), stop_words)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
     raw = counted.join(F.broadcast(vocabulary.select("term", "idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id")))
     asked = raw.withColumn("q", F.col("w") / length).select("query_id", "term", "q")

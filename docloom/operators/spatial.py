@@ -35,12 +35,12 @@ def adjacency_weight(a: Column, b: Column) -> Column:
     return 1 / (1 + G.center_distance(a, b))
 
 
-def vertical_edges(nodes: DataFrame, gap: float = 0.1, overlap: float = 0.3) -> DataFrame:
-    """Regions that follow each other in page order with a small gap below and enough overlap in x."""
+def vertical_edges(nodes: DataFrame, gap: float = 0.1, overlap: float = 0.3, relative: bool = False) -> DataFrame:
+    """Regions that follow each other in page order with a small gap below and enough overlap in x (a share of the page)."""
     order = Window.partitionBy(*PAGE).orderBy("rn")
     n = _sorted(nodes).withColumn("t", F.lead(F.struct("region_id", "bbox")).over(order)).where("t is not null").select(*PAGE, "region_id", "bbox", F.col("t.region_id").alias("target"), F.col("t.bbox").alias("other"))
     space = F.col("other.y1") - F.col("bbox.y2")
-    kept = n.where((space >= 0) & (space < gap) & (G.overlap_x(F.col("bbox"), F.col("other")) > overlap))
+    kept = n.where((space >= 0) & (space < gap) & (G.overlap_x(F.col("bbox"), F.col("other"), relative) > overlap))
     return _edges(kept, "region_id", "target", "adjacent", adjacency_weight(F.col("bbox"), F.col("other")), F.lit("vertical"))
 
 
@@ -51,10 +51,10 @@ def _page_pairs(nodes: DataFrame, *more: str) -> DataFrame:
     return a.join(b, list(PAGE))
 
 
-def horizontal_edges(nodes: DataFrame, gap: float = 0.1, overlap: float = 0.3) -> DataFrame:
-    """Pairs of a page in page order with a small gap to the right and enough overlap in y."""
+def horizontal_edges(nodes: DataFrame, gap: float = 0.1, overlap: float = 0.3, relative: bool = False) -> DataFrame:
+    """Pairs of a page in page order with a small gap to the right and enough overlap in y (a share of the page)."""
     space = F.col("bbox_b.x1") - F.col("bbox_a.x2")
-    pairs = _page_pairs(nodes).where((F.col("rn_a") < F.col("rn_b")) & (space >= 0) & (space < gap) & (G.overlap_y(F.col("bbox_a"), F.col("bbox_b")) > overlap))
+    pairs = _page_pairs(nodes).where((F.col("rn_a") < F.col("rn_b")) & (space >= 0) & (space < gap) & (G.overlap_y(F.col("bbox_a"), F.col("bbox_b"), relative) > overlap))
     return _edges(pairs, "region_id_a", "region_id_b", "adjacent", adjacency_weight(F.col("bbox_a"), F.col("bbox_b")), F.lit("horizontal"))
 
 

@@ -61,7 +61,7 @@ class Engine:
         nodes = materialise(R.nodes(kept), "nodes")
         mentions = materialise(extract_mentions(regions), "mentions")
         merged = materialise(E.merge_entities(mentions, self.config.scope), "entities")
-        bridge = materialise(E.linked_regions(E.entity_regions(merged), nodes), "entity-region")
+        bridge = materialise(E.linked_regions(E.entity_regions(merged, mentions, self.config.scope), nodes), "entity-region")
         self.tables = {
             "regions": regions,
             "nodes": nodes,
@@ -69,7 +69,7 @@ class Engine:
             "mentions": mentions,
             "entities": merged,
             "entity_region": bridge,
-            "relationships": materialise(E.all_relations(merged, bridge, regions), "relationships"),
+            "relationships": materialise(E.all_relations(merged, bridge, E.entity_pages(merged, mentions, self.config.scope), regions), "relationships"),
             "figure_caption": spatial.figure_captions(nodes),
         }
         return self

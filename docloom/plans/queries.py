@@ -5,6 +5,7 @@ Every query runs over its whole table. Doubles are rounded to six places on both
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -195,33 +196,45 @@ def reading_order_edges(spark, sf_dir):
 @query(
     f"""WITH {_HTML}, s AS (SELECT *, lead(struct_pack(r := region_id, x1 := x1, y1 := y1, x2 := x2, y2 := y2)) OVER (PARTITION BY doc_id ORDER BY (y1 + y2) / 2, (x1 + x2) / 2, ord) AS t FROM html_regions)
 SELECT doc_id, region_id AS source, t.r AS target, round(1 / (1 + sqrt(pow((x1 + x2) / 2 - (t.x1 + t.x2) / 2, 2) + pow((y1 + y2) / 2 - (t.y1 + t.y2) / 2, 2))), 6) AS weight
-FROM s WHERE t IS NOT NULL AND t.y1 - y2 >= 0 AND t.y1 - y2 < 0.1"""
+FROM s WHERE t IS NOT NULL AND t.y1 - y2 >= 0 AND t.y1 - y2 < 0.1 AND least(x2, t.x2) - greatest(x1, t.x1) > 0.3"""
 )
 def vertical_adjacency(spark, sf_dir):
     return spatial.vertical_edges(html(spark, sf_dir)).select("doc_id", "source", "target", r6("weight"))
 
 
-def _grid(spark, sf_dir):
-    """Boxes on a page from parts and their sizes: 25 suppliers to a page in five columns."""
+def _grid(spark, sf_dir, down: float = 0.2, high: float = 0.15, wide: float = 0.15):
+    """Boxes on pages made of suppliers: five columns, and as many rows of the height ``down`` as a page holds."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
-    i = (F.col("k") % 25).cast("double")
-    col, row = i % 5, F.floor(i / 5)
+    page = 5 * round(1 / down)
+    i = (F.col("k") % page).cast("double")
+    x, y = (i % 5) * 0.2, F.floor(i / 5).cast("double") * down
     return s.select(
-        F.floor(F.col("k") / 25).alias("doc_id"), F.lit(0).alias("page_num"), F.col("k").alias("ord"), F.concat(F.lit("b"), F.col("k").cast("string")).alias("region_id"),
+        F.floor(F.col("k") / page).alias("doc_id"), F.lit(0).alias("page_num"), F.col("k").alias("ord"), F.concat(F.lit("b"), F.col("k").cast("string")).alias("region_id"),
         F.when(F.col("k") % 3 == 0, "figure").when(F.col("k") % 3 == 1, "caption").otherwise("paragraph").alias("block_type"),
-        F.struct((col * 0.2).alias("x1"), (row * 0.2).cast("double").alias("y1"), (col * 0.2 + 0.15).alias("x2"), (row * 0.2 + 0.15).cast("double").alias("y2")).alias("bbox"), F.lit("text").alias("text"), F.lit(1).alias("token_count"),
-    )
+        F.struct(x.alias("x1"), y.alias("y1"), (x + wide).alias("x2"), (y + high).alias("y2")).alias("bbox"), F.lit("text").alias("text"), F.lit(1).alias("token_count"),
+    )
 
 
-_GRID = """grid AS (
-  SELECT s_suppkey // 25 AS doc_id, s_suppkey AS ord, 'b' || s_suppkey AS region_id, CASE s_suppkey % 3 WHEN 0 THEN 'figure' WHEN 1 THEN 'caption' ELSE 'paragraph' END AS block_type,
-    (s_suppkey % 25 % 5)::DOUBLE * 0.2 AS x1, (s_suppkey % 25 // 5)::DOUBLE * 0.2 AS y1, (s_suppkey % 25 % 5)::DOUBLE * 0.2 + 0.15 AS x2, (s_suppkey % 25 // 5)::DOUBLE * 0.2 + 0.15 AS y2 FROM supplier
+def _grid_sql(page: int = 25, down: float = 0.2, high: float = 0.15, wide: float = 0.15) -> str:
+    x, y = "(s_suppkey % 5)::DOUBLE * 0.2::DOUBLE", f"(s_suppkey % {page} // 5)::DOUBLE * {down}::DOUBLE"
+    return f"""grid AS (
+  SELECT s_suppkey // {page} AS doc_id, s_suppkey AS ord, 'b' || s_suppkey AS region_id, CASE s_suppkey % 3 WHEN 0 THEN 'figure' WHEN 1 THEN 'caption' ELSE 'paragraph' END AS block_type,
+    {x} AS x1, {y} AS y1, {x} + {wide}::DOUBLE AS x2, {y} + {high}::DOUBLE AS y2 FROM supplier
 )"""
 
 
-@query(f"WITH {_GRID} SELECT a.doc_id, a.region_id AS source, b.region_id AS target FROM grid a JOIN grid b USING (doc_id) WHERE b.x1 - a.x2 >= 0 AND b.x1 - a.x2 < 0.1 AND (least(a.y2, b.y2) - greatest(a.y1, b.y1)) / 0.15 > 0.3")
+_GRID = _grid_sql()
+
+
+@query(f"WITH {_grid_sql(10, 0.5, 0.45)} SELECT a.doc_id, a.region_id AS source, b.region_id AS target, round(1 / (1 + sqrt(pow((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2, 2) + pow((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2, 2))), 6) AS weight FROM grid a JOIN grid b USING (doc_id) WHERE b.x1 - a.x2 >= 0 AND b.x1 - a.x2 < 0.1 AND least(a.y2, b.y2) - greatest(a.y1, b.y1) > 0.3")
 def horizontal_adjacency(spark, sf_dir):
-    return spatial.horizontal_edges(_grid(spark, sf_dir)).select("doc_id", "source", "target")
+    return spatial.horizontal_edges(_grid(spark, sf_dir, 0.5, 0.45)).select("doc_id", "source", "target", r6("weight"))
+
+
+@query(f"WITH {_GRID} SELECT a.doc_id, a.region_id AS source, b.region_id AS target FROM grid a JOIN grid b USING (doc_id) WHERE b.x1 - a.x2 >= 0 AND b.x1 - a.x2 < 0.1 AND (least(a.y2, b.y2) - greatest(a.y1, b.y1)) / 0.15 > 0.3")
+def horizontal_adjacency_relative(spark, sf_dir):
+    """The overlap as a share of the lower box: an option that is off by default."""
+    return spatial.horizontal_edges(_grid(spark, sf_dir), relative=True).select("doc_id", "source", "target")
 
 
 @query(f"WITH {_GRID}, p AS (SELECT f.doc_id, f.region_id AS figure_id, c.region_id AS caption_id, row_number() OVER (PARTITION BY f.region_id ORDER BY round(sqrt(pow(c.x1 - f.x1, 2) + pow(c.y1 - f.y1, 2)), 9), c.ord) AS r FROM grid f JOIN grid c USING (doc_id) WHERE f.block_type = 'figure' AND c.block_type = 'caption' AND c.y1 - f.y1 > 0.001 AND c.y1 - f.y1 < 0.25 AND abs(c.x1 - f.x1) < 0.3) SELECT doc_id, figure_id, caption_id FROM p WHERE r = 1")
@@ -229,9 +242,9 @@ def nearest_caption(spark, sf_dir):
     return spatial.figure_captions(_grid(spark, sf_dir), below=0.25).select("doc_id", "figure_id", "caption_id")
 
 
-@query(f"WITH {_GRID} SELECT DISTINCT a.doc_id, a.region_id AS a, b.region_id AS b FROM grid a JOIN grid b USING (doc_id) WHERE a.block_type = 'figure' AND b.block_type = 'paragraph' AND a.x1 <= b.x2 AND b.x1 <= a.x2 AND a.y1 <= b.y2 AND b.y1 <= a.y2")
+@query(f"WITH {_grid_sql(25, 0.2, 0.25, 0.25)} SELECT DISTINCT a.doc_id, a.region_id AS a, b.region_id AS b FROM grid a JOIN grid b USING (doc_id) WHERE a.block_type = 'figure' AND b.block_type = 'paragraph' AND a.x1 <= b.x2 AND b.x1 <= a.x2 AND a.y1 <= b.y2 AND b.y1 <= a.y2")
 def bbox_intersect(spark, sf_dir):
-    g = _grid(spark, sf_dir)
+    g = _grid(spark, sf_dir, high=0.25, wide=0.25)
     return spatial.overlapping_pairs(g.where("block_type = 'figure'"), g.where("block_type = 'paragraph'")).select("doc_id", "a", "b")
 
 
@@ -288,58 +301,89 @@ def mentions_percent(spark, sf_dir):
     return mentions.extract_mentions(lines(spark, sf_dir), ("percentage",)).select("doc_id", "region_id", "text")
 
 
-@query(
-    f"""WITH {_LINES}, d AS ("""
-    + " UNION ALL ".join(f"SELECT doc_id, region_id, '{k}' AS label, {i} AS k, unnest(list_distinct(regexp_extract_all(text, '{p}'))) AS text FROM regions" for i, (k, p) in enumerate(mentions.DATE_KINDS))
-    + "), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, region_id, text ORDER BY k) AS r FROM d) SELECT doc_id, region_id, label, text FROM r WHERE r = 1"
+_DATES = (
+    ("quarter", r"(?i)Q[1-4]\s+[0-9]{4}"),
+    ("fiscal_year", r"(?i)FY\s*[0-9]{4}"),
+    ("year_range", r"[0-9]{4}-[0-9]{4}"),
+    ("full_date", r"(?i)(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+[0-9]{1,2},?\s+[0-9]{4}"),
+    ("month_year", r"(?i)(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\.?\s+[0-9]{4}"),
+    ("year", r"(?:19|20)[0-9]{2}"),
 )
+
+
+def _dates_sql(source: str) -> str:
+    each = " UNION ALL ".join(f"SELECT doc_id, region_id, '{k}' AS label, {i} AS k, unnest(list_distinct(regexp_extract_all(text, '{p}'))) AS text FROM {source}" for i, (k, p) in enumerate(_DATES))
+    return f"d AS ({each}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, region_id, text ORDER BY k) AS r FROM d) SELECT doc_id, region_id, label, text FROM r WHERE r = 1"
+
+
+@query(f"WITH {_LINES}, {_dates_sql('regions')}")
 def mentions_date(spark, sf_dir):
     return mentions.extract_mentions(lines(spark, sf_dir), ("date",)).select("doc_id", "region_id", "label", "text")
 
 
-@query(f"WITH {_ACRONYMS} SELECT lower(text) AS norm, count(*) AS mention_count, list_sort(list(DISTINCT region_id)) AS regions, min_by(text, doc_id * 100000000 + ord) AS any_name FROM acronyms GROUP BY lower(text)")
+# An acronym of two to six capitals gets 0.1 more where its type is an organisation or a term, and 0.05 near a mark of a heading.
+_CONTEXT = "lower(substr(region_text, greatest(strpos(region_text, text) - 51, 0) + 1, (strpos(region_text, text) - 1 + length(text) + 50) - greatest(strpos(region_text, text) - 51, 0)))"
+_SURE = f"""{_ACRONYMS}, surely AS (
+  SELECT a.doc_id, a.region_id, a.text, lower(a.text) AS norm, least(1.0, 0.8 + least(0.3, CASE WHEN lower(a.text) IN ('aws', 'gcp', 'java', 'keras', 'ai') THEN 0 ELSE 0.1 END + CASE WHEN regexp_matches({_CONTEXT}, '#|title|heading') THEN 0.05 ELSE 0 END)) AS confidence
+  FROM (SELECT a.*, r.text AS region_text FROM acronyms a JOIN regions r USING (region_id)) a
+)"""
+
+
+@query(f"WITH {_SURE}, o AS (SELECT lower(text) AS norm, min_by(text, doc_id * 100000000 + ord) AS any_name FROM acronyms GROUP BY lower(text)) SELECT norm, count(*) AS mention_count, list_sort(list(DISTINCT region_id)) AS regions, list_sort(list(DISTINCT doc_id)) AS docs, any_name, round(avg(confidence), 6) AS confidence FROM surely JOIN o USING (norm) GROUP BY norm, any_name")
 def entity_merge(spark, sf_dir):
-    m = mentions.extract_mentions(lines(spark, sf_dir), ("acronym",))
-    return entities.merge_entities(m).select("norm", "mention_count", "regions", F.col("name").alias("any_name"))
+    m = materialise(mentions.extract_mentions(lines(spark, sf_dir), ("acronym",)), "acronyms")
+    return entities.merge_entities(m).join(entities.entity_details(m), "norm").select("norm", "mention_count", "regions", F.transform("pages", lambda p: p["doc_id"]).alias("docs"), F.col("name").alias("any_name"), r6("confidence"))
 
 
-@query(f"WITH {_ACRONYMS}, b AS (SELECT DISTINCT lower(text) AS n, region_id FROM acronyms) SELECT x.n AS a, y.n AS b, count(*) AS shared, round(least(count(*) * 0.2, 1.0), 6) AS weight FROM b x JOIN b y ON x.region_id = y.region_id AND x.n < y.n GROUP BY ALL")
-def rel_cooccurs(spark, sf_dir):
-    e = entities.merge_entities(mentions.extract_mentions(lines(spark, sf_dir), ("acronym",)))
-    rel = entities.cooccurrences(entities.entity_regions(e))
+def _acronym_layer(spark, sf_dir):
+    """Regions, mentions, entities and the bridge of acronyms in the documents' lines, and names by entity."""
+    r = materialise(lines(spark, sf_dir), "regions")
+    m = materialise(mentions.extract_mentions(r, ("acronym",)), "acronyms")
+    e = materialise(entities.merge_entities(m), "entities")
+    return r, m, e, materialise(entities.entity_regions(e, m), "bridge")
+
+
+def _named(rel: DataFrame, e: DataFrame, *more) -> DataFrame:
+    """Relations with names for ids."""
     names = e.select("entity_id", "norm")
     out = rel.join(names.select(F.col("entity_id").alias("source"), F.col("norm").alias("s")), "source").join(names.select(F.col("entity_id").alias("target"), F.col("norm").alias("t")), "target")
-    return out.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), F.size("regions").cast("long").alias("shared"), r6("weight"))
+    return out.select("s", "t", *more)
+
+
+@query(f"WITH {_ACRONYMS}, b AS (SELECT DISTINCT lower(text) AS n, region_id FROM acronyms) SELECT x.n AS a, y.n AS b, count(*) AS shared, round(least(count(*) * 0.2, 1.0), 6) AS weight FROM b x JOIN b y ON x.region_id = y.region_id AND x.n < y.n GROUP BY ALL")
+def rel_cooccurs(spark, sf_dir):
+    _, _, e, bridge = _acronym_layer(spark, sf_dir)
+    return _named(entities.cooccurrences(bridge), e, F.size("regions").cast("long").alias("shared"), r6("weight")).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), "shared", "weight")
 
 
 @query(f"WITH {_ACRONYMS}, b AS (SELECT DISTINCT lower(text) AS n, region_id FROM acronyms) SELECT region_id, list_sort(list(n)) AS names, count(*) AS n FROM b GROUP BY region_id HAVING count(*) >= 2")
 def region_entity_lists(spark, sf_dir):
-    m = mentions.extract_mentions(lines(spark, sf_dir), ("acronym",))
-    e = entities.merge_entities(m)
-    bridge = entities.entity_regions(e).join(e.select("entity_id", "norm"), "entity_id")
-    return bridge.groupBy("region_id").agg(F.array_sort(F.collect_list("norm")).alias("names"), F.count("*").alias("n")).where("n >= 2")
+    _, _, e, bridge = _acronym_layer(spark, sf_dir)
+    listed = entities.region_entities(bridge, 2).select("region_id", "n", F.explode("entities").alias("entity_id")).join(e.select("entity_id", "norm"), "entity_id")
+    return listed.groupBy("region_id", "n").agg(F.array_sort(F.collect_list("norm")).alias("names"))
 
 
-def _typed(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.lower(F.element_at(F.split("p_type", " "), 1)).alias("label"), F.col("p_name").alias("text"))
+_RELATED = "CASE event_type WHEN 'click' THEN 'cites' WHEN 'view' THEN 'Works For' WHEN 'purchase' THEN 'compares to' WHEN 'signup' THEN 'acquired' WHEN 'login' THEN 'authored' ELSE 'foo ' || event_type END"
 
 
-@query("SELECT e.event_id, CASE e.event_type WHEN 'cites' THEN 'REFERENCES' ELSE upper(replace(lower(e.event_type), ' ', '_')) END AS relation FROM events e")
+@query(f"SELECT event_id, CASE replace(lower({_RELATED}), ' ', '_') WHEN 'cites' THEN 'REFERENCES' WHEN 'compares_to' THEN 'COMPARED_TO' WHEN 'authored' THEN 'AUTHORED_BY' WHEN 'acquired' THEN 'ACQUIRED_BY' ELSE upper(replace({_RELATED}, ' ', '_')) END AS relation FROM events")
 def relation_names(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", Y.map_relation(F.col("event_type")).alias("relation"))
+    return table(spark, sf_dir, "events").select("event_id", Y.map_relation(F.expr(_RELATED)).alias("relation"))
 
 
-_LABELS = "CASE lower(trim(kind)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.LABEL_TYPES.items()) + " END"
+_LABEL = "CASE event_id % 5 WHEN 0 THEN 'Technology' WHEN 1 THEN 'research' WHEN 2 THEN 'zzz' WHEN 3 THEN 'price tag' ELSE 'zzz loc' END"
+_TEXT = "CASE CAST(floor(event_id / 5) AS BIGINT) % 10 WHEN 0 THEN '2023' WHEN 1 THEN '12.5%' WHEN 2 THEN '7 percent' WHEN 3 THEN '$1,200' WHEN 4 THEN '3-4' WHEN 5 THEN 'v1.2' WHEN 6 THEN 'Keras' WHEN 7 THEN 'Some Name' WHEN 8 THEN 'NASA' ELSE 'something else' END"
 
 
 @query(
-    f"""WITH {_ACRONYMS}, m AS (SELECT region_id, text, 'technology' AS kind FROM acronyms UNION ALL SELECT region_id, text, 'acronym' FROM acronyms)
-SELECT region_id, text, kind, coalesce({_LABELS}, CASE WHEN lower(text) IN ('aws', 'gcp') THEN 'PRODUCT' WHEN lower(text) = 'ai' THEN 'CONCEPT' WHEN lower(text) = 'meta' THEN 'ORGANIZATION' WHEN lower(text) = 'java' THEN 'PRODUCT' ELSE 'ORGANIZATION' END) AS entity_type FROM m"""
+    f"""WITH m AS (SELECT event_id, {_LABEL} AS label, {_TEXT} AS text FROM events)
+SELECT event_id, label, text, CASE label WHEN 'Technology' THEN 'PRODUCT' WHEN 'research' THEN 'CONCEPT' ELSE
+  CASE text WHEN '2023' THEN 'DATE_TIME' WHEN '12.5%' THEN 'PERCENTAGE' WHEN '7 percent' THEN 'PERCENTAGE' WHEN '$1,200' THEN 'MONEY' WHEN '3-4' THEN 'METRIC' WHEN 'v1.2' THEN 'PRODUCT' WHEN 'Keras' THEN 'PRODUCT' ELSE
+    CASE label WHEN 'price tag' THEN 'MONEY' WHEN 'zzz loc' THEN 'LOCATION' ELSE CASE text WHEN 'Some Name' THEN 'PERSON' WHEN 'NASA' THEN 'ORGANIZATION' ELSE 'CONCEPT' END END END END AS entity_type FROM m"""
 )
 def entity_type_map(spark, sf_dir):
-    m = mentions.extract_mentions(lines(spark, sf_dir), ("acronym",)).select("region_id", "text", "context")
-    m = m.select("*", F.explode(F.array(F.lit("technology"), F.lit("acronym"))).alias("kind"))
-    return m.select("region_id", "text", "kind", Y.map_entity_type(F.col("kind"), F.col("text"), F.col("context")).alias("entity_type"))
+    m = table(spark, sf_dir, "events").select("event_id", F.expr(_LABEL).alias("label"), F.expr(_TEXT).alias("text"))
+    return m.select("event_id", "label", "text", Y.map_entity_type(F.col("label"), F.col("text"), F.lit("around it")).alias("entity_type"))
 
 
 # --- graph ----------------------------------------------------------------------------------------
@@ -444,17 +488,17 @@ def tfidf_search(spark, sf_dir):
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
-@query(f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score FROM r WHERE rank <= 10")
+@query(f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score FROM r WHERE rank <= 10")
 def knn_cosine(spark, sf_dir):
-    """Every fiftieth vector asks; all others answer."""
+    """Every twentieth vector asks; all others answer."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return search.nearest_vectors(e.where("id % 50 = 0").withColumnRenamed("id", "query_id"), e, 10).select("query_id", "id", r6("score"))
+    return search.nearest_vectors(e.where("id % 20 = 0").withColumnRenamed("id", "query_id"), e, 10).select("query_id", "id", r6("score"))
 
 
-@query(f"SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id WHERE {_COS} >= 0.3")
+@query(f"SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id WHERE {_COS} >= 0.3")
 def knn_threshold(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return search.nearest_vectors(e.where("id % 50 = 0").withColumnRenamed("id", "query_id"), e, None, 0.3).select("query_id", "id", r6("score"))
+    return search.nearest_vectors(e.where("id % 20 = 0").withColumnRenamed("id", "query_id"), e, None, 0.3).select("query_id", "id", r6("score"))
 
 
 @query(
@@ -473,9 +517,8 @@ def compress_quantize(spark, sf_dir):
 
 @query("SELECT label, list_transform(range(1, 65), lambda i: round(avg_i[i], 5)) AS v FROM (SELECT label, list(m ORDER BY i) AS avg_i FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS i FROM embeddings) GROUP BY label, i) GROUP BY label)")
 def mean_pooling(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    means = e.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: F.round(p["m"], 5)).alias("v"))
+    e = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.collect_list("embedding").alias("vectors"))
+    return e.select("label", F.transform(regions.mean_vector(F.col("vectors")), lambda x: F.round(x, 5)).alias("v"))
 
 
 @query("WITH n AS (SELECT sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n, len(embedding) AS s, len(list_filter(embedding, lambda x: abs(x) < 1e-6)) AS z FROM embeddings) SELECT count(*) AS count, max(s)::INTEGER AS size, round(avg(n), 6) AS mean_norm, round(stddev_pop(n), 6) AS std_norm, round(sum(z) / sum(s), 6) AS sparsity, round(sum(s) * 4 / 1024, 6) AS kilobytes FROM n")
@@ -485,39 +528,50 @@ def embedding_stats(spark, sf_dir):
 
 
 @query(
-    """WITH v AS (SELECT vec_id % 20 AS q, vec_id AS id, label / 10.0 AS s FROM embeddings WHERE vec_id % 3 <> 0), t AS (SELECT vec_id % 20 AS q, vec_id AS id, embedding[1]::DOUBLE AS s FROM embeddings WHERE vec_id % 2 = 0)
-SELECT coalesce(v.q, t.q) AS query_id, coalesce(v.id, t.id) AS region_id, round(coalesce(v.s, 0) * 0.6 + coalesce(t.s, 0) * 0.4, 6) AS score, CASE WHEN v.q IS NOT NULL AND t.q IS NOT NULL THEN 'both' WHEN v.q IS NOT NULL THEN 'visual' ELSE 'text' END AS origin FROM v FULL JOIN t ON v.q = t.q AND v.id = t.id"""
+    """WITH v AS (SELECT label AS q, vec_id AS id, round(list_sum(embedding::DOUBLE[]), 6) AS s FROM embeddings WHERE embedding[1] > 0), t AS (SELECT label AS q, vec_id AS id, embedding[2]::DOUBLE AS s FROM embeddings WHERE embedding[2] > 0)
+SELECT coalesce(v.q, t.q)::BIGINT AS query_id, coalesce(v.id, t.id) AS region_id, round(coalesce(v.s, 0) * 0.6 + coalesce(t.s, 0) * 0.4, 5) AS score, CASE WHEN v.q IS NOT NULL AND t.q IS NOT NULL THEN 'both' WHEN v.q IS NOT NULL THEN 'visual' ELSE 'text' END AS origin FROM v FULL JOIN t ON v.q = t.q AND v.id = t.id"""
 )
 def visual_text_fusion(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    v = e.where("vec_id % 3 != 0").select((F.col("vec_id") % 20).alias("query_id"), F.col("vec_id").alias("region_id"), (F.col("label") / 10.0).alias("score"))
-    t = e.where("vec_id % 2 = 0").select((F.col("vec_id") % 20).alias("query_id"), F.col("vec_id").alias("region_id"), F.col("embedding")[0].cast("double").alias("score"))
-    return search.fuse_candidates(v, t).select("query_id", "region_id", r6("score"), "origin")
+    """Two lists by the rows' own components: each row with a positive first or second one is in the list of that."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("query_id"), F.col("vec_id").alias("region_id"), "embedding")
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    v = e.where("embedding[0] > 0").select("query_id", "region_id", F.round(total, 6).alias("score"))
+    t = e.where("embedding[1] > 0").select("query_id", "region_id", F.col("embedding")[1].cast("double").alias("score"))
+    return search.fuse_candidates(v, t).select("query_id", "region_id", F.round("score", 5).alias("score"), "origin")
 
 
 # --- budgets --------------------------------------------------------------------------------------
 
-_TOK = "t AS (SELECT lang, doc_id, n_chars // 4 AS tokens FROM documents)"
+_TOK = "t AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS tokens, l_partkey FROM lineitem)"
 
 
 def _sized(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("lang", "doc_id", F.floor(F.col("n_chars") / 4).alias("tokens"))
+    """Short ranked lists, as of questions: the lines of an order, with their quantity for tokens."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("tokens"), "l_partkey")
+
+
+_RANKED = "PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, tokens"
 
 
-@query(f"WITH {_TOK}, u AS (SELECT *, sum(tokens) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM t) SELECT lang, doc_id, tokens, CAST(used AS BIGINT) AS used FROM u WHERE used <= 50000")
+@query(f"WITH {_TOK}, u AS (SELECT *, sum(tokens) OVER ({_RANKED} ROWS UNBOUNDED PRECEDING) AS used FROM t) SELECT l_orderkey, l_linenumber, l_partkey, tokens, CAST(used AS BIGINT) AS used FROM u WHERE used <= 80")
 def budget_prefix(spark, sf_dir):
-    return budget.before_overflow(_sized(spark, sf_dir), 50000, ("lang",), ("doc_id",))
+    return budget.before_overflow(_sized(spark, sf_dir), 80, ("l_orderkey",), ("l_linenumber", "l_partkey", "tokens"))
 
 
-@query(f"WITH {_TOK}, u AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t) SELECT lang, doc_id, tokens, CAST(before AS BIGINT) AS before FROM u WHERE before < 50000")
+@query(f"WITH {_TOK}, u AS (SELECT *, coalesce(sum(tokens) OVER ({_RANKED} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t) SELECT l_orderkey, l_linenumber, l_partkey, tokens, CAST(before AS BIGINT) AS before FROM u WHERE before < 80")
 def budget_after(spark, sf_dir):
-    return budget.until_reached(_sized(spark, sf_dir), 50000, ("lang",), ("doc_id",))
+    return budget.until_reached(_sized(spark, sf_dir), 80, ("l_orderkey",), ("l_linenumber", "l_partkey", "tokens"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_TOK}, o AS (SELECT *, row_number() OVER ({_RANKED}) AS r FROM t),
+f AS (SELECT l_orderkey, r, l_partkey, CASE WHEN tokens <= 80 THEN tokens ELSE 0 END AS used, tokens <= 80 AS taken FROM o WHERE r = 1
+  UNION ALL SELECT o.l_orderkey, o.r, o.l_partkey, f.used + CASE WHEN f.used + o.tokens <= 80 THEN o.tokens ELSE 0 END, f.used + o.tokens <= 80 FROM f JOIN o ON o.l_orderkey = f.l_orderkey AND o.r = f.r + 1)
+SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY r) - 1 AS INTEGER) AS place, l_partkey FROM f WHERE taken"""
+)
 def budget_greedy(spark, sf_dir):
-    """Skips what overflows and goes on; a fold, tested against a loop."""
-    return budget.skipping(_sized(spark, sf_dir), 50000, ("lang",), ("doc_id",), row="doc_id")
+    """Skips what overflows and goes on."""
+    return budget.skipping(_sized(spark, sf_dir), 80, ("l_orderkey",), ("l_linenumber", "l_partkey"), row="l_partkey")
 
 
 # --- text functions -------------------------------------------------------------------------------
@@ -544,10 +598,8 @@ def ocr_clean(spark, sf_dir):
 
 
 _PREPARED = "text"
-for _pattern, _by in T._PREPARE:
-    _sql_pattern = _pattern.replace("'", "''")
-    _sql_by = _by.replace("$1", "\\1").replace("$2", "\\2")
-    _PREPARED = f"regexp_replace({_PREPARED}, '{_sql_pattern}', '{_sql_by}', 'g')"
+for _pattern, _by in ((r"\s+([.,;:!?)])", r"\1"), (r"([({])\s+", r"\1"), (r"\s{2,}", " "), (r"([0-9]+)\.(\S)", r"\1. \2"), (r"([•*])(\S)", r"\1 \2"), ("–+", "-"), ("—+", "-")):
+    _PREPARED = f"regexp_replace({_PREPARED}, '{_pattern}', '{_by}', 'g')"
 
 
 @query(f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split({_PREPARED}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10)) AS prepared FROM documents")
@@ -571,25 +623,47 @@ def readability(spark, sf_dir):
     return r.select("doc_id", F.col("words").cast("long").alias("words"), F.col("syllables").cast("long").alias("syllables"), F.round("flesch", 5).alias("flesch"))
 
 
-def _case(rules, column: str, default: str, bound: bool = False) -> str:
-    mark = lambda p: f"\\b({p})\\b" if bound else p
-    return "CASE " + " ".join(f"WHEN regexp_matches(lower({column}), '{mark(p)}') THEN '{n}'" for n, p in rules) + f" ELSE '{default}' END"
-
-
-@query(f"WITH {_ASK} SELECT query_id, CAST({_case(L.LEVEL_WORDS, 'question', '1', True)} AS INTEGER) AS level, {_case(L.QUERY_TYPES, 'question', 'general')} AS kind, {_case(L.QUERY_INTENTS, 'question', 'search')} AS intent FROM q")
+@query(
+    f"""WITH {_ASK}, c AS (SELECT *, lower(question) AS low, {_words("question")} AS w FROM q) SELECT query_id,
+CASE WHEN regexp_matches(low, '\\b(figure|chart|diagram|table|visualization|plot|image|screenshot|graph|picture|layout|illustration)\\b') THEN 4
+  WHEN regexp_matches(low, '\\b(compare|contrast|differences?|versus|summarize|synthesize|across|multiple|all sections|all the experiments|between these methods)\\b') THEN 3
+  WHEN regexp_matches(low, '\\b(why|how|explain|analyze|causes?|correlation|relationship|impact|reasoning|interact)\\b') THEN 2 ELSE 1 END AS level,
+CASE WHEN regexp_matches(low, 'show|figure|chart|graph|image') THEN 'visual' WHEN regexp_matches(low, 'table|row|column|cell') THEN 'table' WHEN regexp_matches(low, 'layout|structure|format|design') THEN 'layout' WHEN regexp_matches(low, 'formula|equation|math|symbol') THEN 'mathematical' ELSE 'general' END AS kind,
+CASE WHEN regexp_matches(low, 'what|define|explain|describe') THEN 'definition' WHEN regexp_matches(low, 'how|way|method|process') THEN 'process' WHEN regexp_matches(low, 'find|locate|where|position') THEN 'location' WHEN regexp_matches(low, 'compare|difference|versus|vs') THEN 'comparison' ELSE 'search' END AS intent,
+round(CASE WHEN len(w) = 0 THEN 0 ELSE (least(1.0, len(w) / 20) + least(1.0, len(list_distinct(list_transform(w, lambda x: lower(x)))) / len(w)) + least(1.0, list_sum(list_transform(w, lambda x: length(x))) / len(w) / 10)) / 3 END, 6) AS complexity FROM c"""
+)
 def query_classify(spark, sf_dir):
     q = F.col("question")
-    return _questions(spark, sf_dir).select("query_id", Y.query_level(q).alias("level"), Y.query_type(q).alias("kind"), Y.query_intent(q).alias("intent"))
+    return _questions(spark, sf_dir).select("query_id", Y.query_level(q).alias("level"), Y.query_type(q).alias("kind"), Y.query_intent(q).alias("intent"), F.round(Y.query_complexity(q), 6).alias("complexity"))
+
+
+# Keywords of each kind of document and patterns, as they are defined.
+_KINDS = {
+    "academic": ("abstract introduction methodology results discussion conclusion references bibliography doi arxiv journal conference paper research study experiment hypothesis theorem proof algorithm dataset benchmark evaluation performance accuracy precision recall f1-score", [r"\b(?:Fig\.|Figure)\s+\d+", r"\b(?:Tab\.|Table)\s+\d+", r"\b(?:Eq\.|Equation)\s*\(\d+\)", r"\b\d{4}\.\s*[A-Za-z]+", r"\barxiv:\d+\.\d+", r"\bdoi:\s*10\.\d+/\S+"]),
+    "business": ("revenue profit loss market sales customer client company corporation ceo cfo cto executive quarter annual report earnings stock share investment funding merger acquisition partnership budget cost expense strategy growth performance", [r"\$\d+(?:,\d{3})*(?:\.\d{2})?\s*(?:million|billion|trillion)", r"\b\d+(?:\.\d+)?%\s*(?:growth|increase|decrease)", r"\bQ[1-4]\s+20\d{2}", r"\bFY\s+20\d{2}"]),
+    "technical": ("api sdk framework library module function class method algorithm data_structure database server client frontend backend architecture deployment configuration installation version bug error issue fix patch update release code programming development testing debugging", [r"\b[A-Z][a-z]*[A-Z][a-z]*\b", r"\b\w+(?:\.\w+)+\b", r"function\s+\w+\s*\(", r"class\s+\w+\s*:", r"def\s+\w+\s*\(", r"<[^>]+>", r"www\.\S+\.\S+", r"https?://\S+"]),
+    "legal": ("court judge lawyer attorney plaintiff defendant case lawsuit verdict ruling judgment decision contract agreement clause regulation statute legal evidence testimony witness objection sustained overruled appealed filed motion", [r"\b\d+:\d+\s*(?:AM|PM|am|pm)", r"\bCourt\s+of\s+\w+", r"\bNo\.\s+\d+-\d+", r"\b§\s*\d+", r"\b\d+\s+U\.S\.C\."]),
+    "medical": ("patient doctor physician nurse hospital clinic diagnosis treatment therapy medication drug medicine symptom disease condition procedure surgery test lab result blood pressure temperature dose prescription medical health clinical", [r"\b\d+\s*mg\b", r"\b\d+\s*ml\b", r"\b\d+/\d+/\d{4}", r"\bBP:\s*\d+/\d+", r"\bHR:\s*\d+", r"\bTemp:\s*\d+\.?\d*°(?:C|F)"]),
+    "news": ("reported announced said according_to sources journalist reporter editor breaking update story article headline press media interview commentary opinion statement confirmed denied", [r"\b[A-Z][a-z]+,\s+[A-Z][a-z]+\s+\-\-", r"\b\d+\s+(?:years?|months?|weeks?|days?)\s+ago", r"\b[A-Z][a-z]+\s+\(AP\)", r"\b\d+:\d+\s*[APM|ampm]"]),
+}
+
 
+def _bordered(pattern: str) -> str:
+    """The pattern with words of all scripts, for an engine whose own words are ASCII."""
+    letter = r"[\p{L}\p{N}_]"
+    pattern = re.sub(r"^\\b(?=§)", lambda _: letter, pattern)
+    pattern = re.sub(r"^\\b", lambda _: r"(?:^|[^\p{L}\p{N}_])", pattern)
+    return re.sub(r"\\b$", lambda _: r"(?:[^\p{L}\p{N}_]|$)", pattern).replace(r"\w", letter)
 
-def _score_sql(keywords: str, patterns: tuple[str, ...]) -> str:
-    hits = [f"contains(lower(text), '{k}')::INT" for k in keywords.split("|")] + [f"2 * regexp_matches(text, '{p}')::INT" for p in patterns]
+
+def _score_sql(keywords: str, patterns: list[str]) -> str:
+    hits = [f"contains(lower(text), '{k.replace('_', ' ')}')::INT" for k in keywords.split()] + [f"2 * regexp_matches(text, '{_bordered(p)}')::INT" for p in patterns]
     return " + ".join(hits)
 
 
 @query(
-    "WITH s AS (SELECT doc_id, " + ", ".join(f"{_score_sql(*spec)} AS {name}" for name, spec in L.DOCUMENT_TYPES.items()) + " FROM documents), g AS (SELECT *, greatest(" + ", ".join(L.DOCUMENT_TYPES) + ") AS g, " + " + ".join(L.DOCUMENT_TYPES) + " AS total FROM s) SELECT doc_id, CASE WHEN g = 0 THEN 'general' "
-    + " ".join(f"WHEN {n} = g THEN '{n}'" for n in L.DOCUMENT_TYPES) + " END AS name, round(CASE WHEN g = 0 THEN 0.5 ELSE g / total END, 6) AS confidence FROM g"
+    "WITH s AS (SELECT doc_id, " + ", ".join(f"{_score_sql(*spec)} AS {name}" for name, spec in _KINDS.items()) + " FROM documents), g AS (SELECT *, greatest(" + ", ".join(_KINDS) + ") AS g, " + " + ".join(_KINDS) + " AS total FROM s) SELECT doc_id, CASE WHEN g = 0 THEN 'general' "
+    + " ".join(f"WHEN {n} = g THEN '{n}'" for n in _KINDS) + " END AS name, round(CASE WHEN g = 0 THEN 0.5 ELSE g / total END, 6) AS confidence FROM g"
 )
 def doc_type_classify(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", Y.document_type(F.col("text")).alias("d"))
@@ -599,29 +673,42 @@ def doc_type_classify(spark, sf_dir):
 # --- figures --------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_LINES} SELECT doc_id, 1::BIGINT AS pages, count(*) AS regions, CAST(sum(len({_words('text')}) // 3) AS BIGINT) AS tokens FROM regions GROUP BY doc_id")
+@query(f"WITH {_LINES} SELECT doc_id, 1::BIGINT AS pages, count(*) AS regions, CAST(sum(len({_words('text')}) // 3) AS BIGINT) AS tokens, round(CASE WHEN sum(len({_words('text')}) // 3) > 0 THEN 2500 / sum(len({_words('text')}) // 3) ELSE 0 END, 6) AS ratio, CAST(2500 - sum(len({_words('text')}) // 3) AS BIGINT) AS saved FROM regions GROUP BY doc_id")
 def indexing_stats(spark, sf_dir):
-    return statistics.indexing_statistics(lines(spark, sf_dir)).select("doc_id", "pages", "regions", "tokens")
+    return statistics.indexing_statistics(lines(spark, sf_dir)).select("doc_id", "pages", "regions", "tokens", r6("ratio"), "saved")
 
 
 @query(
     f"""WITH {_HTML} SELECT doc_id, count(*) AS regions, count(*) FILTER (y1 < 0.2) AS header_zone, count(*) FILTER (y1 >= 0.2 AND y2 > 0.8) AS footer_zone, count(*) FILTER (y1 >= 0.2 AND y2 <= 0.8) AS body_zone,
-CASE WHEN count(*) FILTER (block_type = 'header') > 0 AND count(*) FILTER (block_type = 'paragraph') > 0 THEN 'standard_article' ELSE 'simple_text' END AS pattern, round((least(1.0, count(*) / 20) + least(1.0, count(DISTINCT block_type) / 7)) / 2, 6) AS complexity FROM html_regions GROUP BY doc_id"""
+CASE WHEN count(*) FILTER (block_type = 'header') > 0 AND count(*) FILTER (block_type = 'paragraph') > 0 THEN 'standard_article' ELSE 'simple_text' END AS pattern, round((least(1.0, count(*) / 20) + least(1.0, count(DISTINCT block_type) / 7)) / 2, 6) AS complexity,
+round(CASE WHEN sum(x2 - x1) > 0 THEN 1 - abs(coalesce(sum(x2 - x1) FILTER ((x1 + x2) / 2 < 0.5), 0) - coalesce(sum(x2 - x1) FILTER ((x1 + x2) / 2 >= 0.5), 0)) / sum(x2 - x1) ELSE 1 END, 6) AS balance, count(*) FILTER (block_type IN ('table', 'figure', 'formula', 'chart')) AS visual, round(sum(length(text)) / greatest(1.0, sum((x2 - x1) * (y2 - y1))), 4) AS density FROM html_regions GROUP BY doc_id"""
 )
 def page_layout_stats(spark, sf_dir):
-    return regions.page_structure(html(spark, sf_dir)).select("doc_id", "regions", "header_zone", "footer_zone", "body_zone", "pattern", r6("complexity"))
+    return regions.page_structure(html(spark, sf_dir)).select("doc_id", "regions", "header_zone", "footer_zone", "body_zone", "pattern", r6("complexity"), r6("balance"), "visual", F.round("density", 4).alias("density"))
+
+
+def _flow_sql(source: str) -> str:
+    order = "PARTITION BY doc_id ORDER BY y1, x1, ord"
+    return f"l AS (SELECT *, lag(block_type) OVER ({order}) AS b, lag(x1) OVER ({order}) AS left_before, row_number() OVER ({order}) - 1 AS position FROM {source}) SELECT doc_id, region_id, position, CASE WHEN b IS NULL THEN 'sequential' WHEN b <> block_type THEN 'transition' WHEN x1 < left_before - 0.05 THEN 'column_change' ELSE 'sequential' END AS flow FROM l"
 
 
-@query(f"WITH {_HTML}, l AS (SELECT *, lag(block_type) OVER (PARTITION BY doc_id ORDER BY y1, x1, ord) AS b, row_number() OVER (PARTITION BY doc_id ORDER BY y1, x1, ord) - 1 AS position FROM html_regions) SELECT doc_id, region_id, position, CASE WHEN b IS NULL THEN 'sequential' WHEN b <> block_type THEN 'transition' ELSE 'sequential' END AS flow FROM l")
+@query(f"WITH {_HTML}, {_flow_sql('html_regions')}")
 def content_flow(spark, sf_dir):
     return regions.content_flow(html(spark, sf_dir)).select("doc_id", "region_id", F.col("position").cast("long").alias("position"), "flow")
 
 
-@query(f"WITH {_ACRONYMS} SELECT doc_id, lower(text) AS norm, count(*) AS mention_count, list_sort(list(DISTINCT region_id)) AS regions FROM (SELECT doc_id, text, region_id FROM acronyms) GROUP BY doc_id, lower(text)")
+@query(f"WITH {_GRID}, kinds AS (SELECT * REPLACE (CASE WHEN ord % 25 < 12 THEN 'paragraph' ELSE block_type END AS block_type) FROM grid), {_flow_sql('kinds')}")
+def content_flow_columns(spark, sf_dir):
+    """Pages of several columns, where a row that begins anew changes the column."""
+    g = _grid(spark, sf_dir).withColumn("block_type", F.when(F.col("ord") % 25 < 12, "paragraph").otherwise(F.col("block_type")))
+    return regions.content_flow(g).select("doc_id", "region_id", F.col("position").cast("long").alias("position"), "flow")
+
+
+@query(f"WITH {_SURE}, o AS (SELECT s.*, a.ord, row_number() OVER (PARTITION BY s.doc_id, norm ORDER BY s.confidence DESC, a.ord, a.text DESC) AS r FROM surely s JOIN acronyms a ON s.region_id = a.region_id AND s.text = a.text) SELECT doc_id, norm, count(*) AS mention_count, list_sort(list(DISTINCT region_id)) AS regions, max(region_id) FILTER (r = 1) AS best, round(max(confidence), 6) AS confidence FROM o GROUP BY doc_id, norm")
 def coreference(spark, sf_dir):
     m = mentions.extract_mentions(lines(spark, sf_dir), ("acronym",))
     c = mentions.coreferences(m)
-    return c.select("doc_id", "norm", "mention_count", F.array_sort(F.array_union(F.array("region_id"), F.col("others"))).alias("regions"))
+    return c.select("doc_id", "norm", "mention_count", F.array_sort(F.array_union(F.array("region_id"), F.col("others"))).alias("regions"), F.col("region_id").alias("best"), r6("confidence"))
 
 
 @query("SELECT event_type AS strategy, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM events), 6) AS percent FROM events GROUP BY event_type")

@@ -15,8 +15,8 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (a local session, as in
-    tests) a temporary folder is made and kept for the session.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset in a local session, as in
+    tests, a temporary folder is made and kept for the session.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
         current = context.getCheckpointDir()
     return current.rstrip("/")

@@ -39,10 +39,12 @@ def test_caption_and_hierarchy(spark):
 def test_merge_and_relations(spark):
     kind = "doc_id long, page_num int, region_id string, block_type string, bbox " + BOX + ", text string, norm string, label string, start int, ord long, context string, entity_type string, confidence double"
     rows = [(1, p, r, "paragraph", None, n.upper(), n, "x", 0, i, n, "CONCEPT", c) for i, (n, r, p, c) in enumerate([("a", "r1", 2, 0.9), ("a", "r2", 1, 0.6), ("a", "r3", 2, 0.9), ("b", "r1", 2, 1.0), ("b", "r2", 1, 1.0), ("b", "r3", 2, 1.0)])]
-    e = entities.merge_entities(spark.createDataFrame(rows, kind))
-    a = e.where("norm = 'a'").first()
-    assert a["mention_count"] == 3 and a["confidence"] == pytest.approx(0.8) and [p["page_num"] for p in a["pages"]] == [1, 2]
-    assert entities.cooccurrences(entities.entity_regions(e)).first()["weight"] == pytest.approx(0.6)
+    found = spark.createDataFrame(rows, kind)
+    e = entities.merge_entities(found)
+    a = e.join(entities.entity_details(found), "norm").where("norm = 'a'").first()
+    assert a["mention_count"] == 3 and a["confidence"] == pytest.approx(0.8) and [p["page_num"] for p in a["pages"]] == [1, 2] and a["regions"] == ["r1", "r2", "r3"]
+    assert entities.cooccurrences(entities.entity_regions(e, found)).first()["weight"] == pytest.approx(0.6)
+    assert entities.entity_pages(e, found).where("block_types[0] = 'paragraph'").count() == 4
 
 
 def test_relation_dedup(spark):
