@@ -72,7 +72,6 @@ class Encoder:
         self.model = self.tokenizer.model
         self.packed = [i.to_bytes(4, "little") for i in range(self.vocabulary_size())]
         self.memo = Memo(entries)
-        self.plain = Memo(entries // 2)
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -97,28 +96,30 @@ class Encoder:
         """A pre-token of Latin letters: only the merges are left to do."""
         if self.lower:
             word = word.lower()
-        ids = self.plain.get(word)
-        if ids is None:
-            if not word.isascii():
-                seen = word.translate(self.letters)
-            else:
-                seen = "\u0120" + word[1:] if word[0] == " " else word
-            packed = self.packed
-            ids = b"".join([packed[t.id] for t in self.model.tokenize(seen)])
-            self.plain.put(word, ids)
-        return ids
+        if not word.isascii():
+            seen = word.translate(self.letters)
+        else:
+            seen = "\u0120" + word[1:] if word[0] == " " else word
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(seen)])
+
+    def _merged(self, chunk: str) -> bytes:
+        """The ids of a chunk that is not in the memo. A word before marks is looked up, and remembered, by itself."""
+        if len(chunk) > MEMO_CHARS or not (m := _PLAIN.fullmatch(chunk)):
+            return self._library(chunk)
+        word, marks = m.groups()
+        return self.chunk(word) + self.chunk(marks) if marks else self._plain_word(word)
 
     def chunk(self, chunk: str) -> bytes:
-        """The ids of one chunk that is not in the memo yet."""
-        if (m := _PLAIN.fullmatch(chunk)) and len(chunk) <= MEMO_CHARS:
-            word, marks = m.groups()
-            ids = self._plain_word(word)
-            if marks:
-                ids += self.memo.get(marks) or self.chunk(marks)
-        else:
-            ids = self._library(chunk)
-        if len(chunk) <= MEMO_CHARS:
-            self.memo.put(chunk, ids)
+        """The ids of one chunk."""
+        memo = self.memo
+        ids = memo.young.get(chunk)
+        if ids is None:
+            ids = memo.old.get(chunk)
+            if ids is None:
+                ids = self._merged(chunk)
+            if len(chunk) <= MEMO_CHARS:
+                memo.put(chunk, ids)
         return ids
 
     def chunks(self, text: str) -> list[str] | None:
@@ -137,8 +138,7 @@ class Encoder:
         at = -1
         for _ in range(found.count(None)):
             at = found.index(None, at + 1)
-            ids = self.memo.get(parts[at])
-            found[at] = self.chunk(parts[at]) if ids is None else ids
+            found[at] = self.chunk(parts[at])
         return b"".join(found)
 
 
