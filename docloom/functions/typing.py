@@ -214,3 +214,10 @@ def layout_score(kind: Column, block: Column) -> Column:
         .when((kind == "layout") & (block == "header"), 0.7)
         .otherwise(0.3)
     )
+
+
+def visual_mode(question: Column, level: Column, has_vectors: Column, forced: bool = False) -> Column:
+    """Whether a question is answered by looks: forced, or vectors exist and its words or its level ask for them."""
+    if forced:
+        return F.lit(True)
+    return has_vectors & (F.lower(question).rlike(L.VISUAL_MODE_WORDS) | (level >= 3))

@@ -174,3 +174,13 @@ def related_by_endpoint(relations: DataFrame, wanted: DataFrame, top: int = 20)
 def first_in_group(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], n: int) -> DataFrame:
     """The first n rows of each group; Spark limits each partition's groups before the shuffle."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
+def find_entities(entities: DataFrame, entity_id: str | None = None, name: str | None = None, entity_type: str | None = None) -> DataFrame:
+    """Entities with an id, a name (without regard to case and outer spaces) or a type: filters that reach the scan."""
+    out = entities
+    if entity_id is not None:
+        out = out.where(F.col("entity_id") == entity_id)
+    if name is not None:
+        out = out.where(F.col("norm") == name.lower().strip())
+    return out if entity_type is None else out.where(F.col("entity_type") == entity_type)

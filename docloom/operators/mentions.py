@@ -255,3 +255,51 @@ def region_labels(block: Column) -> Column:
     every = F.array(*[F.lit(w) for words in L.SCHEMA_LABELS.values() for w in words])
     focused = F.flatten(F.transform(focus_types(block), lambda t: F.coalesce(F.element_at(labels, t), F.array(F.lower(t)))))
     return F.array_sort(F.array_distinct(F.coalesce(focused, every)))
+
+
+#: FIXED VALUES: types that often stand side by side, in either order.
+SIDE_BY_SIDE = (("PERSON", "ORGANIZATION"), ("METRIC", "ORGANIZATION"), ("DATE_TIME", "PERSON"), ("LOCATION", "ORGANIZATION"))
+
+
+def neighbour_mentions(mentions: DataFrame, neighbours: DataFrame, reach: float = 0.1) -> DataFrame:
+    """Mentions with those of neighbouring regions (source, target, distance) that go with them by type.
+
+    Equal types go together within ``reach``, the pairs of SIDE_BY_SIDE at any distance of a neighbour.
+    """
+    a = mentions.select(F.col("region_id").alias("source"), F.col("norm").alias("a"), F.col("entity_type").alias("type_a"))
+    b = mentions.select(F.col("region_id").alias("target"), F.col("norm").alias("b"), F.col("entity_type").alias("type_b"))
+    listed = reduce(lambda x, y: x | y, [(F.col("type_a") == p) & (F.col("type_b") == q) | (F.col("type_a") == q) & (F.col("type_b") == p) for p, q in SIDE_BY_SIDE])
+    pairs = neighbours.join(a, "source").join(b, "target").where(((F.col("type_a") == F.col("type_b")) & (F.col("distance") < reach)) | listed)
+    return pairs.select("source", "target", "a", "b", "distance")
+
+
+def supported_confidence(mentions: DataFrame, related: DataFrame) -> DataFrame:
+    """Mentions (region_id, norm, confidence) with 0.05 more for each related one, at most 0.2, where there are several."""
+    counted = related.groupBy(F.col("source").alias("region_id"), F.col("a").alias("norm")).agg(F.count("*").alias("n"))
+    more = F.when(F.col("n") > 1, F.least(F.lit(0.2), F.col("n") * 0.05)).otherwise(0.0)
+    return mentions.join(counted, ["region_id", "norm"], "left").withColumn("confidence", F.least(F.lit(1.0), F.col("confidence") + more)).drop("n")
+
+
+def caption_relations(mentions: DataFrame, regions: DataFrame, gap: float = 0.1) -> DataFrame:
+    """Mentions of figures with those of captions of the page that begin about where the figure ends: 0.9 of the smaller confidence."""
+    page = ["doc_id", "page_num"]
+    f = regions.where("block_type = 'figure'").select(*page, F.col("region_id").alias("figure"), F.col("bbox.y2").alias("y2"))
+    c = regions.where("block_type = 'caption'").select(*page, F.col("region_id").alias("caption"), F.col("bbox.y1").alias("y1"))
+    near = f.join(c, page).where(F.abs(F.col("y2") - F.col("y1")) < gap)
+    a = mentions.select(F.col("region_id").alias("figure"), F.col("norm").alias("a"), F.col("confidence").alias("conf_a"))
+    b = mentions.select(F.col("region_id").alias("caption"), F.col("norm").alias("b"), F.col("confidence").alias("conf_b"))
+    return near.join(a, "figure").join(b, "caption").select("figure", "caption", "a", "b", F.lit("caption").alias("rel_type"), (F.least("conf_a", "conf_b") * 0.9).alias("confidence"))
+
+
+#: Extraction backends by name: functions of a region table that return mentions as :func:`extract_mentions` does.
+BACKENDS = {"patterns": extract_mentions}
+
+
+def register_extractor(name: str, backend) -> None:
+    """Make a model's extraction available: ``backend(regions) -> mentions``, best as an iterator pandas UDF inside."""
+    BACKENDS[name] = backend
+
+
+def extracted(regions: DataFrame, backend: str = "patterns") -> DataFrame:
+    """Mentions by a registered backend; patterns where there is none of that name."""
+    return BACKENDS.get(backend, extract_mentions)(regions)

@@ -56,7 +56,7 @@ def search_entities(queries: DataFrame, entities: DataFrame, k: int = 10, types:
     parts = held.join(long_words, "word").select("query_id", "entity_id", F.lit(1).alias("way"), F.lit(0.4).alias("base")).distinct()
     best = whole.unionByName(shared).unionByName(parts).groupBy("query_id", "entity_id").agg(F.max(F.struct("way", "base"))["base"].alias("base"))
     weight = (1 + F.least(F.col("mention_count") * 0.1, F.lit(0.5))) * F.col("confidence")
-    scored = best.join(entities.select("entity_id", "name", "entity_type", "mention_count", "confidence", "ord"), "entity_id").withColumn("score", F.col("base") * weight).where("score > 0")
+    scored = best.join(entities.select("entity_id", "name", "entity_type", "mention_count", "confidence", "ord"), "entity_id").withColumn("score", F.round(F.col("base") * weight, 9)).where("score > 0")  # rounded, so that ties don't hang on the order of summation
     return ranked(scored, "score", k, "ord", "entity_id").select("query_id", "entity_id", "name", "entity_type", "mention_count", "confidence", "score", "rank")
 
 
@@ -203,3 +203,30 @@ def modality_scores(queries: DataFrame, regions: DataFrame) -> DataFrame:
 def question_box() -> Column:
     """The whole page, for questions that name no place."""
     return box(0, 0, 1, 1)
+
+
+def modality_union(scored: DataFrame, region: str = "region_id") -> DataFrame:
+    """The scores of :func:`modality_scores` that are over 0 as one list (query_id, region, modality, score); nothing is merged."""
+    kinds = ("text", "visual", "layout", "content")
+    listed = F.array(*[F.struct(F.lit(k).alias("modality"), F.col(f"{k}_score").cast("double").alias("score")) for k in kinds])
+    return scored.select("query_id", region, F.explode(listed).alias("m")).select("query_id", region, "m.*").where("score > 0")
+
+
+def multimodal_context(hits: DataFrame, most: int = 10, reach: int = 200) -> DataFrame:
+    """Per question one text of its best regions (query_id, rank, block_type, text, score)."""
+    line = F.format_string("[%s] %s (%.2f)", "block_type", F.substring("text", 1, reach), "score")
+    few = hits.where(F.col("rank") <= most)
+    return few.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("context"))
+
+
+def similar_regions(probe: DataFrame, regions: DataFrame, k: int = 10, least: float = 0.5, same_type: bool = False, measured: bool = False) -> DataFrame:
+    """Regions by their likeness to each probe (query_id and a region's columns), itself left out."""
+    from docloom.operators.spatial import region_similarity
+
+    fields = ["bbox", "block_type", "token_count", "text", "embedding"] + (["visual_complexity", "text_to_visual_ratio", "quality_metrics"] if measured else [])
+    asked = probe.select("query_id", F.col("region_id").alias("_own"), F.struct(*fields).alias("p"))
+    pairs = regions.select("region_id", F.struct(*fields).alias("r")).crossJoin(_asked(asked)).where(F.col("region_id") != F.col("_own"))
+    if same_type:
+        pairs = pairs.where(F.col("p.block_type") == F.col("r.block_type"))
+    scored = pairs.select("query_id", "region_id", region_similarity("p", "r", measured).alias("s")).withColumn("score", F.round("s.overall", 9)).where(F.col("score") >= least)
+    return ranked(scored, "score", k, "region_id")

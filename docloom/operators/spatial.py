@@ -125,17 +125,27 @@ def overlapping_pairs(left: DataFrame, right: DataFrame, cell: float = 0.1) -> D
     return met.select(*PAGE, "a", "b").distinct()
 
 
-def region_similarity(a: str, b: str) -> Column:
-    """struct(spatial, structural, content, quality, overall, confidence) of two region structs' columns."""
+def region_similarity(a: str, b: str, measured: bool = False) -> Column:
+    """struct(embedding, spatial, structural, content, quality, overall, ...) of two region structs' columns.
+
+    Regions whose looks were measured have visual_complexity, text_to_visual_ratio and quality_metrics (a
+    map); others count as 0.5, 1 and 0.5. A region without a vector has no likeness by vector.
+    """
     x, y = F.col(a), F.col(b)
     features = lambda r: F.array(r["bbox"]["x1"], r["bbox"]["y1"], r["bbox"]["x2"], r["bbox"]["y2"], G.width(r["bbox"]), G.height(r["bbox"]), G.area(r["bbox"]), G.center_x(r["bbox"]), G.center_y(r["bbox"]))
     close = F.zip_with(features(x), features(y), lambda p, q: F.when((F.abs(p) < 0.001) & (F.abs(q) < 0.001), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(p - q) / F.greatest(F.abs(p), F.abs(q)))))
     spatial = F.aggregate(close, F.lit(0.0), lambda s, v: s + v) / 9
-    numbers = lambda r: F.array(G.area(r["bbox"]), G.width(r["bbox"]) / F.greatest(F.lit(0.001), G.height(r["bbox"])), r["token_count"].cast("double"), F.lit(0.5), F.lit(1.0))
+    looks = lambda r: (F.coalesce(r["visual_complexity"], F.lit(0.5)), F.coalesce(r["text_to_visual_ratio"], F.lit(1.0))) if measured else (F.lit(0.5), F.lit(1.0))
+    numbers = lambda r: F.array(G.area(r["bbox"]), G.width(r["bbox"]) / F.greatest(F.lit(0.001), G.height(r["bbox"])), r["token_count"].cast("double"), *looks(r))
     like = F.zip_with(numbers(x), numbers(y), lambda p, q: 1 - F.abs(p - q) / F.greatest(F.abs(p), F.abs(q), F.lit(1.0)))
     structural = (F.aggregate(like, F.lit(0.0), lambda s, v: s + v) + (x["block_type"] == y["block_type"]).cast("double")) / 6
-    content, quality = word_jaccard(x["text"], y["text"]), F.lit(0.5)
-    vectors = cosine(x["embedding"], y["embedding"])
+    quality = F.lit(0.5)
+    if measured:
+        metric = lambda m: F.greatest(F.lit(0.0), 1 - F.abs(x["quality_metrics"][m] - y["quality_metrics"][m]) / F.greatest(x["quality_metrics"][m], y["quality_metrics"][m], F.lit(0.1)))
+        known = F.filter(F.array(*[F.when(x["quality_metrics"][m].isNotNull() & y["quality_metrics"][m].isNotNull(), metric(m)) for m in ("overall", "clarity", "contrast", "sharpness")]), lambda v: v.isNotNull())
+        quality = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, v: s + v) / F.size(known)).otherwise(0.5)
+    content = word_jaccard(x["text"], y["text"])
+    vectors = F.coalesce(cosine(x["embedding"], y["embedding"]), F.lit(0.0))
     parts = F.array(vectors, spatial, structural, content, quality)
     overall = vectors * 0.4 + spatial * 0.2 + structural * 0.2 + content * 0.15 + quality * 0.05
     names = F.array(*[F.lit(n) for n in ("embedding", "spatial", "structural", "content", "quality")])

@@ -60,3 +60,13 @@ def throughput(df: DataFrame, text: str = "text") -> dict[str, float]:
     row = df.agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("c")).first()
     took = max(1e-9, time.perf_counter() - began)
     return {"texts_per_second": row["n"] / took, "characters_per_second": (row["c"] or 0) / took, "seconds": took}
+
+
+def running_statistics(log: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Totals and mean seconds of a log of runs (regions, entities, seconds): partial sums, no order needed."""
+    return log.groupBy(*keys).agg(F.count("*").alias("documents"), F.sum("regions").alias("regions"), F.sum("entities").alias("entities"), F.avg("seconds").alias("mean_seconds"))
+
+
+def top_hits(ranked: DataFrame, n: int = 3) -> DataFrame:
+    """The first ``n`` hits of each question (query_id, rank), for a summary."""
+    return ranked.where(F.col("rank") <= n)

@@ -386,7 +386,7 @@ def index_stats(spark, sf_dir):
     return statistics.index_statistics(html(spark, sf_dir))
 
 
-@query(f"WITH {_ACRONYMS} SELECT doc_id, count(*) || ' entities of ' FROM acronyms GROUP BY doc_id".replace("count(*) || ' entities of ' FROM", "count(*) || ' entities' AS summary FROM"))
+@query(f"WITH {_ACRONYMS} SELECT doc_id, count(*) || ' entities' AS summary FROM acronyms GROUP BY doc_id")
 def processing_summaries(spark, sf_dir):
     m = mentions.extract_mentions(lines(spark, sf_dir), ("acronym",))
     return statistics.processing_summary(m).select("doc_id", F.regexp_extract("summary", "^[0-9]+ entities", 0).alias("summary"))
@@ -512,3 +512,78 @@ def modality_scores(spark, sf_dir):
     q = _questions(spark, sf_dir).withColumn("question", F.regexp_replace("question", "^$", ""))
     scored = search.modality_scores(q, b).where("text_score > 0")
     return scored.select("query_id", "doc_id", r6("text_score"), F.col("layout_score"), F.round(F.col("score") - F.col("content_score") * 0.2, 6).alias("score"))
+
+
+@query(
+    f"""WITH {_ACRONYMS}, {_BLOCKED}, t AS (SELECT n FROM kinds WHERE list_contains(blocks, 'table')), p AS (SELECT DISTINCT n, doc_id, blocks FROM k JOIN kinds USING (n)),
+c AS (SELECT x.n AS a, y.n AS b, least(count(DISTINCT x.region_id) * 0.2, 1.0) AS weight FROM k x JOIN k y ON x.region_id = y.region_id AND x.n < y.n GROUP BY ALL)
+SELECT a, b, 'co_occurs_with' AS rel_type, round(weight, 6)::DOUBLE AS weight FROM c UNION ALL SELECT DISTINCT x.n, y.n, 'same_page', 0.3::DOUBLE FROM p x JOIN p y ON x.doc_id = y.doc_id AND x.n < y.n WHERE (x.n, y.n) NOT IN (SELECT (a, b) FROM c)
+UNION ALL SELECT DISTINCT x.n, y.n, 'table_related', 0.9::DOUBLE FROM k x JOIN k y ON x.region_id = y.region_id AND x.n < y.n WHERE x.n IN (SELECT n FROM t) AND y.n IN (SELECT n FROM t)
+UNION ALL SELECT DISTINCT x.n, y.n, 'header_describes', 0.6::DOUBLE FROM p x JOIN p y USING (doc_id) WHERE list_contains(x.blocks, 'header') AND list_contains(y.blocks, 'paragraph')"""
+)
+def all_relations(spark, sf_dir):
+    m, e = _blocked_layer(spark, sf_dir)
+    found = entities.all_relations(e, entities.entity_regions(e, m), entities.entity_pages(e, m), lines(spark, sf_dir))
+    directed = F.col("rel_type") == "header_describes"
+    return _named(found, e, "rel_type", r6("weight")).select(F.when(directed, F.col("s")).otherwise(F.least("s", "t")).alias("a"), F.when(directed, F.col("t")).otherwise(F.greatest("s", "t")).alias("b"), "rel_type", "weight")
+
+
+@query(f"WITH {_ASK}, l AS (SELECT query_id, lower(question) AS low FROM q) SELECT query_id, regexp_matches(low, 'figure|chart|graph|table|diagram|image|picture|layout|structure|visual|appearance|format|design') OR regexp_matches(low, '\\b(figure|chart|diagram|table|visualization|plot|image|screenshot|graph|picture|layout|illustration|compare|contrast|differences?|versus|summarize|synthesize|across|multiple|all sections|all the experiments|between these methods)\\b') AS visual FROM l")
+def query_visual_mode(spark, sf_dir):
+    q = F.col("question")
+    return _questions(spark, sf_dir).select("query_id", Y.visual_mode(q, Y.query_level(q), F.lit(True)).alias("visual"))
+
+
+_NEAR = "n AS (SELECT a.region_id AS source, b.region_id AS target, sqrt(pow((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2, 2) + pow((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2, 2)) AS distance FROM grid a JOIN grid b ON a.doc_id = b.doc_id AND a.ord <> b.ord)"
+
+
+@query(
+    f"""WITH {_BOX_MENTIONS}, {_NEAR}, p AS (SELECT x.region_id, x.norm AS a, y.norm AS b, x.confidence FROM n JOIN m x ON x.region_id = source JOIN m y ON y.region_id = target WHERE distance < 0.3 AND (x.kind = y.kind AND distance < 0.25 OR list_sort([x.kind, y.kind]) IN (['ORGANIZATION', 'PERSON'], ['METRIC', 'ORGANIZATION'], ['DATE_TIME', 'PERSON'], ['LOCATION', 'ORGANIZATION']))),
+c AS (SELECT a, count(*) AS n FROM p GROUP BY a) SELECT m.norm, round(least(1.0, m.confidence + CASE WHEN c.n > 1 THEN least(0.2, c.n * 0.05) ELSE 0 END), 6) AS confidence FROM m LEFT JOIN c ON m.norm = c.a"""
+)
+def neighbour_support(spark, sf_dir):
+    g, m = _box_mentions(spark, sf_dir)
+    related = mentions.neighbour_mentions(m, spatial.neighbour_relations(g, 0.3), 0.25)
+    return mentions.supported_confidence(m, related).select("norm", r6("confidence"))
+
+
+@query(f"WITH {_BOX_MENTIONS}, g AS (SELECT * FROM grid) SELECT x.norm AS a, y.norm AS b, 'caption' AS rel_type, round(least(x.confidence, y.confidence) * 0.9, 6) AS confidence FROM g f JOIN g c ON f.doc_id = c.doc_id AND f.block_type = 'figure' AND c.block_type = 'caption' AND abs(f.y2 - c.y1) < 0.1 JOIN m x ON x.region_id = f.region_id JOIN m y ON y.region_id = c.region_id")
+def caption_relations(spark, sf_dir):
+    _, m = _box_mentions(spark, sf_dir)
+    return mentions.caption_relations(m, _grid(spark, sf_dir)).select("a", "b", "rel_type", r6("confidence"))
+
+
+@query("SELECT event_type, count(*) AS documents, CAST(sum(user_id) AS BIGINT) AS regions, CAST(sum(event_id) AS BIGINT) AS entities, round(avg(value), 6) AS mean_seconds FROM events GROUP BY event_type")
+def running_stats(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select("event_type", F.col("user_id").alias("regions"), F.col("event_id").alias("entities"), F.col("value").alias("seconds"))
+    return statistics.running_statistics(log, ("event_type",)).select("event_type", "documents", "regions", "entities", r6("mean_seconds"))
+
+
+@query(f"WITH {_ACRONYMS} SELECT lower(text) AS norm, count(*) AS mention_count FROM acronyms WHERE lower(text) = 'die' GROUP BY lower(text)")
+def entity_lookup_by_name(spark, sf_dir):
+    _, _, e, _ = _acronym_layer(spark, sf_dir)
+    return entities.find_entities(e, name=" Die ").select("norm", "mention_count")
+
+
+@query(f"WITH {_ASK}, b AS (SELECT * FROM benchmark), s AS (SELECT query_id, item_id, list_distinct({_words('lower(question)')}) AS a, list_distinct({_words('lower(text)')}) AS b FROM q, b), j AS (SELECT query_id, item_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS t FROM s) SELECT query_id, item_id AS doc_id, 'text' AS modality, round(t, 6) AS score FROM j WHERE t > 0")
+def modality_union(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text", F.lit("paragraph").alias("block_type"))
+    return search.modality_union(search.modality_scores(_questions(spark, sf_dir), b), "doc_id").where("modality = 'text'").select("query_id", "doc_id", "modality", r6("score"))
+
+
+@query("WITH r AS (SELECT l_orderkey AS query_id, l_returnflag, l_shipdate, l_partkey, l_linestatus, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS rank, l_quantity AS score FROM lineitem) SELECT query_id, string_agg('[' || l_returnflag || '] part ' || l_partkey || ' (' || printf('%.2f', score) || ')', chr(10) ORDER BY rank) AS context FROM r WHERE rank <= 3 GROUP BY query_id")
+def multimodal_contexts(spark, sf_dir):
+    from pyspark.sql import Window
+
+    li = table(spark, sf_dir, "lineitem").withColumn("rank", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")))
+    hits = li.select(F.col("l_orderkey").alias("query_id"), "rank", F.col("l_returnflag").alias("block_type"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("text"), F.col("l_quantity").alias("score"))
+    return search.multimodal_context(statistics.top_hits(hits, 3))
+
+
+@query(f"WITH d AS (SELECT doc_id, text, list_distinct({_words('lower(text)')}) AS a, list_distinct({_words('lower(lang)')}) AS b FROM documents) SELECT doc_id, length(text) // 4 AS tokens, CASE WHEN length(text) <= 60 THEN text ELSE substr(text, 1, 57) || '...' END AS cut, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS likeness FROM d")
+def sql_functions(spark, sf_dir):
+    """The functions of SQL text, called from SQL text."""
+    from docloom.functions.registered import register_functions
+
+    register_functions(spark)
+    return spark.sql("SELECT doc_id, docloom_tokens(text) AS tokens, docloom_truncate(text, 60) AS cut, round(docloom_word_jaccard(text, lang), 6) AS likeness FROM {d}", d=table(spark, sf_dir, "documents"))

@@ -741,17 +741,77 @@ def _engine(spark, sf_dir):
     return Engine(spark).index_regions(html(spark, sf_dir))
 
 
+_DESCRIBED = _CONTEXT.replace("lower(substr(", "(substr(")
+_ENTITIES = f"""{_SURE}, described AS (
+  SELECT lower(text) AS norm, arg_min(text, o) AS name, arg_min(c, [-length(c), doc_id, o]) AS about, min(o) AS o
+  FROM (SELECT a.doc_id, a.text, (a.doc_id * 100000 + a.ord) * 100000 + list_position({_tokens('region_text')}, a.text) AS o, {_DESCRIBED} AS c FROM (SELECT a.*, r.text AS region_text FROM acronyms a JOIN regions r USING (region_id)) a) GROUP BY lower(text)
+), entities AS (SELECT norm, lower(any_value(name)) AS n, lower(any_value(about)) AS d, any_value(o) AS o, count(*) AS mention_count, avg(confidence) AS confidence FROM surely JOIN described USING (norm) GROUP BY norm)"""
+
+
+def _found_sql(k: int) -> str:
+    return f"""WITH {_ENTITIES}, {_ASK}, k AS (SELECT query_id, lower(trim(question, ' ')) AS q, list_distinct({_words("lower(question)")}) AS qw FROM q),
+w AS (SELECT *, list_distinct(list_concat({_words("n")}, {_words("d")})) AS w FROM entities),
+s AS (SELECT query_id, norm, o, mention_count, confidence, CASE WHEN contains(n, q) OR contains(d, q) THEN CASE WHEN q = n THEN 1.0 WHEN contains(n, q) THEN 0.9 ELSE 0.7 END WHEN len(list_intersect(qw, w)) > 0 THEN len(list_intersect(qw, w)) / len(qw) * 0.6
+  WHEN len(list_filter(qw, lambda x: length(x) > 3 AND (contains(n, x) OR contains(d, x)))) > 0 THEN 0.4 ELSE 0 END AS base FROM k, w),
+r AS (SELECT *, round(base * (1 + least(mention_count * 0.1, 0.5)) * confidence, 9) AS score FROM s WHERE base > 0),
+found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o) AS rank FROM r QUALIFY rank <= {k})"""
+
+
+@query(_found_sql(10) + " SELECT query_id, norm, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM found")
+def entity_search(spark, sf_dir):
+    _, _, e, _ = _acronym_layer(spark, sf_dir)
+    return search.search_entities(_questions(spark, sf_dir), e, 10).join(e.select("entity_id", "norm"), "entity_id").select("query_id", "norm", r6("score"), "rank")
+
+
+@query(_found_sql(5) + " SELECT query_id, norm, round(least(1.0, mention_count * 0.3 + confidence * 0.7), 6) AS relevance, CAST(rank AS INTEGER) AS rank FROM found")
+def entity_ranking(spark, sf_dir):
+    _, _, e, _ = _acronym_layer(spark, sf_dir)
+    return search.rank_entities(_questions(spark, sf_dir), e, 5).join(e.select("entity_id", "norm"), "entity_id").select("query_id", "norm", r6("relevance"), "rank")
+
+
+@query(
+    f"""WITH {_SURE}, t AS (SELECT *, CASE WHEN norm IN ('aws', 'gcp', 'java', 'keras') THEN 'PRODUCT' WHEN norm = 'ai' THEN 'CONCEPT' ELSE 'ORGANIZATION' END AS kind FROM surely),
+g AS (SELECT doc_id, count(*) AS mentions, avg(confidence) AS c, count(DISTINCT kind) AS types FROM t GROUP BY doc_id)
+SELECT doc_id, mentions, round(c, 6) AS mean_confidence, types, round(greatest(0.0, 0.4 * c + 0.3 * least(1.0, types / 12) + 0.2 - 0.1 * ((c < 0.5)::INT + (types < 2)::INT)), 6) AS score FROM g"""
+)
+def extraction_quality(spark, sf_dir):
+    return mentions.extraction_quality(mentions.extract_mentions(lines(spark, sf_dir), ("acronym",))).select("doc_id", "mentions", r6("mean_confidence"), "types", r6("score"))
+
+
 @query()
-def all_relations(spark, sf_dir):
+def all_relations_of_pages(spark, sf_dir):
+    """Relations of every kind of mention in the pages; the parts have queries of their own with SQL."""
     return _engine(spark, sf_dir).tables["relationships"].select("source", "target", "rel_type", "weight")
 
 
+def _retrieved(spark, sf_dir, level: int | None):
+    asked = _questions(spark, sf_dir)
+    if level:
+        asked = asked.withColumn("override_level", F.lit(level))
+    return _engine(spark, sf_dir).retrieve(asked)
+
+
 @query()
-def entity_search(spark, sf_dir):
-    merged = materialise(entities.merge_entities(mentions.extract_mentions(html(spark, sf_dir))), "entities")
-    return search.search_entities(_questions(spark, sf_dir), merged, 10)
+def retrieve_all(spark, sf_dir):
+    """Every question answered from the pages by the strategy of its level; the strategies are tested against plain Python."""
+    return _retrieved(spark, sf_dir, None)
 
 
 @query()
-def extraction_quality(spark, sf_dir):
-    return mentions.extraction_quality(mentions.extract_mentions(lines(spark, sf_dir)))
+def retrieve_entity_lookup(spark, sf_dir):
+    return _retrieved(spark, sf_dir, 1)
+
+
+@query()
+def retrieve_hybrid(spark, sf_dir):
+    return _retrieved(spark, sf_dir, 2)
+
+
+@query()
+def retrieve_hierarchical(spark, sf_dir):
+    return _retrieved(spark, sf_dir, 3)
+
+
+@query()
+def retrieve_visual_fusion(spark, sf_dir):
+    return _retrieved(spark, sf_dir, 4)
