@@ -155,10 +155,11 @@ def text_statistics(text: Col) -> Column:
     )
 
 
-def syllables(word: Column) -> Column:
-    """Groups of vowels, less a silent e at the end, at least one."""
-    groups = F.regexp_count(F.lower(word), F.lit("[aeiouy]+"))
-    return F.greatest(F.lit(1), groups - F.when(F.lower(word).endswith("e") & (groups > 1), 1).otherwise(0))
+def syllables(low: Column) -> Column:
+    """Groups of vowels of a lower-case word, less a silent e at the end, at least one."""
+    groups = F.regexp_count(low, F.lit("[aeiouy]+"))
+    # An e at the end is a group of its own, and may be silent, where another group is before it.
+    return F.greatest(F.lit(1), groups - low.rlike("[aeiouy].*e$").cast("int") * (groups > 1).cast("int"))
 
 
 def sentences(text: Col) -> Column:
@@ -168,21 +169,28 @@ def sentences(text: Col) -> Column:
 
 def readability(text: Col) -> Column:
     """Word, sentence and syllable counts, and a Flesch score scaled to 0..100 per cent of itself."""
-    w = words(text)
-    n, s = F.size(w), F.size(sentences(text))
-    total = F.aggregate(F.transform(w, syllables), F.lit(0), lambda a, x: a + x)
-    per_sentence = n / F.greatest(F.lit(1), s)
-    per_word = F.when(n > 0, total / n).otherwise(1.0)
-    flesch = F.greatest(F.lit(0.0), F.least(F.lit(100.0), (206.835 - 1.015 * per_sentence - 84.6 * per_word) / 100))
     empty = F.coalesce(F.length(_c(text)), F.lit(0)) == 0
-    letters = F.aggregate(F.transform(w, F.length), F.lit(0), lambda a, x: a + x)
-    return F.struct(
-        n.alias("words"),
-        s.alias("sentences"),
-        total.alias("syllables"),
-        F.when(n > 0, letters / n).otherwise(0.0).alias("word_length"),
-        per_sentence.alias("sentence_length"),
-        ratio_of(text, r"\p{Lu}").alias("caps_ratio"),
-        ratio_of(text, r"[^\p{L}\p{N}\s]").alias("punctuation_ratio"),
-        F.when(empty, 0.0).otherwise(flesch).alias("flesch"),
-    )
+
+    def figures(c: Column) -> Column:
+        n, s, total, letters = c["n"], c["s"], c["total"], c["letters"]
+        per_sentence = n / F.greatest(F.lit(1), s)
+        per_word = F.when(n > 0, total / n).otherwise(1.0)
+        flesch = F.greatest(F.lit(0.0), F.least(F.lit(100.0), (206.835 - 1.015 * per_sentence - 84.6 * per_word) / 100))
+        return F.struct(
+            n.alias("words"),
+            s.alias("sentences"),
+            total.alias("syllables"),
+            F.when(n > 0, letters / n).otherwise(0.0).alias("word_length"),
+            per_sentence.alias("sentence_length"),
+            ratio_of(text, r"\p{Lu}").alias("caps_ratio"),
+            ratio_of(text, r"[^\p{L}\p{N}\s]").alias("punctuation_ratio"),
+            F.when(empty, 0.0).otherwise(flesch).alias("flesch"),
+        )
+
+    def counts(w: Column) -> Column:
+        total = F.aggregate(w, F.lit(0), lambda a, x: a + syllables(x))
+        letters = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
+        return F.struct(F.size(w).alias("n"), F.size(sentences(text)).alias("s"), total.alias("total"), letters.alias("letters"))
+
+    # Lists of one bind the words and the counts, so that they are worked out once.
+    return F.get(F.transform(F.transform(F.array(words(F.lower(_c(text)))), counts), figures), F.lit(0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.sources.store import materialise
+
 
 def collapsed(edges: DataFrame, order: str = "ord") -> DataFrame:
     """One edge for each (source, target): the last that was added."""
@@ -30,6 +32,8 @@ def k_hops(edges: DataFrame, start: DataFrame, k: int, kinds: tuple[str, ...] |
     Each step joins only the nodes that are new, and the start itself is no result.
     """
     steps = undirected(edges, kinds, kind_column)
+    if k > 1:  # what the edges are made of would else stand in the plan once for each step
+        steps = materialise(steps, "steps")
     first = start.select(F.col("node").alias("start")).distinct()
     seen = first.select("start", F.col("start").alias("node"), F.lit(0).alias("hop"))
     front = seen

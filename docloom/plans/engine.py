@@ -47,6 +47,7 @@ class Engine:
         self.spark = spark
         self.config = config or Config()
         self.tables: dict[str, DataFrame] = {}
+        self._corpus: retrieval.Corpus | None = None  # with its text index, which is written once
 
     def index(self, docs: DataFrame, greedy: bool = False) -> Engine:
         """Build both layers from documents (doc_id, text); ``greedy`` also drops near-duplicate regions."""
@@ -76,7 +77,9 @@ class Engine:
 
     def corpus(self) -> retrieval.Corpus:
         t = self.tables
-        return retrieval.Corpus(t["regions"], t["entities"], t["relationships"], t["entity_region"], t.get("figure_caption"))
+        if self._corpus is None or self._corpus.regions is not t["regions"]:
+            self._corpus = retrieval.Corpus(t["regions"], t["entities"], t["relationships"], t["entity_region"], t.get("figure_caption"))
+        return self._corpus
 
     def retrieve(self, questions: DataFrame) -> DataFrame:
         """Contexts of a batch of questions (query_id, question[, override_level])."""

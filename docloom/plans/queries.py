@@ -735,10 +735,16 @@ def toon_encode(spark, sf_dir):
 # --- whole retrieval ------------------------------------------------------------------------------
 
 
+_indexed: list[tuple] = []
+
+
 def _engine(spark, sf_dir):
+    """The index of the pages, made once for the queries that follow one another over the same tables."""
     from docloom.plans.engine import Engine
 
-    return Engine(spark).index_regions(html(spark, sf_dir))
+    if not _indexed or _indexed[0][:2] != (spark, sf_dir):
+        _indexed[:] = [(spark, sf_dir, Engine(spark).index_regions(html(spark, sf_dir)))]
+    return _indexed[0][2]
 
 
 _DESCRIBED = _CONTEXT.replace("lower(substr(", "(substr(")
