@@ -169,3 +169,24 @@ def test_searches_without_a_cap(spark, tmp_path):
     for q in (queries.knn_threshold, queries.tfidf_search):
         df = q(spark, str(tmp_path))
         assert df.count() > 0 and "row_number" not in df._jdf.queryExecution().toString()
+
+
+def test_region_likeness(spark):
+    from pyspark.sql import functions as F
+
+    box = lambda x: (x, 0.1, x + 0.2, 0.3)
+    plain = page(spark, [("A", "table", box(0.1), "one two"), ("B", "table", box(0.1), "one two"), ("C", "figure", box(0.7), "three")]).withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)))
+    probe = plain.where("region_id = 'A'").withColumn("query_id", F.lit(1))
+    found = {r["region_id"]: r["score"] for r in search.similar_regions(probe, plain, least=0.0).collect()}
+    assert found["B"] == pytest.approx(0.4 + 0.2 + 0.2 + 0.15 + 0.05 * 0.5) and found["C"] < found["B"]
+    assert [r["region_id"] for r in search.similar_regions(probe, plain, least=0.0, same_type=True).collect()] == ["B"]
+    quality = F.when(F.col("region_id") == "A", 0.8).otherwise(0.4)
+    looks = plain.withColumn("visual_complexity", F.lit(0.5)).withColumn("text_to_visual_ratio", F.lit(1.0)).withColumn("quality_metrics", F.create_map(F.lit("overall"), quality))
+    measured = search.similar_regions(looks.where("region_id = 'A'").withColumn("query_id", F.lit(1)), looks, least=0.0, measured=True)
+    assert measured.where("region_id = 'B'").first()["score"] == pytest.approx(0.95 + 0.05 * 0.5)
+
+
+def test_extraction_backends(spark):
+    r = page(spark, [("A", "paragraph", (0.0, 0.0, 1.0, 0.1), "NASA launched")])
+    mentions.register_extractor("none", lambda regions: mentions.extract_mentions(regions).limit(0))
+    assert mentions.extracted(r, "none").count() == 0 < mentions.extracted(r, "unknown").count() == mentions.extracted(r).count()
