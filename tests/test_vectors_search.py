@@ -24,7 +24,7 @@ def expected(folder, name):
     return sorted(con.execute(queries.SQL[name]).fetchall(), key=repr)
 
 
-@pytest.mark.parametrize("name", ["knn_cosine"])
+@pytest.mark.parametrize("name", ["knn_cosine", "knn_threshold"])
 def test_rounded_scores_are_ranked(spark, folder, name):
     df = queries.QUERIES[name](spark, folder)
     assert sorted((tuple(r) for r in df.collect()), key=repr) == expected(folder, name)
