@@ -89,3 +89,16 @@ def test_hierarchical_takes_no_regions_beyond_the_budget(spark, layer):
                 first.append(row)
                 used += len(text[row[1]]) // 4
         assert sorted(got[q])[: len(first)] == first and len(got[q]) < len(ranks) + (q == 2)
+
+
+def test_all_levels_run_only_where_they_are_asked(spark, layer, monkeypatch):
+    c, _, _ = corpus(spark, layer)
+
+    def refuse(asked, corpus):
+        raise AssertionError("no question is of this level")
+
+    monkeypatch.setitem(retrieval.STRATEGIES, "hybrid", refuse)
+    monkeypatch.setitem(retrieval.STRATEGIES, "hierarchical", refuse)
+    asked = spark.createDataFrame([(1, "aabb abca", 1)], "query_id long, question string, override_level int")
+    assert {r["query_id"] for r in retrieval.retrieve(asked, c).collect()} == {1}
+    assert retrieval.retrieve(asked.where("query_id = 0"), c).count() == 0
