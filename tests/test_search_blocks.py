@@ -70,6 +70,31 @@ def corpus(spark, layer):
     return retrieval.Corpus(regions, entities, spark.createDataFrame(relations, "source string, target string, rel_type string, weight double"), spark.createDataFrame(bridge, "entity_id string, region_id string, ord long")), relations, bridge
 
 
+def test_hybrid_relations_meet_by_both_ends(spark, layer):
+    c, relations, _ = corpus(spark, layer)
+    found = {1: ["e1", "e2", "e3"], 2: ["e2", "e5"]}
+    frame = spark.createDataFrame([(q, e) for q, es in found.items() for e in es], "query_id long, entity_id string")
+    got = {(r["query_id"], r["source"], r["target"], r["rel_type"]) for r in retrieval._relations_of(frame, c.relations, 10, 3).collect()}
+    want = set()
+    for q, es in found.items():
+        scored = sorted((-w * (1.0 if s in es and t in es else 0.7), s, t, k) for s, t, k, w in relations if s in es or t in es)[:10]
+        want |= {(q, s, t, k) for _, s, t, k in scored}
+    assert got == want
+    starts = frame.withColumnRenamed("entity_id", "node")
+    steps = {(r["start"], r["node"]): r["hop"] for r in graph.k_hops(c.relations, starts, 2).collect()}
+    around = {}
+    for r in retrieval._around(frame, c, 20).collect():
+        around.setdefault(r["query_id"], {})[r["entity_id"]] = r["hop"]
+    place = {e[0]: (e[6], e[0]) for e in layer[0]}
+    for q, es in found.items():
+        hops = {e: 0 for e in es}
+        for (s, n), hop in steps.items():
+            if s in es and n not in es:
+                hops[n] = min(hop, hops.get(n, 9))
+        first = lambda h: sorted(h.items(), key=lambda x: (x[1], place[x[0]]))[:20]
+        assert first(around[q]) == first(hops)
+
+
 def test_hierarchical_takes_no_regions_beyond_the_budget(spark, layer):
     c, _, bridge = corpus(spark, layer)
     found = spark.createDataFrame([(1, "e1", 1), (1, "e2", 2), (1, "e3", 3), (2, "e3", 1)], "query_id long, entity_id string, rank int")
