@@ -70,6 +70,13 @@ def corpus(spark, layer):
     return retrieval.Corpus(regions, entities, spark.createDataFrame(relations, "source string, target string, rel_type string, weight double"), spark.createDataFrame(bridge, "entity_id string, region_id string, ord long")), relations, bridge
 
 
+def test_lookup_builds_no_index_that_no_question_needs(spark, layer):
+    c, _, _ = corpus(spark, layer)
+    asked = retrieval.analyse(spark.createDataFrame([(1, "aabb abca bcab"), (2, "ccaa abab")], "query_id long, question string"))
+    assert retrieval.entity_lookup(asked, c).count() > 0
+    assert c.postings is None
+
+
 def test_hybrid_relations_meet_by_both_ends(spark, layer):
     c, relations, _ = corpus(spark, layer)
     found = {1: ["e1", "e2", "e3"], 2: ["e2", "e5"]}
