@@ -134,3 +134,14 @@ def test_all_levels_run_only_where_they_are_asked(spark, layer, monkeypatch):
     asked = spark.createDataFrame([(1, "aabb abca", 1)], "query_id long, question string, override_level int")
     assert {r["query_id"] for r in retrieval.retrieve(asked, c).collect()} == {1}
     assert retrieval.retrieve(asked.where("query_id = 0"), c).count() == 0
+
+
+def test_visual_fusion_limits_regions_before_questions(spark, layer):
+    c, _, _ = corpus(spark, layer)
+    asked = retrieval.analyse(spark.createDataFrame([(1, "figure of aabb", 4), (2, "see page 1 and page 3", 4)], "query_id long, question string, override_level int"))
+    df = retrieval.visual_fusion(asked, c, 7)
+    got = {q: {(r["rank"], r["ref"]) for r in df.where(f"query_id = {q} AND kind = 'region'").collect()} for q in (1, 2)}
+    rows = [(r["doc_id"], r["ord"], r["region_id"], r["block_type"], r["page_num"]) for r in c.regions.collect()]
+    want = {1: sorted(r for r in rows if r[3] == "figure"), 2: sorted(r for r in rows if r[4] in (1, 3))}
+    assert got == {q: {(i, r[2]) for i, r in enumerate(v[:7], 1)} for q, v in want.items()}
+    assert "GlobalLimit" in plan(df) or "TakeOrdered" in plan(df)
