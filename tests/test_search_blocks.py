@@ -145,3 +145,13 @@ def test_visual_fusion_limits_regions_before_questions(spark, layer):
     want = {1: sorted(r for r in rows if r[3] == "figure"), 2: sorted(r for r in rows if r[4] in (1, 3))}
     assert got == {q: {(i, r[2]) for i, r in enumerate(v[:7], 1)} for q, v in want.items()}
     assert "GlobalLimit" in plan(df) or "TakeOrdered" in plan(df)
+
+
+@pytest.mark.parametrize("name", ["entity_ranking"])
+def test_only_entities_are_written(spark, name, monkeypatch):
+    from docloom.plans import queries
+
+    written, put = [], queries.materialise
+    monkeypatch.setattr(queries, "materialise", lambda df, name: written.append(name) or put(df, name))
+    df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert written == ["entities"] and not compared(df)
