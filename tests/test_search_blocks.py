@@ -147,7 +147,7 @@ def test_visual_fusion_limits_regions_before_questions(spark, layer):
     assert "GlobalLimit" in plan(df) or "TakeOrdered" in plan(df)
 
 
-@pytest.mark.parametrize("name", ["entity_ranking"])
+@pytest.mark.parametrize("name", ["entity_ranking", "entity_search"])
 def test_only_entities_are_written(spark, name, monkeypatch):
     from docloom.plans import queries
 
