@@ -136,11 +136,18 @@ def unique_relations(relations: DataFrame) -> DataFrame:
     return relations.groupBy("source", "target", "rel_type").agg(F.max("weight").alias("weight"), *first, F.min("ord").alias("ord"))
 
 
-def all_relations(entities: DataFrame, bridge: DataFrame, pages: DataFrame, regions: DataFrame) -> DataFrame:
-    """Relations of all strategies in their order, each (source, target, rel_type) once."""
+#: The strategies of :func:`all_relations`, in the order in which the first names a relation's fields.
+STRATEGIES = ("semantic", "cooccurrence", "page", "table", "header", "typed")
+
+
+def all_relations(entities: DataFrame, bridge: DataFrame, pages: DataFrame, regions: DataFrame, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
+    """Relations of all strategies, or of those named, in their order, each (source, target, rel_type) once."""
     together = cooccurrences(bridge)
-    parts = (semantic_relations(bridge, regions), together, same_page(pages, together), table_relations(entities, bridge), header_relations(pages), typed_relations(bridge))
-    listed = [p.select("source", "target", "rel_type", F.col("weight").cast("double").alias("weight"), F.lit(i).alias("ord")) for i, p in enumerate(parts)]
+    made = {
+        "semantic": lambda: semantic_relations(bridge, regions), "cooccurrence": lambda: together, "page": lambda: same_page(pages, together),
+        "table": lambda: table_relations(entities, bridge), "header": lambda: header_relations(pages), "typed": lambda: typed_relations(bridge),
+    }
+    listed = [made[name]().select("source", "target", "rel_type", F.col("weight").cast("double").alias("weight"), F.lit(i).alias("ord")) for i, name in enumerate(STRATEGIES) if name in strategies]
     return unique_relations(reduce(DataFrame.unionByName, listed))
 
 
