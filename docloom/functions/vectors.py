@@ -58,11 +58,14 @@ def sparse(v: Column, k: int) -> Column:
     return F.transform(doubles(v), lambda x, i: F.when(F.array_contains(keep, i), x).otherwise(F.lit(0.0)))
 
 
-def quantised(v: Column, levels: int = 255) -> Column:
-    """A round trip through 8 bits between least and greatest component; a constant vector stays."""
+def quantised(v: Column, levels: int = 255, constant: bool = True) -> Column:
+    """A round trip through 8 bits between least and greatest component.
+
+    A constant vector stays; without ``constant`` its components are not numbers, as a division by its width of zero says.
+    """
     low, high = F.array_min(doubles(v)), F.array_max(doubles(v))
     step = (high - low) / levels
-    return F.when(high > low, F.transform(doubles(v), lambda x: F.floor((x - low) / step) * step + low)).otherwise(doubles(v))
+    return F.when(high > low, F.transform(doubles(v), lambda x: F.floor((x - low) / step) * step + low)).otherwise(doubles(v) if constant else F.transform(doubles(v), lambda x: F.when(x.isNotNull(), F.lit(float("nan")))))
 
 
 def compressed(v: Column, method: str, k: int) -> Column:
