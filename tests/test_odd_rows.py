@@ -26,7 +26,7 @@ def test_relations_that_a_text_states(spark, tmp_path):
     same(spark, tmp_path, "all_relations", documents=documents(spark, "NASA uses ESA data\nIBM vs NASA\nBMW", None, "", "# ESA\nIBM increases BMW"))
 
 
-@pytest.mark.parametrize("name", ["compress_quantize"])
+@pytest.mark.parametrize("name", ["compress_quantize", "mean_pooling"])
 def test_odd_vectors(spark, tmp_path, name):
     nan, whole = float("nan"), [i / 3 for i in range(64)]
     vectors = [(1, whole, 0), (2, None, 0), (3, [None, *whole[1:]], 0), (4, [1.0] * 64, 1), (5, [nan, *whole[1:]], 2), (6, whole[:10], 3), (7, [*whole, 1.0], 4), (8, None, 5), (9, whole[::-1], None), (10, [None] * 64, 6)]
