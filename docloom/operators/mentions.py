@@ -26,7 +26,7 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
 
 def money(text: Column) -> Column:
     """Amounts in dollars with their scale word; each amount once, at its full length."""
-    found = F.transform(_all(text, r"(?i)\$[0-9][0-9,]*(?:\.[0-9]+)?(?:\s*(?:billion|million|thousand|[BMK])\b)?"), F.trim)
+    found = F.transform(_all(text, r"(?i)\$-?[0-9][0-9,]*(?:\.[0-9]+)?(?:\s*(?:billion|million|thousand|[BMK])\b)?"), F.trim)
     scaled = lambda t: F.when(t.rlike(r"(?i)(billion|b)$"), "billion").when(t.rlike(r"(?i)(million|m)$"), "million").when(t.rlike(r"(?i)(thousand|k)$"), "thousand").otherwise("dollar")
     return F.transform(found, lambda t: F.struct(t.alias("text"), F.concat(F.lit("money_"), scaled(t)).alias("label"), F.lit(0.9).alias("confidence")))
 

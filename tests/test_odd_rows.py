@@ -31,3 +31,11 @@ def test_odd_vectors(spark, tmp_path, name):
     nan, whole = float("nan"), [i / 3 for i in range(64)]
     vectors = [(1, whole, 0), (2, None, 0), (3, [None, *whole[1:]], 0), (4, [1.0] * 64, 1), (5, [nan, *whole[1:]], 2), (6, whole[:10], 3), (7, [*whole, 1.0], 4), (8, None, 5), (9, whole[::-1], None), (10, [None] * 64, 6)]
     same(spark, tmp_path, name, embeddings=spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int"))
+
+
+def test_odd_invoices(spark, tmp_path):
+    from datetime import datetime
+
+    day = datetime(1996, 2, 1)
+    lines = [(1, 11, 1, 1.5, 0.05, day), (2, 12, 1, 2.5, 0.05, day), (3, 13, 1, -3.0, 0.05, day), (4, 14, 1, None, 0.05, day), (5, 15, 1, 7.0, None, day), (6, 16, 1, 8.0, 0.1, None), (7, None, 1, 9.0, 0.1, day), (None, 17, 1, 9.0, 0.1, day), (8, 18, 2, 9.0, 0.1, day), (2, 12, 1, 2.5, 0.05, day)]
+    same(spark, tmp_path, "mentions_money", lineitem=spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_discount double, l_shipdate timestamp_ntz"))
