@@ -141,14 +141,17 @@ STRATEGIES = ("semantic", "cooccurrence", "page", "table", "header", "typed")
 
 
 def all_relations(entities: DataFrame, bridge: DataFrame, pages: DataFrame, regions: DataFrame, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
-    """Relations of all strategies, or of those named, in their order, each (source, target, rel_type) once."""
+    """Relations of all strategies, or of those named, in their order, each (source, target, rel_type) once.
+
+    A strategy gives each of its relations once, and no two give the same rel_type: nothing is left to merge.
+    """
     together = cooccurrences(bridge)
     made = {
         "semantic": lambda: semantic_relations(bridge, regions), "cooccurrence": lambda: together, "page": lambda: same_page(pages, together),
         "table": lambda: table_relations(entities, bridge), "header": lambda: header_relations(pages), "typed": lambda: typed_relations(bridge),
     }
     listed = [made[name]().select("source", "target", "rel_type", F.col("weight").cast("double").alias("weight"), F.lit(i).alias("ord")) for i, name in enumerate(STRATEGIES) if name in strategies]
-    return unique_relations(reduce(DataFrame.unionByName, listed))
+    return reduce(DataFrame.unionByName, listed)
 
 
 def image_entities(regions: DataFrame, bridge: DataFrame, band: float = 0.15) -> DataFrame:
