@@ -17,7 +17,7 @@ from docloom.functions.text import token_estimate, words
 from docloom.functions.typing import query_level
 from docloom.operators.budget import before_overflow, until_reached
 from docloom.operators.graph import undirected
-from docloom.sources.store import materialise
+from docloom.sources.store import materialise, sweep
 from docloom.operators.search import append_missing, build_text_index, fuse_candidates, nearest_vectors, rank_entities, rank_regions, ranked, search_entities, search_text_index
 
 
@@ -36,7 +36,10 @@ class Corpus:
     def index(self) -> tuple[DataFrame, DataFrame]:
         if self.postings is None:
             postings, vocabulary = build_text_index(self.regions)
-            self.postings, self.vocabulary = materialise(postings, "postings"), materialise(vocabulary, "vocabulary")
+            self.vocabulary = materialise(vocabulary, "vocabulary")
+            sweep(self.regions.sparkSession)
+            self.postings = materialise(postings, "postings")
+            sweep(self.regions.sparkSession)
         return self.postings, self.vocabulary
 
 

@@ -15,7 +15,7 @@ from docloom.operators.mentions import extract_mentions
 from docloom.operators.statistics import indexing_statistics
 from docloom.sources import files
 from docloom.sources.regions import regions_from_lines
-from docloom.sources.store import materialise
+from docloom.sources.store import materialise, sweep
 
 
 @dataclass(frozen=True)
@@ -73,6 +73,7 @@ class Engine:
             "relationships": materialise(E.all_relations(merged, bridge, E.entity_pages(merged, mentions, self.config.scope), regions), "relationships"),
             "figure_caption": spatial.figure_captions(nodes),
         }
+        sweep(self.spark)
         return self
 
     def corpus(self) -> retrieval.Corpus:
