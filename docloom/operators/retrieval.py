@@ -36,9 +36,7 @@ class Corpus:
     def index(self) -> tuple[DataFrame, DataFrame]:
         if self.postings is None:
             postings, vocabulary = build_text_index(self.regions)
-            self.vocabulary = materialise(vocabulary, "vocabulary")
-            sweep(self.regions.sparkSession)
-            self.postings = materialise(postings, "postings")
+            self.postings, self.vocabulary = materialise(postings, "postings"), vocabulary
             sweep(self.regions.sparkSession)
         return self.postings, self.vocabulary
 
