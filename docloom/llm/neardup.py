@@ -234,7 +234,9 @@ def _cross(bands: DataFrame, sets: DataFrame, percent: int, reach: Column) -> Da
     side of one and on the second side of all of them.
     """
     parts = bands.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    rows = materialise(bands.join(parts, "key").join(sets, "node"), "open-bands")
+    # A class meets its set once, with its buckets (at most BANDS) as a list.
+    listed = bands.join(parts, "key").groupBy("node").agg(F.collect_list(F.struct("parts", *[c for c in bands.columns if c != "node"])).alias("_b"))
+    rows = materialise(listed.join(sets, "node").select("node", F.explode("_b").alias("_b"), "places", "shingles").select("node", "_b.*", "places", "shingles"), "open-bands")
     one = rows.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).alias("x")
     two = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
     threshold = percent / 100
