@@ -1,7 +1,9 @@
 """The search of vectors: against its SQL on odd rows, and without comparing row by row."""
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.operators import search
 from docloom.plans import queries
@@ -39,3 +41,20 @@ def test_odd_vectors(spark):
     assert [found[8, i] for i in range(1, 6)] == [(x, None) for x in "7abcd"]
     empty = pool.where("id = 'none'")
     assert search.nearest_vectors(asked, empty, 5).count() == 0 == search.nearest_vectors(asked.where("query_id = 0"), pool, None, 0.1).count()
+
+
+def test_all_hits_stream_past_the_questions(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in (rng.normal(size=5) + 1.5) * 10.0 ** rng.choice([-120, 0, 3])]) for i in range(60)]
+    rows += [(60, None), (61, [0.0] * 5), (62, [1.0, None, 1.0, 1.0, 1.0]), (63, [float("nan")] * 5), (64, [1e200] * 5), (65, [2.0, 2.0])]
+    frame = spark.createDataFrame(rows, "id long, vector array<double>")
+    asked = frame.where("id % 4 = 0 OR id > 59").withColumnRenamed("id", "query_id")
+    want = sorted(map(repr, (tuple(r) for r in search.nearest_vectors(asked, frame, 1000, 0.6, 6).select("query_id", "id", "score").collect())))
+    for name, value in {"HIT_CELL": 7, "HIT_GROUP": 9, "HIT_PRODUCT": 3, "HITS": 5}.items():
+        monkeypatch.setattr(search, name, value)
+    df = search.nearest_vectors(asked, frame, None, 0.6, 6)
+    assert sorted(map(repr, (tuple(r) for r in df.collect()))) == want and len(want) > 100
+    names = frame.select(F.concat(F.lit("n"), "id").alias("id"), F.col("vector").cast("array<float>").alias("vector"))
+    named = search.nearest_vectors(asked, names, None, 0.6, 2)
+    assert named.where("id = 'n61' AND query_id < 60").count() == 0 < named.where("query_id = 4 AND id = 'n4'").count()
+    assert "FlatMapCoGroups" not in plan(df)  # no block's hits are held at once
