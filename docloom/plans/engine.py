@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,39 @@ def deep_merge(base: dict, over: dict) -> dict:
     return base | {k: deep_merge(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in over.items()}
 
 
+class Tables(dict):
+    """Tables by name; those of ``later`` are made and written when they are first asked for."""
+
+    def __init__(self, now: dict[str, DataFrame], later: dict[str, Callable[[Tables], DataFrame]]) -> None:
+        super().__init__(now | dict.fromkeys(later))
+        self._later = dict(later)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name in self._later:
+            self[name] = self._later.pop(name)(self)
+        return super().__getitem__(name)
+
+    def get(self, name: str, default: DataFrame | None = None) -> DataFrame | None:
+        return self[name] if name in self else default
+
+    def items(self):
+        return [(name, self[name]) for name in self]
+
+    def values(self):
+        return [self[name] for name in self]
+
+
+class Layers(retrieval.Corpus):
+    """The tables of an engine as retrieval reads them: those that no strategy reads are never made."""
+
+    def __init__(self, tables: dict[str, DataFrame]) -> None:
+        self.tables = tables
+        self.regions, self.entities, self.captions = tables["regions"], tables["entities"], tables.get("figure_caption")
+
+    relations = property(lambda self: self.tables["relationships"])
+    bridge = property(lambda self: self.tables["entity_region"])
+
+
 class Engine:
     """Tables of the two layers, and what is asked of them."""
 
@@ -62,24 +96,18 @@ class Engine:
         nodes = materialise(R.nodes(kept), "nodes")
         mentions = materialise(extract_mentions(regions), "mentions")
         merged = materialise(E.merge_entities(mentions, self.config.scope), "entities")
-        bridge = materialise(E.linked_regions(E.entity_regions(merged, mentions, self.config.scope), nodes), "entity-region")
-        self.tables = {
-            "regions": regions,
-            "nodes": nodes,
-            "spatial_edges": spatial.spatial_edges(nodes),
-            "mentions": mentions,
-            "entities": merged,
-            "entity_region": bridge,
-            "relationships": materialise(E.all_relations(merged, bridge, E.entity_pages(merged, mentions, self.config.scope), regions), "relationships"),
-            "figure_caption": spatial.figure_captions(nodes),
+        later = {
+            "entity_region": lambda _: materialise(E.linked_regions(E.entity_regions(merged, mentions, self.config.scope), nodes), "entity-region"),
+            "relationships": lambda t: materialise(E.all_relations(merged, t["entity_region"], E.entity_pages(merged, mentions, self.config.scope), regions), "relationships"),
         }
+        self.tables = Tables({"regions": regions, "nodes": nodes, "spatial_edges": spatial.spatial_edges(nodes), "mentions": mentions, "entities": merged, "figure_caption": spatial.figure_captions(nodes)}, later)
         sweep(self.spark)
         return self
 
     def corpus(self) -> retrieval.Corpus:
         t = self.tables
         if self._corpus is None or self._corpus.regions is not t["regions"]:
-            self._corpus = retrieval.Corpus(t["regions"], t["entities"], t["relationships"], t["entity_region"], t.get("figure_caption"))
+            self._corpus = Layers(t)
         return self._corpus
 
     def retrieve(self, questions: DataFrame) -> DataFrame:

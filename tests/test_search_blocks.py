@@ -155,3 +155,32 @@ def test_only_entities_are_written(spark, name, monkeypatch):
     monkeypatch.setattr(queries, "materialise", lambda df, name: written.append(name) or put(df, name))
     df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert written == ["entities"] and not compared(df)
+
+
+def test_relations_are_made_only_where_they_are_read(spark, monkeypatch, tmp_path):
+    from docloom.plans import engine
+
+    written, put = [], engine.materialise
+    monkeypatch.setattr(engine, "materialise", lambda df, name: written.append(name) or put(df, name))
+    docs = spark.createDataFrame([(1, "The API of NASA uses JSON.\nESA and NASA use XML in the figure."), (2, "NASA and ESA have an API for JSON files.")], "doc_id long, text string")
+    e = engine.Engine(spark).index(docs)
+    asked = spark.createDataFrame([(1, "figure of NASA", 4)], "query_id long, question string, override_level int")
+    assert e.retrieve(asked).count() == 1
+    assert not {"relationships", "entity-region"} & set(written)
+    assert e.retrieve(asked.withColumn("override_level", asked.query_id.cast("int"))).count() == 1
+    assert written.count("relationships") == written.count("entity-region") == 1
+    e.save(str(tmp_path / "g"))
+    assert engine.Engine(spark).load(str(tmp_path / "g")).tables["relationships"].count() == e.tables["relationships"].count() == len(e.tables.get("relationships").collect())
+
+
+def test_entities_are_sent_without_their_word_lists(spark, layer):
+    _, _, entities, questions = layer
+    assert "AS w#" not in search.search_entities(questions, entities, 4)._jdf.queryExecution().analyzed().toString().replace("AS weight", "")
+
+
+def test_large_blocks_move_few_copies(spark, layer, monkeypatch):
+    rows, asked, entities, questions = layer
+    monkeypatch.setattr(search, "LEAST_CELL", 8)
+    df = search.search_entities(questions, entities, 4)
+    assert {(r["query_id"], r["rank"], r["entity_id"], r["score"]) for r in df.collect()} == best_entities(rows, asked, 4)
+    assert search.ENTITY_BLOCK[0] * search.ENTITY_BLOCK[1] >= 1 << 28
