@@ -173,9 +173,10 @@ def test_relations_are_made_only_where_they_are_read(spark, monkeypatch, tmp_pat
     assert engine.Engine(spark).load(str(tmp_path / "g")).tables["relationships"].count() == e.tables["relationships"].count() == len(e.tables.get("relationships").collect())
 
 
-def test_entities_are_sent_without_their_word_lists(spark, layer):
+def test_entity_hits_are_numbers_until_they_are_shown(spark, layer):
     _, _, entities, questions = layer
-    assert "AS w#" not in search.search_entities(questions, entities, 4)._jdf.queryExecution().analyzed().toString().replace("AS weight", "")
+    meet = [line for line in search.search_entities(questions, entities, 4)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "FlatMapCoGroupsInArrow" in line]
+    assert len(meet) == 1 and "_n#" in meet[0] and "entity_id" not in meet[0] and "name" not in meet[0]
 
 
 def test_large_blocks_move_few_copies(spark, layer, monkeypatch):
