@@ -164,6 +164,26 @@ def image_entities(regions: DataFrame, bridge: DataFrame, band: float = 0.15) ->
     return own.unionByName(near).distinct()
 
 
+def numbered(entities: DataFrame) -> DataFrame:
+    """(entity_id, number, place): numbers in the order of the ids and in that of arrival. To be written before it is used."""
+    by_id = entities.select("entity_id", "ord").orderBy("entity_id").withColumn("number", F.monotonically_increasing_id())
+    return by_id.orderBy("ord", "entity_id").select("entity_id", "number", F.monotonically_increasing_id().alias("place"))
+
+
+def by_number(table: DataFrame, numbers: DataFrame) -> DataFrame:
+    """A table of entities with their numbers as entity_id, and their places as ord."""
+    rest = [c for c in table.columns if c not in ("entity_id", "ord")]
+    return table.join(numbers, "entity_id").select(F.col("number").alias("entity_id"), F.col("place").alias("ord"), *rest)
+
+
+def by_name(relations: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Relations of numbers with the entities' ids."""
+    out = relations
+    for end in ("source", "target"):
+        out = out.join(numbers.select(F.col("number").alias(end), F.col("entity_id").alias("_id")), end).drop(end).withColumnRenamed("_id", end)
+    return out.select(*relations.columns)
+
+
 def type_distribution(entities: DataFrame) -> DataFrame:
     return entities.groupBy("entity_type").agg(F.count("*").alias("n"), F.sum("mention_count").alias("mentions")).orderBy(F.desc("n"), "entity_type")
 

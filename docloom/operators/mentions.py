@@ -20,13 +20,19 @@ def _mentions(found: Column, label: str, confidence: float) -> Column:
     return F.transform(found, lambda t: F.struct(t.alias("text"), F.lit(label).alias("label"), F.lit(confidence).alias("confidence")))
 
 
-def _all(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def _all(text: Column, pattern: str, group: int = 0, needs: Column | None = None) -> Column:
+    """What a pattern finds; ``needs`` is a cheaper test that all texts with a match pass."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    return found if needs is None else F.when(needs, found).otherwise(F.array().cast("array<string>"))
+
+
+def _numeric(text: Column) -> Column:
+    return text.rlike("[0-9]")
 
 
 def money(text: Column) -> Column:
     """Amounts in dollars with their scale word; each amount once, at its full length."""
-    found = F.transform(_all(text, r"(?i)\$-?[0-9][0-9,]*(?:\.[0-9]+)?(?:\s*(?:billion|million|thousand|[BMK])\b)?"), F.trim)
+    found = F.transform(_all(text, r"(?i)\$-?[0-9][0-9,]*(?:\.[0-9]+)?(?:\s*(?:billion|million|thousand|[BMK])\b)?", 0, F.contains(text, F.lit("$"))), F.trim)
     scaled = lambda t: F.when(t.rlike(r"(?i)(billion|b)$"), "billion").when(t.rlike(r"(?i)(million|m)$"), "million").when(t.rlike(r"(?i)(thousand|k)$"), "thousand").otherwise("dollar")
     return F.transform(found, lambda t: F.struct(t.alias("text"), F.concat(F.lit("money_"), scaled(t)).alias("label"), F.lit(0.9).alias("confidence")))
 
@@ -54,19 +60,20 @@ def _unnamed(done: Column, part: Column) -> Column:
 
 
 def dates(text: Column) -> Column:
-    parts = [F.transform(F.array_distinct(_all(text, p)), _labelled(k, 0.85)) for k, p in DATE_KINDS]
+    parts = [F.transform(F.array_distinct(_all(text, p, 0, _numeric(text))), _labelled(k, 0.85)) for k, p in DATE_KINDS]
     return reduce(lambda done, part: F.concat(done, _unnamed(done, part)), parts[1:], parts[0])
 
 
 def percentages(text: Column) -> Column:
-    return _mentions(_all(text, r"[-+]?[0-9]+(?:\.[0-9]+)?%"), "percentage", 0.9)
+    return _mentions(_all(text, r"[-+]?[0-9]+(?:\.[0-9]+)?%", 0, F.contains(text, F.lit("%"))), "percentage", 0.9)
 
 
 def metrics(text: Column) -> Column:
     """``Label: number`` and ``number unit``, where the number has more than one character."""
     label, value = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s*:\s*([0-9,]+(?:\.[0-9]+)?)", r"([0-9,]+(?:\.[0-9]+)?)\s+(tokens?|pages?|visual_regions?|entities|nodes?|edges?)"
-    named = F.zip_with(_all(text, label, 1), _all(text, label, 2), lambda n, v: F.struct(n.alias("n"), v.alias("v")))
-    unit = F.zip_with(_all(text, value, 2), _all(text, value, 1), lambda n, v: F.struct(n.alias("n"), v.alias("v")))
+    some, colon = _numeric(text), F.contains(text, F.lit(":"))
+    named = F.zip_with(_all(text, label, 1, colon), _all(text, label, 2, colon), lambda n, v: F.struct(n.alias("n"), v.alias("v")))
+    unit = F.zip_with(_all(text, value, 2, some), _all(text, value, 1, some), lambda n, v: F.struct(n.alias("n"), v.alias("v")))
     kept = F.filter(F.concat(named, unit), lambda p: F.length(p["v"]) > 1)
     return F.transform(kept, lambda p: F.struct(F.concat(p["n"], F.lit(": "), p["v"]).alias("text"), F.lit("metric").alias("label"), F.lit(0.8).alias("confidence")))
 
@@ -75,16 +82,17 @@ def organisations(text: Column) -> Column:
     """Names with a legal suffix (its full stop left out) and well-known technology names."""
     suffix = r"\b[A-Z][A-Za-z&\-]+(?:\s+[A-Z][A-Za-z&\-]+)*\s+(?:Inc|Corp|Ltd|LLC|Co|Company|Corporation|Group|Foundation)\b"
     names = F.filter(F.array(*[F.lit(n) for n in L.TECHNOLOGY_NAMES]), lambda n: F.contains(text, n))
-    return F.concat(_mentions(F.array_distinct(_all(text, suffix)), "organization", 0.90), _mentions(names, "technology", 0.85))
+    return F.concat(_mentions(F.array_distinct(_all(text, suffix, 0, text.rlike("Inc|Corp|Ltd|LLC|Co|Group|Foundation"))), "organization", 0.90), _mentions(names, "technology", 0.85))
 
 
 def acronyms(text: Column) -> Column:
-    found = F.filter(tokens(text), lambda t: t.rlike("^[A-Z]{2,6}$") & ~t.isin(*L.ACRONYM_STOPS))
+    some = F.when(text.rlike("[A-Z]{2}"), tokens(text)).otherwise(F.array().cast("array<string>"))
+    found = F.filter(some, lambda t: t.rlike("^[A-Z]{2,6}$") & ~t.isin(*L.ACRONYM_STOPS))
     return _mentions(F.array_distinct(found), "acronym", 0.80)
 
 
 def hyphen_terms(text: Column) -> Column:
-    found = F.filter(_all(F.lower(text), r"(?<![\p{L}\p{N}_])[a-z]+-[a-z]+(?:-[a-z]+)*(?![\p{L}\p{N}_])"), lambda t: F.length(t) > 5)
+    found = F.filter(_all(F.lower(text), r"(?<![\p{L}\p{N}_])[a-z]+-[a-z]+(?:-[a-z]+)*(?![\p{L}\p{N}_])", 0, F.contains(text, F.lit("-"))), lambda t: F.length(t) > 5)
     return _mentions(F.array_distinct(found), "technical_term", 0.75)
 
 
@@ -97,10 +105,10 @@ def concepts(text: Column, most: int = 10) -> Column:
 
 def processes(text: Column, most: int = 5) -> Column:
     """Words in -ing, -tion and -ment of more than six letters, the first ``most`` in that order."""
-    low = tokens(F.lower(text))
-    ending = lambda end: F.filter(low, lambda t: t.endswith(end) & (F.length(t) > 6))
-    ends = [ending(e) for e in ("ing", "tion", "ment")]
-    return _mentions(F.slice(F.array_distinct(F.concat(*ends)), 1, most), "process", 0.65)
+    # The words are bound to a variable: written out, they would be split again for each ending.
+    ending = lambda low, end: F.filter(low, lambda t: t.endswith(end) & (F.length(t) > 6))
+    ends = F.transform(F.array(tokens(F.lower(text))), lambda low: F.concat(*[ending(low, e) for e in ("ing", "tion", "ment")]))
+    return _mentions(F.slice(F.array_distinct(F.get(ends, F.lit(0))), 1, most), "process", 0.65)
 
 
 EXTRACTORS = {"money": money, "date": dates, "percentage": percentages, "metric": metrics, "organization": organisations, "acronym": acronyms, "term": hyphen_terms, "concept": concepts, "process": processes}

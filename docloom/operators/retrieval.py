@@ -18,7 +18,7 @@ from docloom.functions.typing import query_level
 from docloom.operators.budget import before_overflow, until_reached
 from docloom.operators.graph import undirected
 from docloom.sources.store import materialise, sweep
-from docloom.operators.search import append_missing, build_text_index, fuse_candidates, nearest_vectors, rank_entities, rank_regions, ranked, search_entities, search_text_index
+from docloom.operators.search import _asked, append_missing, build_text_index, fuse_candidates, nearest_vectors, rank_entities, rank_regions, ranked, search_entities, search_text_index
 
 
 @dataclass
@@ -40,6 +40,10 @@ class Corpus:
             sweep(self.regions.sparkSession)
         return self.postings, self.vocabulary
 
+    def related(self, found: DataFrame, most: int, nodes: int) -> DataFrame:
+        """Per question the heaviest relations that touch its entities."""
+        return _relations_of(found, self.relations, most, nodes)
+
 
 def levels(spark) -> DataFrame:
     """The four levels of questions with their budgets."""
@@ -65,19 +69,25 @@ def _region_rows(found: DataFrame, regions: DataFrame, part: int, most: int = 10
     return _rows(found.join(regions.select("region_id", "text"), "region_id"), part, "region", F.col("region_id"), F.substring("text", 1, most))
 
 
-def _relations_of(found: DataFrame, relations: DataFrame, most: int, nodes: int) -> DataFrame:
+def _relations_of(found: DataFrame, relations: DataFrame, most: int, nodes: int, once: bool = False) -> DataFrame:
     """Per question the heaviest relations that touch its entities: both ends found, full weight; one, 0.7.
 
     Relations between found entities are looked up by both ends. Of the others an entity gives its
     heaviest: ``most``, and as many as the found entities (``nodes``) may have with it, so that none is missed.
+    ``once``: the relations are known to hold each (source, target, rel_type) once.
     """
     f = found.select("query_id", "entity_id").distinct()
-    once = relations.groupBy("source", "target", "rel_type").agg(F.max("weight").alias("weight"))
+    each = relations if once else relations.groupBy("source", "target", "rel_type").agg(F.max("weight").alias("weight"))
+    each = each.select("source", "target", "rel_type", "weight")
+    ids = _asked(f.select("entity_id").distinct())
+    inside = each
+    for end in ("source", "target"):  # only relations between entities of some question are moved
+        inside = inside.join(ids.withColumnRenamed("entity_id", end), end, "left_semi")
     pairs = f.withColumnRenamed("entity_id", "source").join(f.withColumnRenamed("entity_id", "target"), "query_id")
-    both = pairs.join(once, ["source", "target"]).select("query_id", "source", "target", "rel_type", "weight", F.col("weight").alias("score"))
+    both = pairs.join(inside, ["source", "target"]).select("query_id", "source", "target", "rel_type", "weight", F.col("weight").alias("score"))
     kinds = relations.select("rel_type").distinct().count()
-    ends = once.select(F.col("source").alias("entity_id"), "*").unionByName(once.select(F.col("target").alias("entity_id"), "*"))
-    asked = ends.join(f.select("entity_id").distinct(), "entity_id", "left_semi")
+    ends = each.select(F.col("source").alias("entity_id"), "*").unionByName(each.select(F.col("target").alias("entity_id"), "*"))
+    asked = ends.join(ids, "entity_id", "left_semi")
     heavy = asked.withColumn("_r", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("weight"), "source", "target", "rel_type"))).where(F.col("_r") <= most + 2 * (nodes + 1) * kinds)
     other = F.when(F.col("source") == F.col("entity_id"), F.col("target")).otherwise(F.col("source"))
     one = f.join(heavy.withColumn("other", other), "entity_id").join(f.select("query_id", F.col("entity_id").alias("other")), ["query_id", "other"], "left_anti")
@@ -154,7 +164,7 @@ def entity_lookup(asked: DataFrame, corpus: Corpus, nodes: int = 5) -> DataFrame
     by_index = _by_index(poor, corpus)
     regions = append_missing(by_words.select("query_id", "region_id", "rank"), by_index.select("query_id", "region_id", "rank"))
     more = inferred_entities(by_index, corpus, found)
-    rel = _relations_of(found, corpus.relations, 10, nodes)
+    rel = corpus.related(found, 10, nodes)
     rows = _entity_rows(found).unionByName(_entity_rows(more, 1)).unionByName(_rows(rel, 2, "relation", F.concat_ws("|", "source", "target", "rel_type"), F.concat_ws(" ", "source", "rel_type", "target"))).unionByName(_region_rows(regions, corpus.regions, 3))
     return _within_budget(rows, asked)
 

@@ -44,9 +44,10 @@ def deep_merge(base: dict, over: dict) -> dict:
 class Tables(dict):
     """Tables by name; those of ``later`` are made and written when they are first asked for."""
 
-    def __init__(self, now: dict[str, DataFrame], later: dict[str, Callable[[Tables], DataFrame]]) -> None:
+    def __init__(self, now: dict[str, DataFrame], later: dict[str, Callable[[Tables], DataFrame]], numbered: Tables | None = None) -> None:
         super().__init__(now | dict.fromkeys(later))
         self._later = dict(later)
+        self.numbered = numbered  # numbers of the entities, and the relations of these numbers: no tables of the index
 
     def __getitem__(self, name: str) -> DataFrame:
         if name in self._later:
@@ -73,6 +74,14 @@ class Layers(retrieval.Corpus):
     relations = property(lambda self: self.tables["relationships"])
     bridge = property(lambda self: self.tables["entity_region"])
 
+    def related(self, found: DataFrame, most: int, nodes: int) -> DataFrame:
+        known = getattr(self.tables, "numbered", None)
+        if known is None:
+            return super().related(found, most, nodes)
+        numbers = known["numbers"].select("entity_id", "number")
+        asked = found.select("query_id", "entity_id").join(numbers, "entity_id").select("query_id", F.col("number").alias("entity_id"))
+        return E.by_name(retrieval._relations_of(asked, known["relations"], most, nodes, once=True), numbers)
+
 
 class Engine:
     """Tables of the two layers, and what is asked of them."""
@@ -98,9 +107,16 @@ class Engine:
         merged = materialise(E.merge_entities(mentions, self.config.scope), "entities")
         later = {
             "entity_region": lambda _: materialise(E.linked_regions(E.entity_regions(merged, mentions, self.config.scope), nodes), "entity-region"),
-            "relationships": lambda t: materialise(E.all_relations(merged, t["entity_region"], E.entity_pages(merged, mentions, self.config.scope), regions), "relationships"),
+            "relationships": lambda t: E.by_name(t.numbered["relations"], t.numbered["numbers"]),
         }
-        self.tables = Tables({"regions": regions, "nodes": nodes, "spatial_edges": spatial.spatial_edges(nodes), "mentions": mentions, "entities": merged, "figure_caption": spatial.figure_captions(nodes)}, later)
+
+        def relations(known: Tables) -> DataFrame:
+            # Pairs are made, compared and moved as numbers: ids are longer than the rest of a relation.
+            few, bridge = (E.by_number(t, known["numbers"]) for t in (merged, self.tables["entity_region"]))
+            return materialise(E.all_relations(few, bridge, E.entity_pages(few, mentions, self.config.scope), regions), "relationships")
+
+        numbered = Tables({}, {"numbers": lambda _: materialise(E.numbered(merged), "numbers"), "relations": relations})
+        self.tables = Tables({"regions": regions, "nodes": nodes, "spatial_edges": spatial.spatial_edges(nodes), "mentions": mentions, "entities": merged, "figure_caption": spatial.figure_captions(nodes)}, later, numbered)
         sweep(self.spark)
         return self
 

@@ -185,3 +185,53 @@ def test_large_blocks_move_few_copies(spark, layer, monkeypatch):
     df = search.search_entities(questions, entities, 4)
     assert {(r["query_id"], r["rank"], r["entity_id"], r["score"]) for r in df.collect()} == best_entities(rows, asked, 4)
     assert search.ENTITY_BLOCK[0] * search.ENTITY_BLOCK[1] >= 1 << 28
+
+
+def test_regions_of_equal_text_and_entities_meet_questions_once(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(word(rng) for _ in range(6)) for _ in range(12)]
+    rows = [(i % 9, f"r{i:03}", 300 - i, texts[rng.randrange(12)] if i % 50 else None) for i in range(300)]
+    bridge = sorted({(f"e{rng.randrange(4)}", f"r{rng.randrange(300):03}") for _ in range(40)})
+    asked = [(i, " ".join(word(rng) + "ab" for _ in range(rng.randint(1, 5)))) for i in range(40)]
+    found = [(i, f"e{rng.randrange(4)}") for i in range(0, 40, 2)] + [(i, "e9") for i in range(0, 40, 3)]
+    met, meet = [], search._meet
+    monkeypatch.setattr(search, "_meet", lambda asked, pool, *rest: met.append(pool.count()) or meet(asked, pool, *rest))
+    frame = spark.createDataFrame(rows, "doc_id long, region_id string, ord long, text string")
+    df = search.rank_regions(spark.createDataFrame(asked, "query_id long, question string"), frame, 3, spark.createDataFrame(found, "query_id long, entity_id string"), spark.createDataFrame(bridge, "entity_id string, region_id string"))
+    want = set()
+    for query_id, question in asked:
+        ws = list(dict.fromkeys(w for w in question.split() if len(w) > 3))
+        scored = []
+        for doc_id, region_id, ord_, text in rows:
+            if n := sum(any(w in own for own in (text or "").split()) for w in ws):
+                near = sum((e, region_id) in bridge for q, e in found if q == query_id)
+                scored.append((-min(1.0, n / len(ws) + min(0.5, near * 0.1)), doc_id, ord_, region_id, n))
+        want |= {(query_id, i, r, n, round(-s, 9)) for i, (s, _, _, r, n) in enumerate(sorted(scored)[:3], 1)}
+    assert {(r["query_id"], r["rank"], r["region_id"], r["matches"], round(r["score"], 9)) for r in df.collect()} == want
+    own = {r: tuple(sorted(e for e, x in bridge if x == r)) for _, r, _, _ in rows}
+    assert met == [len({(text, own[r]) for _, r, _, text in rows})] and met[0] < len(rows) / 2
+
+
+def test_relations_are_moved_as_numbers(spark):
+    from docloom.plans import engine
+
+    lists = zip("ABCDEF", "CDABEF", ("settle", "govern", "invest", "deploy", "docu", "treat"), strict=True)
+    lines = [f"The {a}{b} and {b}{a} are processing {c}ment" for a, b, c in lists]
+    docs = spark.createDataFrame([(i, "\n".join([f"{x} in {'2019 vs 2020' if i % 2 else '5%'}" for x in lines[i % 3 : i + 2]])) for i in range(6)], "doc_id long, text string")
+    e = engine.Engine(spark).index(docs)
+    names = [r["entity_id"] for r in e.tables["entities"].orderBy("entity_id").collect()]
+    found = spark.createDataFrame([(q, n) for q in range(6) for n in names[q::5]], "query_id long, entity_id string")
+    rows = lambda df: {(r["query_id"], r["rank"], r["source"], r["target"], r["rel_type"], r["score"]) for r in df.collect()}
+    got = rows(e.corpus().related(found, 10, 5))
+    assert got and got == rows(retrieval._relations_of(found, e.tables["relationships"], 10, 5))
+    kinds = dict(e.tables.numbered["relations"].dtypes)
+    assert kinds["source"] == kinds["target"] == "bigint" and dict(e.tables["relationships"].dtypes)["source"] == "string"
+
+
+def test_text_index_shuffles_terms_once(spark):
+    regions = spark.createDataFrame([(i % 4, f"r{i}", "alpha beta gamma alpha delta" if i % 3 else f"beta number{i} beta gamma") for i in range(12)], "doc_id long, region_id string, text string")
+    postings, vocabulary = search.build_text_index(regions, 5)
+    # terms of equal totals come by name: "alpha beta" is the fifth
+    assert {(r["term"], r["df"]) for r in vocabulary.collect()} == {("alpha", 8), ("beta", 12), ("gamma", 12), ("beta gamma", 12), ("alpha beta", 8)}
+    shuffles = [line for line in postings._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 1 and "term" not in shuffles[0].split("ENSURE")[0]
