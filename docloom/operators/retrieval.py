@@ -17,7 +17,7 @@ from docloom.functions.text import token_estimate, words
 from docloom.functions.typing import query_level
 from docloom.operators.budget import before_overflow, until_reached
 from docloom.operators.graph import undirected
-from docloom.sources.store import materialise, sweep
+from docloom.sources.store import at_once, materialise, sweep
 from docloom.operators.search import _asked, append_missing, build_text_index, fuse_candidates, nearest_vectors, rank_entities, rank_regions, ranked, search_entities, search_text_index
 
 
@@ -158,13 +158,19 @@ def _held_regions(found: DataFrame, corpus: Corpus, most: int) -> DataFrame:
 
 def entity_lookup(asked: DataFrame, corpus: Corpus, nodes: int = 5) -> DataFrame:
     """Level 1: a few entities, their relations and regions; the text index where those are missing."""
-    found = materialise(rank_entities(asked, corpus.entities, nodes), "found")
-    by_words = materialise(rank_regions(asked, corpus.regions, min(3, nodes), found, corpus.bridge), "by-words")
-    poor = asked.join(found.select("query_id").distinct(), "query_id", "left_anti").unionByName(asked.join(by_words.select("query_id").distinct(), "query_id", "left_anti")).distinct()
-    by_index = _by_index(poor, corpus)
+    found, bridge = at_once(lambda: materialise(rank_entities(asked, corpus.entities, nodes), "found"), lambda: corpus.bridge)
+    sweep(asked.sparkSession)
+
+    def hits() -> tuple[DataFrame, DataFrame]:
+        by_words = materialise(rank_regions(asked, corpus.regions, min(3, nodes), found, bridge), "by-words")
+        sweep(asked.sparkSession)
+        poor = asked.join(found.select("query_id").distinct(), "query_id", "left_anti").unionByName(asked.join(by_words.select("query_id").distinct(), "query_id", "left_anti")).distinct()
+        return by_words, _by_index(poor, corpus)
+
+    (by_words, by_index), rel = at_once(hits, lambda: materialise(corpus.related(found, 10, nodes), "related"))
+    sweep(asked.sparkSession)
     regions = append_missing(by_words.select("query_id", "region_id", "rank"), by_index.select("query_id", "region_id", "rank"))
     more = inferred_entities(by_index, corpus, found)
-    rel = corpus.related(found, 10, nodes)
     rows = _entity_rows(found).unionByName(_entity_rows(more, 1)).unionByName(_rows(rel, 2, "relation", F.concat_ws("|", "source", "target", "rel_type"), F.concat_ws(" ", "source", "rel_type", "target"))).unionByName(_region_rows(regions, corpus.regions, 3))
     return _within_budget(rows, asked)
 

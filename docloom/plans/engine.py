@@ -16,7 +16,7 @@ from docloom.operators.mentions import extract_mentions
 from docloom.operators.statistics import indexing_statistics
 from docloom.sources import files
 from docloom.sources.regions import regions_from_lines
-from docloom.sources.store import materialise, sweep
+from docloom.sources.store import at_once, materialise, sweep
 
 
 @dataclass(frozen=True)
@@ -102,9 +102,11 @@ class Engine:
         if greedy:
             kept = R.near_unique(kept, self.config.near_duplicates)
         # What several tables are made from is written once; the rest are plans over it.
-        nodes = materialise(R.nodes(kept), "nodes")
-        mentions = materialise(extract_mentions(regions), "mentions")
-        merged = materialise(E.merge_entities(mentions, self.config.scope), "entities")
+        def named() -> tuple[DataFrame, DataFrame]:
+            mentions = materialise(extract_mentions(regions), "mentions")
+            return mentions, materialise(E.merge_entities(mentions, self.config.scope), "entities")
+
+        nodes, (mentions, merged) = at_once(lambda: materialise(R.nodes(kept), "nodes"), named)
         later = {
             "entity_region": lambda _: materialise(E.linked_regions(E.entity_regions(merged, mentions, self.config.scope), nodes), "entity-region"),
             "relationships": lambda t: E.by_name(t.numbered["relations"], t.numbered["numbers"]),
@@ -113,7 +115,9 @@ class Engine:
         def relations(known: Tables) -> DataFrame:
             # Pairs are made, compared and moved as numbers: ids are longer than the rest of a relation.
             few, bridge = (E.by_number(t, known["numbers"]) for t in (merged, self.tables["entity_region"]))
-            return materialise(E.all_relations(few, bridge, E.entity_pages(few, mentions, self.config.scope), regions), "relationships")
+            made = materialise(E.all_relations(few, bridge, E.entity_pages(few, mentions, self.config.scope), regions), "relationships")
+            sweep(self.spark)
+            return made
 
         numbered = Tables({}, {"numbers": lambda _: materialise(E.numbered(merged), "numbers"), "relations": relations})
         self.tables = Tables({"regions": regions, "nodes": nodes, "spatial_edges": spatial.spatial_edges(nodes), "mentions": mentions, "entities": merged, "figure_caption": spatial.figure_captions(nodes)}, later, numbered)

@@ -120,11 +120,13 @@ def regions_from_html(pages: DataFrame) -> DataFrame:
     opened = F.regexp_replace(F.coalesce("html", F.lit("")), rf"<({tags})\b[^>]*>", "\u0001$1\u0002")
     marked = F.regexp_replace(opened, rf"</({tags})>", "\u0003")
     pieces = F.split(marked, "\u0001")
-    each = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))).alias("ord", "piece"))
-    each = each.withColumn("tag", F.substring_index("piece", "\u0002", 1)).withColumn("inner", F.substring_index(F.substring_index("piece", "\u0002", -1), "\u0003", 1))
-    text = F.trim(F.regexp_replace(F.regexp_replace("inner", "<[^>]+>", " "), r"\s+", " "))
-    kind = F.element_at(F.create_map(*[F.lit(v) for item in _ELEMENTS.items() for v in item]), F.col("tag"))
-    out = each.select("doc_id", F.lit(0).alias("page_num"), F.col("ord").cast("long").alias("ord"), kind.alias("block_type"), text.alias("text")).where("text != ''")
+    inner = lambda piece: F.substring_index(F.substring_index(piece, "\u0002", -1), "\u0003", 1)
+    text = lambda piece: F.trim(F.regexp_replace(F.regexp_replace(inner(piece), "<[^>]+>", " "), r"\s+", " "))
+    # Bound to variables and made inside the list: written out, pages would be split twice and texts cleaned for the filter, too.
+    listed = lambda p: F.transform(F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), lambda piece: F.struct(F.substring_index(piece, "\u0002", 1).alias("tag"), text(piece).alias("text")))
+    each = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(F.get(F.transform(F.array(pieces), listed), F.lit(0))).alias("ord", "e"))
+    kind = F.element_at(F.create_map(*[F.lit(v) for item in _ELEMENTS.items() for v in item]), F.col("e.tag"))
+    out = each.select("doc_id", F.lit(0).alias("page_num"), F.col("ord").cast("long").alias("ord"), kind.alias("block_type"), F.col("e.text").alias("text")).where("text != ''")
     size = F.count("*").over(Window.partitionBy("doc_id"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
     out = out.withColumn("n", size).withColumn("k", place)
