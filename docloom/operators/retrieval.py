@@ -17,7 +17,8 @@ from docloom.functions.text import token_estimate, words
 from docloom.functions.typing import query_level
 from docloom.operators.budget import before_overflow, until_reached
 from docloom.operators.graph import undirected
-from docloom.sources.store import at_once, materialise, sweep
+from docloom.sources.store import at_once, sweep
+from docloom.sources.store import compressed as materialise
 from docloom.operators.search import _asked, append_missing, build_text_index, fuse_candidates, nearest_vectors, rank_entities, rank_regions, ranked, search_entities, search_text_index
 
 

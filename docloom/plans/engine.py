@@ -16,7 +16,8 @@ from docloom.operators.mentions import extract_mentions
 from docloom.operators.statistics import indexing_statistics
 from docloom.sources import files
 from docloom.sources.regions import regions_from_lines
-from docloom.sources.store import at_once, materialise, sweep
+from docloom.sources.store import at_once, sweep
+from docloom.sources.store import compressed as materialise
 
 
 @dataclass(frozen=True)
